@@ -11,10 +11,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-    "labels conversations"
-).split()
+from veriframe.sources.tables import TABLE_SCHEMAS, read_table
+
+TABLES = list(TABLE_SCHEMAS)
 
 _CAND_ID = """concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
     CAST(l_suppkey AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING),
@@ -173,15 +172,9 @@ ADAPTERS["reviews"] = """
   FROM conversations"""
 
 
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Temp views over the parquet tables (lazy: nothing is read here)."""
-    for name in names or TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One engine input as a DataFrame."""
-    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if _mentions(ADAPTERS[name], t)}
+    sources = {t: read_table(spark, sf_dir, t) for t in TABLES if _mentions(ADAPTERS[name], t)}
     text = ADAPTERS[name]
     for table in sources:
         text = _replace_word(text, table)

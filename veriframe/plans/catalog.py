@@ -1,4 +1,8 @@
 """Imports every query module so that the registry is complete."""
 
-from veriframe.plans import scoring_queries  # noqa: F401
+from veriframe.plans import (  # noqa: F401
+    candidate_queries,
+    dedup_queries,
+    scoring_queries,
+)
 from veriframe.plans.registry import ORACLES, QUERIES  # noqa: F401

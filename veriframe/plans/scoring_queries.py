@@ -9,6 +9,7 @@ from veriframe import config
 from veriframe.operators import profile, quality, scoring
 from veriframe.plans.adapters import adapter, ctes
 from veriframe.plans.registry import query
+from veriframe.sources.tables import read_table
 
 AS_OF_YEAR = 2008
 
@@ -479,7 +480,7 @@ def audit_membership(spark, sf_dir):
         "cand_id", F.concat(F.lit("cat"), F.col("entity_id") % 20).alias("category")
     )
     filed = photos(spark, sf_dir).select("cand_id", F.concat(F.lit("cat"), F.col("seq") % 60).alias("filed"))
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = read_table(spark, sf_dir, "customer")
     edges = customers.select(
         F.concat(F.lit("cat"), F.col("c_custkey") % 60).alias("child"),
         F.concat(F.lit("cat"), (F.col("c_custkey") * 7) % 20).alias("parent"),
