@@ -32,6 +32,10 @@ ADAPTERS: dict[str, str] = {}
 
 ADAPTERS["entities"] = """
   SELECT s_suppkey AS entity_id, s_name AS name, n_name AS country,
+    CASE WHEN s_suppkey % 8 <> 5 THEN s_name END AS name_en,
+    CASE WHEN s_suppkey % 3 = 0 THEN concat('Вуз «Звезда ', CAST(s_suppkey AS STRING), '»') END AS name_ru,
+    CASE WHEN s_suppkey % 5 = 0 THEN concat('Жұлдыз ', CAST(s_suppkey AS STRING)) END AS name_kk,
+    concat('S', CAST(s_suppkey AS STRING)) AS alias,
     CASE WHEN n_nationkey % 5 = 0 THEN 'KZ' WHEN n_nationkey % 5 = 1 THEN 'US' WHEN n_nationkey % 5 = 2 THEN 'DE'
          WHEN n_nationkey % 5 = 3 THEN 'ru' ELSE 'FR' END AS country_code,
     CASE WHEN s_suppkey % 7 <> 0 THEN 40 + (s_suppkey % 200) / 2e1 END AS lat,

@@ -3,6 +3,8 @@
 from veriframe.plans import (  # noqa: F401
     candidate_queries,
     dedup_queries,
+    resolve_queries,
     scoring_queries,
+    text_queries,
 )
 from veriframe.plans.registry import ORACLES, QUERIES  # noqa: F401
