@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -84,29 +85,45 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), multi
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Nested text functions would otherwise copy their whole input expression at every use, and the plan grows
+    exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_text(col: Column) -> Column:
     """Compatibility fold, lower case, Kazakh letters and marks dropped, everything else one space."""
     source, target, multi = _fold_tables()
-    plain = F.translate(col, source, target)
     chars = "".join(multi)
     # One constant map (folded by the optimizer), read only by the rare rows that need it.
     table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in multi.items())), F.lit("\u0001"), F.lit("\u0002"))
-    # A translate (one hash lookup per character) finds them faster than a character class would.
-    spelled = F.when(
-        F.translate(plain, chars, "") != plain,
-        F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""),
-    ).otherwise(plain)
-    folded = F.when(
-        col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.lower(spelled), r"\p{M}+", "")
-    ).otherwise(F.lower(col))
-    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+
+    def spell(plain: Column) -> Column:
+        # A translate (one hash lookup per character) finds them faster than a character class would.
+        return F.when(
+            F.translate(plain, chars, "") != plain,
+            F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""),
+        ).otherwise(plain)
+
+    def folded(text: Column) -> Column:
+        wide = let(F.translate(text, source, target), lambda p: F.regexp_replace(F.lower(spell(p)), r"\p{M}+", ""))
+        return F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(F.lower(text))
+
+    return F.trim(F.regexp_replace(let(col, folded), r"[^\p{L}\p{N}]+", " "))
 
 
 def drop_filler(folded: Column) -> Column:
     """Words of a folded text without filler words; a text of filler words only is kept whole."""
-    words = F.filter(F.split(folded, " "), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(FILLER_WORDS))
-    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ")
+    return let(
+        F.filter(F.split(folded, " "), lambda w: w != ""),
+        lambda words: let(
+            F.filter(words, lambda w: ~w.isin(FILLER_WORDS)),
+            lambda kept: F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " "),
+        ),
+    )
 
 
 def normalize_name(col: Column) -> Column:
@@ -130,15 +147,14 @@ def lat_to_cyr(col: Column) -> Column:
 
 
 def transliterate(col: Column) -> Column:
-    return F.when(col.rlike(r"\p{IsCyrillic}"), cyr_to_lat(col)).otherwise(lat_to_cyr(col))
+    return let(col, lambda c: F.when(c.rlike(r"\p{IsCyrillic}"), cyr_to_lat(c)).otherwise(lat_to_cyr(c)))
 
 
-def query_variants(col: Column) -> Column:
-    """[normalized, normalized transliteration], distinct and not empty."""
-    normalized = normalize_name(col)
-    return F.filter(
-        F.array_distinct(F.array(normalized, normalize_name(transliterate(normalized)))), lambda v: v != ""
-    )
+def query_variants(normalized: Column) -> Column:
+    """[normalized, its normalized transliteration], distinct and not empty."""
+    return let(normalized, lambda n: F.filter(
+        F.array_distinct(F.array(n, normalize_name(transliterate(n)))), lambda v: v != ""
+    ))
 
 
 def match_key(col: Column) -> Column:
@@ -149,7 +165,7 @@ def strip_html(col: Column) -> Column:
     """Tags to spaces, entities decoded once (``&amp;`` last), spaces collapsed."""
     out = F.regexp_replace(col, "<[^>]*>", " ")
     # Numeric entities: cut at each one, turn its code into the character, keep the text after it.
-    pieces = F.split(out, "(?i)(?=&#(?:\\d+|x[0-9a-f]+);)")
+    pieces = lambda o: F.split(o, r"(?i)(?=&#(?:\d+|x[0-9a-f]+);)")
 
     def decode(piece: Column) -> Column:
         code = F.regexp_extract(piece, r"(?i)^&#(x?[0-9a-f]+);", 1)
@@ -163,7 +179,9 @@ def strip_html(col: Column) -> Column:
             F.concat(char, F.regexp_replace(piece, r"(?i)^&#x?[0-9a-f]+;", "")),
         ).otherwise(piece)
 
-    out = F.when(out.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(out)
+    out = let(out, lambda o: F.when(
+        o.contains("&#"), F.array_join(F.transform(pieces(o), decode), "")
+    ).otherwise(o))
     for name, char in HTML_NAMED.items():
         out = F.regexp_replace(out, f"(?i)&{name};", char)
     out = F.replace(F.regexp_replace(out, "(?i)&amp;", "&"), F.lit("\u0001"), F.lit("&"))
@@ -202,12 +220,13 @@ def clip_extract(col: Column, limit: int = 1500) -> Column:
     clean = F.regexp_replace(col, r"\(\s*[,;]?\s*\)", "")
     clean = F.regexp_replace(clean, r"\s+", " ")
     clean = F.trim(F.regexp_replace(clean, r"\s+([,.;:])", "$1"))
-    cut = F.substring(clean, 1, limit)
-    # Length of the text up to the last ". ", "! " or "? "; greedy, so the last one wins.
-    head = F.regexp_extract(cut, r"(?s)^(.*[.!?]) ", 1)
-    return F.when(F.length(clean) <= limit, clean).otherwise(
-        F.when(F.length(head) - 1 > limit / 3, head).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
-    )
+
+    def shorten(cut: Column) -> Column:
+        # The text up to the last ". ", "! " or "? "; greedy, so the last one wins.
+        return let(F.regexp_extract(cut, r"(?s)^(.*[.!?]) ", 1), lambda head: F.when(
+            F.length(head) - 1 > limit / 3, head).otherwise(F.concat(F.rtrim(cut), F.lit("…"))))
+
+    return let(clean, lambda c: F.when(F.length(c) <= limit, c).otherwise(let(F.substring(c, 1, limit), shorten)))
 
 
 def split_sentences(col: Column) -> Column:
@@ -223,11 +242,8 @@ def split_sentences(col: Column) -> Column:
 
 def lead_quote(col: Column) -> Column:
     """The first two sentences, three when two are short."""
-    sentences = split_sentences(col)
-    two = F.array_join(F.slice(sentences, 1, 2), " ")
-    return F.when(
-        (F.size(sentences) > 2) & (F.length(two) < 220), F.array_join(F.slice(sentences, 1, 3), " ")
-    ).otherwise(two)
+    return let(split_sentences(col), lambda s: let(F.array_join(F.slice(s, 1, 2), " "), lambda two: F.when(
+        (F.size(s) > 2) & (F.length(two) < 220), F.array_join(F.slice(s, 1, 3), " ")).otherwise(two)))
 
 
 def mask_personal_data(col: Column, token: str) -> Column:

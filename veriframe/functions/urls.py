@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veriframe import config
+from veriframe.functions.text import let
 
 # --- fixed values: parameters and suffixes that do not identify a file --------
 TRACKING_PARAM = r"utm_[a-z_]*|fbclid|gclid|yclid|ysclid|igshid|mc_[ce]id|_ga|_gl|spm|ref|referrer|source|from"
@@ -29,27 +30,31 @@ def url_host(col: Column) -> Column:
 
 def canonical_url(col: Column) -> Column:
     """One string per image file, whatever size, tracking or scheme its URL carries."""
-    trimmed = F.trim(col)
-    host = url_host(trimmed)
-    path = F.coalesce(F.try_parse_url(trimmed, F.lit("PATH")), F.lit(""))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(
-        path.rlike(MEDIA_THUMB), F.regexp_replace(path, MEDIA_THUMB, "/wikipedia/$1/$2/$3/$4")
-    ).otherwise(F.regexp_replace(F.regexp_replace(path, RETINA_SUFFIX, ""), SIZE_SUFFIX, ""))
-    query = F.coalesce(F.try_parse_url(trimmed, F.lit("QUERY")), F.lit(""))
-    pairs = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "") & ~p.rlike(f"(?i)^(?:{TRACKING_PARAM}|{SIZE_PARAM})(?:=|$)"),
-    )
-    # Sort by key only (the sort keeps the order of equal keys): key, then position.
-    keyed = F.array_sort(
-        F.transform(pairs, lambda p, i: F.struct(F.split(p, "=").getItem(0).alias("k"), i.alias("i"), p.alias("p")))
-    )
-    kept = F.array_join(F.transform(keyed, lambda s: F.when(s["p"].contains("="), s["p"]).otherwise(
-        F.concat(s["p"], F.lit("=")))), "&")
-    rebuilt = F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    is_web = F.lower(trimmed).rlike("^https?://") & host.isNotNull()
-    return F.when(is_web, rebuilt).otherwise(trimmed)
+    def path_of(url: Column) -> Column:
+        return let(F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")), lambda p: F.when(
+            p.rlike(MEDIA_THUMB), F.regexp_replace(p, MEDIA_THUMB, "/wikipedia/$1/$2/$3/$4")
+        ).otherwise(F.regexp_replace(F.regexp_replace(p, RETINA_SUFFIX, ""), SIZE_SUFFIX, "")))
+
+    def query_of(url: Column) -> Column:
+        query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+        pairs = F.filter(
+            F.split(query, "&"),
+            lambda p: (p != "") & ~p.rlike(f"(?i)^(?:{TRACKING_PARAM}|{SIZE_PARAM})(?:=|$)"),
+        )
+        # Sort by key only (equal keys keep their order): key, then position.
+        keyed = F.array_sort(F.transform(
+            pairs, lambda p, i: F.struct(F.split(p, "=").getItem(0).alias("k"), i.alias("i"), p.alias("p"))))
+        joined = F.array_join(F.transform(keyed, lambda s: F.when(s["p"].contains("="), s["p"]).otherwise(
+            F.concat(s["p"], F.lit("=")))), "&")
+        return F.when(query == "", "").otherwise(let(joined, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise("")))
+
+    def rebuilt(url: Column) -> Column:
+        return F.when(
+            F.lower(url).rlike("^https?://"),
+            F.coalesce(F.concat(F.lit("https://"), url_host(url), path_of(url), query_of(url)), url),
+        ).otherwise(url)
+
+    return let(F.trim(col), rebuilt)
 
 
 def host_suffixes(host: Column) -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriframe import config
-from veriframe.functions.text import fold_text, normalize_name, query_variants
+from veriframe.functions.text import fold_text, let, normalize_name, query_variants
 from veriframe.operators.ranking import top_k
+from veriframe.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
 ACRONYM_STOPS = ["имени", "им", "атындагы", "of", "the", "named", "after"]
@@ -39,19 +40,22 @@ def name_rows(index: DataFrame) -> DataFrame:
 
 def acronyms(name: Column) -> Column:
     """Initials of the words before a stop word, plus the variant with a whole first syllable."""
-    words = F.split(fold_text(name), " ")
-    stops = F.filter(F.transform(words, lambda w, i: F.when(w.isin(ACRONYM_STOPS), i)), lambda i: i.isNotNull())
-    head = F.slice(words, 1, F.coalesce(F.get(stops, F.lit(0)), F.size(words)))
-    kept = F.filter(head, lambda w: F.length(w) > 1)
-    initials = F.array_join(F.transform(kept, lambda w: F.substring(w, 1, 1)), "")
-    first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
-    syllable = F.lit(None).cast("string")
-    for start in SYLLABLE_HEADS:
-        syllable = F.when(first.startswith(start), F.lit(start)).otherwise(syllable)
-    syllabic = F.when(F.size(kept) >= 2, F.concat(syllable, F.substring(initials, 2, 1000)))
-    return F.array_compact(F.array(
-        F.when(F.length(initials).between(3, 6), initials), F.when(F.length(syllabic).between(4, 8), syllabic)
-    ))
+    def before_stop(words: Column) -> Column:
+        stops = F.filter(F.transform(words, lambda w, i: F.when(w.isin(ACRONYM_STOPS), i)), lambda i: i.isNotNull())
+        return F.slice(words, F.lit(1), F.coalesce(F.get(stops, F.lit(0)), F.size(words)))
+
+    def build(kept: Column, initials: Column) -> Column:
+        first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
+        syllable = F.lit(None).cast("string")
+        for start in SYLLABLE_HEADS:
+            syllable = F.when(first.startswith(start), F.lit(start)).otherwise(syllable)
+        syllabic = F.when(F.size(kept) >= 2, F.concat(syllable, F.substring(initials, 2, 1000)))
+        return let(syllabic, lambda y: F.array_compact(F.array(
+            F.when(F.length(initials).between(3, 6), initials), F.when(F.length(y).between(4, 8), y))))
+
+    kept_words = F.filter(let(F.split(fold_text(name), " "), before_stop), lambda w: F.length(w) > 1)
+    initials_of = lambda kept: F.array_join(F.transform(kept, lambda w: F.substring(w, 1, 1)), "")
+    return let(kept_words, lambda kept: let(initials_of(kept), lambda i: build(kept, i)))
 
 
 def index_terms(index: DataFrame) -> DataFrame:
@@ -75,11 +79,11 @@ def normalized_terms(terms: DataFrame) -> DataFrame:
 def normalized_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id -> norm, norm -> variant): equal queries collapse into one normalized text."""
     texts = queries.select("query").distinct().select(
-        "query", F.substring(F.trim("query"), 1, 120).alias("cut")
-    ).select("query", normalize_name(F.col("cut")).alias("norm"), query_variants(F.col("cut")).alias("variants"))
+        "query", normalize_name(F.substring(F.trim("query"), 1, 120)).alias("norm")
+    )
     ids = queries.join(texts, "query").select("query_id", "norm")
-    variants = texts.select("norm", "variants").distinct().select("norm", F.explode("variants").alias("variant"))
-    return ids, variants.distinct()
+    norms = texts.select("norm").distinct()
+    return ids, norms.select("norm", F.explode(query_variants(F.col("norm"))).alias("variant"))
 
 
 # --- match quality ------------------------------------------------------------------
@@ -240,8 +244,10 @@ def candidate_cards(ranked: DataFrame, index: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(query_id -> norm, ranked candidates per norm, decision per norm)."""
     ids, variants = normalized_queries(queries)
-    terms = normalized_terms(index_terms(index))
-    ranked = rank_candidates(variants, terms, index)
+    # Both are read by several joins below: write them once instead of normalizing for each.
+    ids, variants = cut_lineage(ids), cut_lineage(variants)
+    terms = cut_lineage(normalized_terms(index_terms(index)))
+    ranked = cut_lineage(rank_candidates(variants, terms, index))
     return ids, ranked, decide(ranked, ids)
 
 
@@ -295,24 +301,24 @@ def similarity(distance: Column, a: Column, b: Column) -> Column:
 
 def significant_words(text: Column) -> Column:
     """Drop misspelled filler words (at most two edits away); keep everything when nothing would remain."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~((F.length(w) >= 5) & F.exists(
-        F.array(*[F.lit(f) for f in FILLER_LIKE]), lambda f: within_two(w, f))))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+    near_filler = lambda w: (F.length(w) >= 5) & F.exists(
+        F.array(*[F.lit(f) for f in FILLER_LIKE]), lambda f: within_two(w, f))
+    return let(F.filter(F.split(text, " "), lambda w: w != ""), lambda words: let(
+        F.filter(words, lambda w: ~near_filler(w)),
+        lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words)))
 
 
 def within_two(word: Column, target: Column) -> Column:
-    """OSA distance at most 2: plain distance at most 2, or that after one swap in the word, or two swaps."""
+    """OSA distance at most 2, from plain distances: as it is, after one swap, or after two swaps."""
     def swaps(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.concat(
             F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)),
             F.substring(w, i + 2, F.lit(1000))))
 
+    one = lambda w: F.exists(swaps(w), lambda s: (F.levenshtein(s, target) <= 1) | (
+        (F.levenshtein(s, target) == 2) & F.exists(swaps(s), lambda t: t == target)))
     close = F.abs(F.length(word) - F.length(target)) <= 2
-    one = F.exists(swaps(word), lambda s: F.levenshtein(s, target) <= 1)
-    two = (F.length(word) == F.length(target)) & F.exists(
-        swaps(word), lambda s: (F.levenshtein(s, target) <= 2) & F.exists(swaps(s), lambda t: t == target))
-    return close & ((F.levenshtein(word, target) <= 2) | (F.levenshtein(word, target).between(3, 4) & (one | two)))
+    return close & let(F.levenshtein(word, target), lambda d: (d <= 2) | (d.between(3, 4) & one(word)))
 
 
 def _deletes(word: Column) -> Column:
@@ -352,11 +358,12 @@ def fuzzy_candidates(variants: DataFrame, names: DataFrame) -> DataFrame:
 
 def fuzzy_similarity(pairs: DataFrame) -> DataFrame:
     """(variant, name, similarity): the better of whole-string and mean best-word similarity."""
-    rows = pairs.select("variant", "name", significant_words(F.col("variant")).alias("qw"),
-                        significant_words(F.col("name")).alias("nw"))
+    qw = pairs.select("variant").distinct().select("variant", significant_words(F.col("variant")).alias("qw"))
+    nw = pairs.select("name").distinct().select("name", significant_words(F.col("name")).alias("nw"))
+    rows = pairs.join(qw, "variant").join(nw, "name")
     whole = rows.select("variant", "name", F.array_join("qw", " ").alias("a"), F.array_join("nw", " ").alias("b"))
     whole = whole.select("variant", "name", similarity(osa_distance("a", "b"), F.col("a"), F.col("b")).alias("whole"))
-    words = rows.select("variant", "name", F.posexplode(F.filter("qw", lambda w: F.length(w) >= 3)).alias("i", "w"), "nw")
+    words = rows.select("variant", "name", "nw", F.posexplode(F.filter("qw", lambda w: F.length(w) >= 3)).alias("i", "w"))
     words = words.select("variant", "name", "i", "w", F.explode("nw").alias("n"))
     # Distances once per distinct word pair.
     table = words.select("w", "n").distinct().withColumn("d", osa_distance("w", "n"))

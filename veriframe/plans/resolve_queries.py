@@ -9,6 +9,7 @@ from veriframe.operators import resolve
 from veriframe.plans.adapters import ADAPTERS, adapter
 from veriframe.plans.registry import query
 from veriframe.plans.text_queries import NAMES_CTES, drop_filler_sql, fold_sql, translit_sql
+from veriframe.session import cut_lineage
 from veriframe.sources.tables import read_table
 
 _STOPS = "'имени', 'им', 'атындагы', 'of', 'the', 'named', 'after'"
@@ -68,6 +69,14 @@ def inputs(spark, sf_dir):
     return adapter(spark, sf_dir, "name_queries"), adapter(spark, sf_dir, "index_entries")
 
 
+def texts(spark, sf_dir, generated=True):
+    """Normalized query variants and index terms, written once because several joins read them."""
+    queries, index = inputs(spark, sf_dir)
+    _, variants = resolve.normalized_queries(queries)
+    names = resolve.index_terms(index) if generated else resolve.name_rows(index)
+    return cut_lineage(variants), cut_lineage(resolve.normalized_terms(names))
+
+
 @query("acronyms", TERM_CTES + "SELECT DISTINCT r.text AS name, m.acronym FROM raw_names r JOIN made m USING (text) WHERE r.kind = 'label'")
 def acronyms(spark, sf_dir):
     labels = resolve.name_rows(adapter(spark, sf_dir, "index_entries")).filter("kind = 'label'").select(
@@ -87,9 +96,7 @@ def query_variants(spark, sf_dir):
 
 @query("resolve_pairs", MATCH_CTES + "SELECT variant, name, CAST(level AS BIGINT) AS level FROM matches")
 def resolve_pairs(spark, sf_dir):
-    queries, index = inputs(spark, sf_dir)
-    _, variants = resolve.normalized_queries(queries)
-    terms = resolve.normalized_terms(resolve.index_terms(index))
+    variants, terms = texts(spark, sf_dir)
     return resolve.text_matches(variants, terms).select("variant", "name", F.col("level").cast("bigint").alias("level"))
 
 
@@ -98,9 +105,7 @@ SELECT v.norm, t.name, t.kind, CAST(round(100 * max(CASE m.level WHEN 3 THEN CAS
     WHEN 2 THEN 0.75 ELSE 0.6 END)) AS BIGINT) AS match_percent
 FROM variants v JOIN matches m USING (variant) JOIN (SELECT DISTINCT name, kind FROM nterms) t USING (name) GROUP BY ALL""")
 def match_quality(spark, sf_dir):
-    queries, index = inputs(spark, sf_dir)
-    _, variants = resolve.normalized_queries(queries)
-    terms = resolve.normalized_terms(resolve.index_terms(index))
+    variants, terms = texts(spark, sf_dir)
     matches = variants.join(resolve.text_matches(variants, terms), "variant").join(
         terms.select("name", "kind").distinct(), "name")
     quality = resolve.match_quality(F.col("level"), F.col("kind"))
@@ -143,10 +148,8 @@ hits AS (SELECT v.norm, t.qid, max((k.n / k.total) * (1 + 0.25::DOUBLE * log10(1
 SELECT norm, qid, rank, CAST(round(score * 10000) AS BIGINT) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY round(score, 9) DESC, qid) AS rank FROM hits) WHERE rank <= 12""")
 def search_and_or(spark, sf_dir):
-    queries, index = inputs(spark, sf_dir)
-    _, variants = resolve.normalized_queries(queries)
-    terms = resolve.normalized_terms(resolve.index_terms(index)).select("qid", "name").distinct()
-    pool = resolve.search_and_or(variants, terms, index)
+    variants, terms = texts(spark, sf_dir)
+    pool = resolve.search_and_or(variants, terms.select("qid", "name").distinct(), inputs(spark, sf_dir)[1])
     return pool.select("norm", "qid", "rank", F.round(F.col("score") * 10000).cast("bigint").alias("score"))
 
 
@@ -168,19 +171,16 @@ def osa_similarity(spark, sf_dir):
 
 @query("fuzzy_rank")
 def fuzzy_rank(spark, sf_dir):
-    queries, index = inputs(spark, sf_dir)
-    _, variants = resolve.normalized_queries(queries)
-    terms = resolve.normalized_terms(resolve.name_rows(index))
+    variants, terms = texts(spark, sf_dir, generated=False)
     found = resolve.fuzzy_similarity(resolve.fuzzy_candidates(variants, terms))
     return found.select("variant", "name", F.round(F.col("similarity") * 10000).cast("bigint").alias("similarity"))
 
 
 @query("resolve_suggest")
 def resolve_suggest(spark, sf_dir):
-    queries, index = inputs(spark, sf_dir)
-    ids, variants = resolve.normalized_queries(queries)
-    terms = resolve.normalized_terms(resolve.index_terms(index))
-    decided = resolve.decide(resolve.rank_candidates(variants, terms, index), ids)
+    _, index = inputs(spark, sf_dir)
+    variants, terms = texts(spark, sf_dir)
+    decided = resolve.decide(resolve.rank_candidates(variants, terms, index), variants)
     open_variants = variants.join(decided.filter("status = 'not_found'").select("norm"), "norm", "left_semi")
     located = index.withColumn("place_id", F.col("city_name"))
     places = located.select("city_name").distinct().select(
