@@ -256,7 +256,7 @@ def search_and_or(variants: DataFrame, names: DataFrame, index: DataFrame, k: in
 
     The score is the share of words found, weighted by popularity; best variant per entity, top k per query.
     """
-    posting = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    posting = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     words = variants.select("variant").distinct().select(
         "variant", F.size(F.array_distinct(F.split("variant", " "))).alias("total"),
         F.explode(F.array_distinct(F.split("variant", " "))).alias("word"),

@@ -166,7 +166,113 @@ ADAPTERS["stream_events"] = """
     CAST(round(value * 100) AS BIGINT) AS amount
   FROM events"""
 
-# Uploads and known pictures: 64-bit fingerprints from neighbouring embedding values, plus planted copies.
+# Knowledge-base result rows as JSON, one text per part.
+ADAPTERS["bindings"] = """
+  SELECT p_partkey, concat('{"item":{"value":"http://kb.example.org/entity/Q', CAST(p_partkey AS STRING), '"}',
+    CASE WHEN p_partkey % 12 <> 11 THEN concat(',"nameEn":{"value":"', p_name, '"}') ELSE '' END,
+    CASE WHEN p_partkey % 5 = 0 THEN concat(',"nameRu":{"value":"Вуз ', CAST(p_size AS STRING), '"}') ELSE '' END,
+    CASE WHEN p_partkey % 3 = 0 THEN concat(',"altsEn":{"value":"', p_name, '||', p_brand, '||', p_type, '"}') ELSE '' END,
+    CASE WHEN p_partkey % 4 = 0 THEN concat(',"shortName":{"value":"', p_brand, '"}') ELSE '' END,
+    ',"countryLabel":{"value":"Nation_', CAST(p_size % 25 AS STRING), '"},"countryCode":{"value":"C', CAST(p_size % 25 AS STRING), '"}',
+    CASE WHEN p_partkey % 6 <> 0 THEN concat(',"coord":{"value":"Point(', CAST(p_partkey % 180 AS STRING), '.25 -', CAST(p_size AS STRING), '.5)"}') ELSE '' END,
+    CASE WHEN p_partkey % 7 <> 0 THEN concat(',"website":{"value":"https://www.P', CAST(p_partkey AS STRING), '.Edu/x"}') ELSE '' END,
+    CASE WHEN p_partkey % 8 <> 0 THEN concat(',"inception":{"value":"19', CAST(10 + p_size AS STRING), '-01-01T00:00:00Z"}') ELSE '' END,
+    CASE p_partkey % 3 WHEN 0 THEN ',"students":{"value":"many"}' WHEN 1 THEN concat(',"students":{"value":"', CAST(p_size * 100 AS STRING), '.7"}') ELSE '' END,
+    CASE WHEN p_partkey % 9 <> 0 THEN concat(',"sitelinks":{"value":"', CAST(p_partkey * 11 % 160 AS STRING), '"}') ELSE '' END,
+    CASE WHEN p_partkey % 2 = 0 THEN concat(',"wpRu":{"value":"Статья ', CAST(p_partkey AS STRING), '"},"wpEn":{"value":"Page ', CAST(p_partkey AS STRING), '"}') ELSE '' END,
+    '}') AS body,
+    p_partkey % 10 < 4 AS regional
+  FROM part"""
+
+# Open domain list rows: names repeat, so the last row of a key must win.
+ADAPTERS["domain_rows"] = """
+  SELECT p_partkey AS ordinal, concat('{"name":"', upper(p_name), CASE WHEN p_partkey % 2 = 0 THEN '!' ELSE '' END,
+    '","country":" NATION_', CAST(p_size % 25 AS STRING), ' ","domains":["d', CAST(p_partkey AS STRING), '.edu","', 'e', CAST(p_size AS STRING), '.org"]}') AS body
+  FROM part"""
+
+# Raw knowledge-base items: labels and a JSON list of claims.
+ADAPTERS["raw_entities"] = """
+  SELECT concat('Q', CAST(c_custkey AS STRING)) AS qid, c_custkey AS k,
+    CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS label_en,
+    CASE WHEN c_custkey % 4 = 1 THEN concat('Университет ', CAST(c_custkey AS STRING)) END AS label_ru,
+    CASE WHEN c_custkey % 5 = 2 THEN 'private higher education' ELSE 'a thing' END AS description,
+    CASE WHEN c_custkey % 8 = 0 THEN concat('Category:Cat ', CAST(c_custkey AS STRING)) WHEN c_custkey % 8 = 1 THEN 'Gallery' END AS commons_sitelink,
+    CASE WHEN c_custkey % 3 = 1 THEN 10 + (c_custkey % 50) / 1e1 END AS article_lat,
+    CASE WHEN c_custkey % 3 = 1 THEN 20 + (c_custkey % 50) / 1e1 END AS article_lon,
+    concat('[',
+      CASE c_custkey % 4 WHEN 0 THEN '{"property":"P31","rank":"normal","snaktype":"value","value":{"id":"Q3918"}},'
+        WHEN 1 THEN '{"property":"P31","rank":"normal","snaktype":"value","value":{"id":"Q5341295"}},'
+        WHEN 2 THEN '{"property":"P31","rank":"deprecated","snaktype":"value","value":{"id":"Q515"}},' ELSE '' END,
+      '{"property":"P571","rank":"', CASE WHEN c_custkey % 7 = 0 THEN 'deprecated' ELSE 'normal' END, '","snaktype":"value","value":{"time":"+',
+        CASE WHEN c_custkey % 6 = 0 THEN '0' ELSE '1' END, CAST(800 + c_custkey % 199 AS STRING), '-06-28T00:00:00Z"}},',
+      CASE WHEN c_custkey % 5 = 0 THEN concat('{"property":"P571","rank":"preferred","snaktype":"', CASE WHEN c_custkey % 10 = 0 THEN 'novalue' ELSE 'value' END,
+        '","value":{"time":"+1', CAST(700 + c_custkey % 99 AS STRING), '-00-00T00:00:00Z"}},') ELSE '' END,
+      '{"property":"P2196","rank":"normal","snaktype":"value","value":{"amount":"+', CAST(c_custkey * 3 AS STRING), '"},"point_in_time":"+2015-01-01T00:00:00Z"},',
+      CASE WHEN c_custkey % 2 = 0 THEN concat('{"property":"P2196","rank":"normal","snaktype":"value","value":{"amount":"+', CAST(c_custkey * 5 AS STRING), '"},"point_in_time":"+20',
+        CAST(10 + c_custkey % 13 AS STRING), '-01-01T00:00:00Z"},') ELSE '' END,
+      CASE WHEN c_custkey % 3 = 0 THEN concat('{"property":"P625","rank":"normal","snaktype":"value","value":{"latitude":', CAST(c_custkey % 90 AS STRING), '.5,"longitude":',
+        CAST(c_custkey % 170 AS STRING), '.25}},') ELSE '' END,
+      CASE WHEN c_custkey % 2 = 0 THEN concat('{"property":"P159","rank":"normal","snaktype":"value","value":{"id":"n', CAST(c_nationkey AS STRING), '"}},') ELSE '' END,
+      '{"property":"P131","rank":"normal","snaktype":"value","value":{"id":"', CASE WHEN c_custkey % 13 = 0 THEN 'nowhere' ELSE concat('r', CAST(c_nationkey % 5 AS STRING)) END, '"}},',
+      '{"property":"P17","rank":"normal","snaktype":"value","value":{"id":"n', CAST(c_nationkey AS STRING), '"}},',
+      CASE WHEN c_custkey % 6 = 0 THEN concat('{"property":"P373","rank":"normal","snaktype":"value","value":"Cat of ', c_name, '"},') ELSE '' END,
+      '{"property":"P856","rank":"normal","snaktype":"value","value":"https://www.Site', CAST(c_custkey AS STRING), '.edu/a"},',
+      '{"property":"P856","rank":"normal","snaktype":"value","value":"http://site', CAST(c_custkey % 50 AS STRING), '.org"}]') AS claims_json
+  FROM customer"""
+
+# Provider answers: web image rows, open-license rows, media file rows.
+ADAPTERS["web_rows"] = """
+  SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS STRING) ELSE 'library' END AS category_hint,
+    concat('{"title":"  Order ', CAST(o_orderkey AS STRING), ' ","imageUrl":"', CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE concat('https://img', CAST(o_orderkey % 7 AS STRING), '.example.com/', CAST(o_orderkey AS STRING), '.jpg') END,
+      '","link":', CASE WHEN o_orderkey % 13 = 0 THEN 'null' WHEN o_orderkey % 17 = 0 THEN '"not a url"' ELSE concat('"https://www.Host', CAST(o_orderkey % 20 AS STRING), '.com/p"') END,
+      ',"domain":', CASE WHEN o_orderkey % 2 = 0 THEN '" shop.example.net "' ELSE '""' END,
+      ',"imageWidth":', CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '-5' WHEN 2 THEN '800' ELSE '"wide"' END, ',"imageHeight":600}') AS body
+  FROM orders"""
+
+ADAPTERS["open_rows"] = """
+  SELECT p_partkey, p_partkey % 10 AS entity_id, concat('{"title":"', CASE p_partkey % 4 WHEN 0 THEN concat('View of Supplier 00000000', CAST(p_partkey % 10 AS STRING)) ELSE p_name END,
+      '","url":"https://live.example.org/', CAST(p_partkey AS STRING), '.jpg","foreign_landing_url":"https://', CASE p_partkey % 5 WHEN 0 THEN 'www.alamy.com' WHEN 1 THEN 'pinterest.com' WHEN 2 THEN concat('u', CAST(p_partkey % 10 AS STRING), '.kz') ELSE 'photos.example.org' END,
+      '/x","license":"', CASE WHEN p_partkey % 3 = 0 THEN 'by-sa' ELSE 'cc0' END, '"', CASE WHEN p_partkey % 2 = 0 THEN ',"license_version":"4.0"' ELSE '' END,
+      ',"filetype":"', CASE WHEN p_partkey % 7 = 0 THEN 'SVG' ELSE 'JPG' END, '","width":', CAST(p_size * 40 AS STRING), ',"height":', CAST(p_size * 30 AS STRING),
+      ',"mature":', CASE WHEN p_partkey % 19 = 0 THEN 'true' ELSE 'false' END, ',"tags":[{"name":"campus"},{"name":"', CASE WHEN p_partkey % 3 = 1 THEN concat('supplier-00000000', CAST(p_partkey % 10 AS STRING)) ELSE 'x' END, '"}]}') AS body
+  FROM part"""
+
+ADAPTERS["media_rows"] = """
+  SELECT c_custkey, c_custkey % 10 AS entity_id, CASE c_custkey % 5 WHEN 0 THEN 'category' WHEN 1 THEN 'depicts' WHEN 2 THEN 'geosearch' WHEN 3 THEN 'city' ELSE 'article' END AS origin,
+    concat('File:', CASE c_custkey % 9 WHEN 0 THEN 'Logo of ' WHEN 1 THEN 'Library of ' WHEN 2 THEN 'Student club ' ELSE 'Main building ' END, 'Supplier 00000000', CAST(c_custkey % 10 AS STRING), ' no ', CAST(c_custkey AS STRING), '.JPG') AS title,
+    CASE WHEN c_custkey % 14 = 0 THEN 'image/svg+xml' ELSE 'image/jpeg' END AS mime,
+    concat('https://upload.example.org/a/', CAST(c_custkey AS STRING), '.jpg?utm_source=z') AS url,
+    CASE WHEN c_custkey % 3 = 0 THEN concat('https://upload.example.org/thumb/', CAST(c_custkey AS STRING), '.jpg/960px-x.jpg') END AS thumb_url,
+    concat('https://', CASE WHEN c_custkey % 15 = 0 THEN 'en.wikipedia.org' ELSE 'commons.wikimedia.org' END, '/wiki/File:', CAST(c_custkey AS STRING)) AS description_url,
+    c_custkey % 40 * 50 AS width, c_custkey % 37 * 50 AS height,
+    concat('<b>View</b> &amp; ', CASE WHEN c_custkey % 6 = 0 THEN 'dormitory' ELSE 'place' END) AS description_html,
+    CASE WHEN c_custkey % 8 = 0 THEN 'Maps of cities|Other' ELSE 'Buildings|Places' END AS categories,
+    CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 80 + 1 / 2e0 END AS lat, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 170 + 1 / 4e0 END AS lon,
+    CASE c_custkey % 4 WHEN 1 THEN '12.5' WHEN 2 THEN '0' ELSE 'x' END AS gps_lat, CASE c_custkey % 4 WHEN 1 THEN '70.25' WHEN 2 THEN '0' ELSE 'y' END AS gps_lon,
+    CASE WHEN c_custkey % 3 = 0 THEN '2014-06-09 09:59' END AS date_original, '2019-11-02T10:00:00Z' AS uploaded_at,
+    CASE WHEN c_custkey % 2 = 0 THEN 'CC BY-SA 4.0' END AS license_name, '<a href="x">Someone</a>' AS artist
+  FROM customer"""
+
+# Observation bodies: wrapped, bare or fenced JSON; some with a missing id or unusable text.
+ADAPTERS["observation_bodies"] = """
+  SELECT o_orderkey AS body_id, concat(CASE o_orderkey % 3 WHEN 0 THEN '{"images":' WHEN 1 THEN '' ELSE '```json ' END, '[',
+      '{"id":', CASE WHEN o_orderkey % 17 = 0 THEN 'null' ELSE concat('"a', CAST(o_orderkey AS STRING), '"') END,
+      ',"image_type":"', CASE o_orderkey % 4 WHEN 0 THEN 'photo' WHEN 1 THEN 'collage' WHEN 2 THEN 'painting' ELSE 'other' END,
+      '","stock_like":', CASE o_orderkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' ELSE 'false' END,
+      ',"watermark_text":"', CASE WHEN o_orderkey % 2 = 0 THEN '  mark ' ELSE ' ' END, '","primary_category":"', CASE WHEN o_orderkey % 6 = 0 THEN 'garden' ELSE 'library' END,
+      '","secondary_categories":["campus","zzz","lab"],"visible_text":" Uni ', CAST(o_orderkey AS STRING), ' ","names_institution":"', CASE WHEN o_orderkey % 7 = 0 THEN 'maybe' ELSE 'this' END,
+      '","scene_consistent_with_context":"consistent","close_up_portrait":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'null' END,
+      ',"quality":', CASE o_orderkey % 5 WHEN 0 THEN '9' WHEN 1 THEN '3.5' WHEN 2 THEN '"4"' WHEN 3 THEN '-1' ELSE '"bad"' END, ',"reason":"r"}',
+      ',{"id":"b', CAST(o_orderkey AS STRING), '"}]', CASE o_orderkey % 3 WHEN 0 THEN '}' WHEN 1 THEN '' ELSE ' ```' END,
+      CASE WHEN o_orderkey % 23 = 0 THEN '{{{' ELSE '' END) AS body
+  FROM orders"""
+
+# Server-sent event text, one per event: comments, CRLF, split data lines, bad JSON.
+ADAPTERS["event_text"] = """
+  SELECT event_id, concat('event: ', event_type, chr(10), 'data: ', CASE WHEN event_id % 9 = 0 THEN '{"a":' ELSE props END, CASE WHEN event_id % 4 = 0 THEN chr(13) ELSE '' END, chr(10), chr(10),
+    ': heartbeat', chr(10), chr(10), 'data:{"b":', chr(10), 'data: 1}', chr(10), chr(10), CASE WHEN event_id % 3 = 0 THEN concat('event: tail', chr(10), 'data: {}') ELSE '' END) AS text
+  FROM events"""
+
 ADAPTERS["reviews"] = """
   SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS review_id, conv_id AS entity_id,
     CASE role WHEN 'user' THEN 'study' WHEN 'assistant' THEN 'dorm' ELSE 'weather' END AS aspect,
@@ -179,7 +285,7 @@ ADAPTERS["reviews"] = """
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One engine input as a DataFrame."""
     sources = {t: read_table(spark, sf_dir, t) for t in TABLES if _mentions(ADAPTERS[name], t)}
-    text = ADAPTERS[name]
+    text = ADAPTERS[name].replace("{", "{{").replace("}", "}}")
     for table in sources:
         text = _replace_word(text, table)
     return spark.sql(text, **sources)

@@ -5,6 +5,7 @@ from veriframe.plans import (  # noqa: F401
     dedup_queries,
     resolve_queries,
     scoring_queries,
+    source_queries,
     text_queries,
 )
 from veriframe.plans.registry import ORACLES, QUERIES  # noqa: F401
