@@ -85,7 +85,7 @@ HIGHER_EDUCATION_CLASSES = [
     "Q47531586", "Q98658352", "Q16077796", "Q3520135", "Q1620945",
 ]
 GENERIC_EDUCATION_CLASSES = ["Q5341295", "Q2385804", "Q4671277"]
-HIGHER_EDUCATION_TEXT = r"(?i)universit|университет|higher education|высшее учебное|вуз\b"
+HIGHER_EDUCATION_TEXT = r"(?iu)universit|университет|higher education|высшее учебное|вуз\b"
 
 # --- fixed values: points and thresholds -------------------------------------
 POINTS = {

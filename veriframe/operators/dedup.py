@@ -336,3 +336,39 @@ def normalized(vector: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def similar_embeddings(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, id_a, id_b) with cosine at least ``threshold``, exact.
+
+    Vectors of a pair with cosine >= t differ by at most sqrt(2 - 2t) in every coordinate and in every fixed
+    projection of unit length. Three projections (sums over thirds of the axes) are cut into cells of that width; a
+    pair is at most one cell apart in each, so one side is written to its 27 neighbour cells and joined. Equal
+    vectors collapse first, so copies cost one row.
+    """
+    width = (2 - 2 * threshold) ** 0.5 + 1e-9
+    unit = rows.select(*keys, "id", normalized(F.col("e")).alias("u"))
+    # Copies that differ by scale only agree after rounding; they are joined through their rounded form.
+    form = unit.withColumn("form", F.transform("u", lambda x: F.round(x, 9)))
+    classes = form.groupBy(*keys, "form").agg(F.min("id").alias("rep")).withColumn("n", F.size("form"))
+
+    def projection(part: int) -> Column:
+        picked = F.filter("form", lambda x, i: i % 3 == part)
+        total = F.aggregate(picked, F.lit(0.0), lambda acc, x: acc + x)
+        return F.floor(total / F.sqrt(F.size(picked).cast("double")) / F.lit(width))
+
+    cells = classes.select(*keys, "rep", "form", *[projection(p).alias(f"c{p}") for p in range(3)])
+    spread = cells.select(*keys, F.col("rep").alias("rep_b"), F.col("form").alias("form_b"), *[
+        F.col(f"c{p}").alias(f"b{p}") for p in range(3)])
+    for p in range(3):
+        spread = spread.withColumn(f"c{p}", F.explode(F.array(F.col(f"b{p}") - 1, F.col(f"b{p}"), F.col(f"b{p}") + 1)))
+    near = cells.join(spread.drop("b0", "b1", "b2"), keys + ["c0", "c1", "c2"]).filter(
+        (F.col("rep") <= F.col("rep_b")) & (cosine(F.col("form"), F.col("form_b")) >= threshold - 1e-9))
+    pairs = near.select(*keys, F.col("form").alias("fa"), F.col("form_b").alias("fb"), "rep", "rep_b")
+    members = form.select(*keys, "form", "id")
+    left = members.withColumnRenamed("form", "fa").withColumnRenamed("id", "ia")
+    right = members.withColumnRenamed("form", "fb").withColumnRenamed("id", "ib")
+    joined = pairs.join(left, keys + ["fa"]).join(right, keys + ["fb"])
+    same = F.col("rep") == F.col("rep_b")
+    return joined.filter(~same | (F.col("ia") < F.col("ib"))).select(
+        *keys, F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

@@ -77,3 +77,85 @@ def coverage_consistency(photos: DataFrame, entities: DataFrame, stored: DataFra
     return fresh.exceptAll(old).select(F.lit("missing_or_changed").alias("side"), "*").unionByName(
         old.exceptAll(fresh).select(F.lit("unexpected").alias("side"), "*")
     )
+
+
+# --- runs, labels, sources ----------------------------------------------------------------
+
+
+def source_health(statuses: DataFrame) -> DataFrame:
+    """Degraded flags per entity and whether its profile may be stored."""
+    down = F.col("status").isin("timeout", "error", "simulated_down")
+    flag = (
+        F.when(down & F.col("source").isin("commons", "wikipedia"), "wikimedia_unavailable")
+        .when(down & (F.col("source") == "web_search"), "web_search_unavailable")
+        .when((F.col("source") == "vision") & (F.col("status") != "ok"), "vision_unavailable")
+    )
+    # Three flags exist, so the set is bounded.
+    flags = statuses.groupBy("entity_id").agg(F.array_sort(F.collect_set(flag)).alias("degraded"))
+    return flags.withColumn("cacheable", F.size("degraded") == 0)
+
+
+def verdict(runs: DataFrame) -> DataFrame:
+    """FAIL / WARN / SKIP / PASS of each run (terminal, error_code, n_fails, n_warns, expected)."""
+    limited = (F.col("terminal") == "error") & (F.coalesce("error_code", F.lit("")) == "rate_limited")
+    outcome = F.when(F.col("terminal") == "done", "profile").otherwise(F.col("terminal"))
+    unexpected = outcome.isNotNull() & (outcome != "error") & ~F.array_contains("expected", outcome)
+    return runs.withColumn(
+        "verdict",
+        F.when(limited, "SKIP").when(F.col("terminal").isNull() | (F.col("terminal") == "error"), "FAIL")
+        .when(F.col("n_fails") > 0, "FAIL").when((F.col("n_warns") > 0) | unexpected, "WARN").otherwise("PASS"),
+    )
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row: outcomes, fresh and stored profiles, tiers of regular ones, profiles without a verified photo."""
+    done = F.col("terminal") == "done"
+    regular = done & ~F.col("simulated")
+    fresh = done & ~F.coalesce("cached", F.lit(False))
+    n = lambda cond: F.count(F.when(cond, 1))
+    tier_sum = lambda c: F.coalesce(F.sum(F.when(regular, F.col(c))), F.lit(0)).cast("bigint")
+    return runs.agg(
+        n(done).alias("profiles"), n(done & F.col("simulated")).alias("simulated"), n(F.col("terminal") == "ambiguous").alias("ambiguous"),
+        n(F.col("terminal") == "not_found").alias("not_found"), n(F.col("terminal") == "error").alias("errors"),
+        n(fresh).alias("fresh"), (n(done) - n(fresh)).alias("stored"), n(regular).alias("regular"),
+        tier_sum("verified").alias("verified"), tier_sum("likely").alias("likely"), tier_sum("unconfirmed").alias("unconfirmed"),
+        n(regular & (F.col("verified") == 0)).alias("without_verified"),
+    )
+
+
+def join_labels(photos: DataFrame, labels: DataFrame) -> DataFrame:
+    """Label of each photo: by picture URL, else by page URL."""
+    by_image = labels.groupBy("image_url").agg(F.min(F.struct("label_id", "belongs", "category")).alias("li"))
+    by_page = labels.groupBy("source_page_url").agg(F.min(F.struct("label_id", "belongs", "category")).alias("lp"))
+    joined = photos.join(by_image, "image_url", "left").join(by_page, "source_page_url", "left")
+    label = F.coalesce("li", "lp")
+    return joined.filter(label.isNotNull()).withColumns({
+        "belongs": label["belongs"], "true_category": label["category"]}).drop("li", "lp")
+
+
+def tier_precision(labeled: DataFrame) -> DataFrame:
+    """Precision of verified, and of verified + likely; category accuracy on photos that belong."""
+    tier, yes = F.col("tier"), F.col("belongs") == "yes"
+    known = F.col("belongs") != "unsure"
+    ratio = lambda num, den: F.round(F.try_divide(F.count(F.when(num, 1)) * 100.0, F.count(F.when(den, 1))), 3)
+    shown = tier.isin("verified", "likely")
+    return labeled.agg(
+        F.count(F.when(known, 1)).alias("n"),
+        ratio(known & (tier == "verified") & yes, known & (tier == "verified")).alias("precision_verified"),
+        ratio(known & shown & yes, known & shown).alias("precision_shown"),
+        ratio(yes & (F.col("category") == F.col("true_category")), yes).alias("category_accuracy"),
+    )
+
+
+def observation_eval(rows: DataFrame) -> DataFrame:
+    """Per model: category accuracy on belonging items, trap catch rate, name correctness."""
+    yes, trap = F.col("belongs") == "yes", F.col("belongs") == "no"
+    ratio = lambda num, den: F.round(F.try_divide(F.count(F.when(num, 1)) * 100.0, F.count(F.when(den, 1))), 3)
+    caught = (F.col("names_institution") == "other") | F.col("image_type").isin(config.NOT_A_PHOTO_TYPES)
+    named = F.col("names_institution").isin("this", "other")
+    right = (yes & (F.col("names_institution") == "this")) | (trap & (F.col("names_institution") == "other"))
+    return rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), ratio(yes & (F.col("primary_category") == F.col("true_category")), yes).alias("category_accuracy"),
+        ratio(trap & caught, trap).alias("trap_catch_rate"), ratio(named & right, named).alias("name_correctness"),
+        F.sum("tokens").cast("bigint").alias("tokens"),
+    )

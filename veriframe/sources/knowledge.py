@@ -82,9 +82,12 @@ def counts_by_country(index: DataFrame, n: int = 15) -> DataFrame:
 
 def spot_check(expected: DataFrame, index: DataFrame) -> DataFrame:
     """Expected names with the id that carries them; a label beats an alias, a later row an earlier one."""
-    label = F.explode(F.array_compact(F.array("name_en", "name_ru", "name_kk")))
-    labels = index.select(match_key(label).alias("key"), F.lit(0).alias("src"), "ordinal", "qid")
-    aliases = index.select(match_key(F.explode("aliases")).alias("key"), F.lit(1).alias("src"), "ordinal", "qid")
+    def keyed(texts: Column, src: int) -> DataFrame:
+        rows = index.select("ordinal", "qid", F.explode(texts).alias("text"))
+        return rows.select(match_key(F.col("text")).alias("key"), F.lit(src).alias("src"), "ordinal", "qid")
+
+    labels = keyed(F.array_compact(F.array("name_en", "name_ru", "name_kk")), 0)
+    aliases = keyed(F.col("aliases"), 1)
     # Last label wins; among aliases the first one stays.
     order = F.when(F.col("src") == 0, -F.col("ordinal")).otherwise(F.col("ordinal"))
     best = labels.unionByName(aliases).groupBy("key").agg(F.min_by("qid", F.struct("src", order.alias("o"))).alias("qid"))

@@ -124,13 +124,20 @@ def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: D
 # --- observation bodies ------------------------------------------------------------------
 
 
+def strict_json(text: Column) -> Column:
+    """Parsed JSON or null. Wrapping the text in a list makes the parser see trailing garbage, which it skips otherwise."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
+    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(observations, quarantined bodies). A missing id spoils its whole body; other odd values get a safe default."""
     kept = [c for c in bodies.columns if c != body]
     raw = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
     fenced = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```[a-z]*\s*", ""), "```$", ""))
     text = F.when(raw.startswith("```"), fenced).otherwise(raw)
-    parsed = bodies.withColumn("_json", F.try_parse_json(text)).withColumn("_list", F.coalesce(
+    parsed = bodies.withColumn("_json", strict_json(text)).withColumn("_list", F.coalesce(
         F.try_variant_get("_json", "$.images", "array<variant>"), F.try_variant_get("_json", "$", "array<variant>")))
     string = lambda v, f: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) == "STRING",
                                  F.try_variant_get(v, f"$.{f}", "string"))
@@ -149,7 +156,10 @@ def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame
 
     cut = lambda field, n: F.substring(F.trim(string(v, field)), 1, n)
     nullable = lambda field: F.nullif(cut(field, 120), F.lit(""))
-    number = F.try_variant_get(v, "$.quality", "string").try_cast("double")
+    given = F.try_variant_get(v, "$.quality", "variant")
+    shown = F.try_variant_get(v, "$.quality", "string")
+    # An empty or null answer counts as zero, so it is clamped to 1; only a missing or odd one takes the default.
+    number = F.when(given.isNotNull() & F.is_variant_null(given) | (shown == ""), 0.0).otherwise(shown.try_cast("double"))
     observations = rows.select(
         *kept, string(v, "id").alias("id"), enum("image_type", config.IMAGE_TYPES, "other").alias("image_type"),
         boolean("stock_like").alias("stock_like"), nullable("watermark_text").alias("watermark_text"),
@@ -161,7 +171,8 @@ def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame
         nullable("other_institution_name").alias("other_institution_name"),
         enum("scene_consistent_with_context", config.SCENE_VALUES, "unclear").alias("scene"),
         boolean("close_up_portrait").alias("close_up_portrait"), nullable("near_duplicate_of").alias("near_duplicate_of"),
-        F.coalesce(F.least(F.lit(5), F.greatest(F.lit(1), F.floor(number + 0.5))), F.lit(3)).cast("bigint").alias("quality"),
+        F.when(number.isNull() | F.isnan(number), 3).otherwise(
+            F.least(F.lit(5), F.greatest(F.lit(1), F.floor(number + 0.5)))).cast("bigint").alias("quality"),
         F.coalesce(cut("reason", 200), F.lit("")).alias("reason"),
     )
     return observations, parsed.filter("not _good").select(*kept, body)
@@ -185,7 +196,7 @@ def parse_event_log(rows: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(F.try_element_at(of("event"), F.lit(-1)), F.lit("message")).alias("type"), of("data").alias("data"),
     ).filter(F.size("data") > 0)
     body = F.array_join("data", "\n")
-    bad = F.try_parse_json(body).isNull()
+    bad = strict_json(body).isNull()
     return out.select(*kept, "block_no", "type", F.when(~bad, body).alias("payload"), bad.alias("parse_error"))
 
 
