@@ -92,9 +92,8 @@ def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING, max_ro
     alone = (F.col("class_n") == 1) & (F.col("url_n") == 1) & F.col("linked").isNull()
     state = cut_lineage(state.select(
         "entity_id", "item_id", "hash", "canonical_url", "prio",
-        F.when(alone, "keep").otherwise("open").alias("status"), F.lit(None).cast("string").alias("twin_id"),
+        F.when(alone, "keep").otherwise("open").alias("status"),
     ))
-    done = [state.filter("status = 'keep'")]
     active = state.filter("status = 'open'")
     for _ in range(max_rounds):
         active = cut_lineage(_round(active, links))
@@ -103,8 +102,7 @@ def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING, max_ro
             break
     else:
         raise RuntimeError(f"dedup_near did not settle in {max_rounds} rounds")
-    out = done[0].unionByName(active)
-    return out.select("entity_id", "item_id", F.col("status").alias("verdict"), "twin_id")
+    return settle_twins(state.filter("status = 'keep'").unionByName(active), links)
 
 
 def _round(active: DataFrame, links: DataFrame) -> DataFrame:
@@ -126,31 +124,24 @@ def _round(active: DataFrame, links: DataFrame) -> DataFrame:
         "entity_id", "item_id", "hash", "canonical_url", "prio",
         F.when(~is_open, F.col("status")).when(beaten, "drop")
         .when(best_open == F.col("prio"), "keep").otherwise("open").alias("status"),
-        F.when(is_open & beaten, best_kept["item_id"]).otherwise(F.col("twin_id")).alias("twin_id"),
     )
 
 
-def settle_twins(verdicts: DataFrame, items: DataFrame, distance: int = config.NEAR_DUP_HAMMING) -> DataFrame:
-    """The strongest kept twin of every dropped item, computed from the final kept set.
+def settle_twins(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Verdicts with the strongest kept twin of every dropped item, read off the final kept set.
 
     A drop is decided as soon as one kept twin is known; a stronger one may settle in a later round.
     """
-    kept = verdicts.filter("verdict = 'keep'").select("entity_id", "item_id")
-    prio = _priority(-F.col("strength"))
-    base = items.select("entity_id", "item_id", "hash", "canonical_url", prio.alias("prio"))
-    kept_items = base.join(kept, ["entity_id", "item_id"], "left_semi")
-    by_hash = kept_items.groupBy("entity_id", "hash").agg(F.min("prio").alias("k"))
-    by_url = kept_items.groupBy("entity_id", "canonical_url").agg(F.min("prio").alias("k_url"))
-    dropped = base.join(verdicts.filter("verdict = 'drop'").select("entity_id", "item_id"),
-                        ["entity_id", "item_id"], "left_semi")
-    classes = base.select("entity_id", "hash").distinct()
-    links = both_ways(near_pairs(classes, ["entity_id"], distance), ["entity_id"])
+    kept = state.filter("status = 'keep'")
+    by_hash = kept.groupBy("entity_id", "hash").agg(F.min("prio").alias("k"))
+    by_url = kept.groupBy("entity_id", "canonical_url").agg(F.min("prio").alias("k_url"))
     near = by_hash.unionByName(
         links.join(by_hash.withColumnRenamed("hash", "other"), ["entity_id", "other"]).select("entity_id", "hash", "k")
     ).groupBy("entity_id", "hash").agg(F.min("k").alias("k_hash"))
-    found = dropped.join(near, ["entity_id", "hash"], "left").join(by_url, ["entity_id", "canonical_url"], "left")
+    found = state.join(near, ["entity_id", "hash"], "left").join(by_url, ["entity_id", "canonical_url"], "left")
     twin = F.least("k_hash", "k_url")
-    return found.select("entity_id", "item_id", twin["item_id"].alias("twin_id"))
+    return found.select("entity_id", "item_id", F.col("status").alias("verdict"),
+                        F.when(F.col("status") == "drop", twin["item_id"]).alias("twin_id"))
 
 
 def attach_also_found(items: DataFrame, twins: DataFrame, own_pages: DataFrame,
@@ -339,36 +330,33 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar_embeddings(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, id_a, id_b) with cosine at least ``threshold``, exact.
+    """Similar vectors (keys, id_a, id_b), exact, without listing all pairs of a group of copies.
 
-    Vectors of a pair with cosine >= t differ by at most sqrt(2 - 2t) in every coordinate and in every fixed
-    projection of unit length. Three projections (sums over thirds of the axes) are cut into cells of that width; a
-    pair is at most one cell apart in each, so one side is written to its 27 neighbour cells and joined. Equal
-    vectors collapse first, so copies cost one row.
+    Copies (equal after scaling) form a class led by their smallest id and are linked to it, one row each. Leaders
+    with cosine at least ``threshold`` are paired. Such unit vectors differ by at most sqrt(2 - 2t) in every fixed
+    projection; three projections are cut into cells of that width, so a pair is at most one cell apart in each and
+    one side is written to its 27 neighbour cells. Full cells are split into blocks.
     """
     width = (2 - 2 * threshold) ** 0.5 + 1e-9
-    unit = rows.select(*keys, "id", normalized(F.col("e")).alias("u"))
-    # Copies that differ by scale only agree after rounding; they are joined through their rounded form.
-    form = unit.withColumn("form", F.transform("u", lambda x: F.round(x, 9)))
-    classes = form.groupBy(*keys, "form").agg(F.min("id").alias("rep")).withColumn("n", F.size("form"))
+    form = rows.select(*keys, "id", F.transform(normalized(F.col("e")), lambda x: F.round(x, 9)).alias("form"))
+    leaders = form.groupBy(*keys, "form").agg(F.min("id").alias("lead"))
+    copies = form.join(leaders, keys + ["form"]).filter(F.col("id") != F.col("lead")).select(
+        *keys, F.col("lead").alias("id_a"), F.col("id").alias("id_b"))
 
     def projection(part: int) -> Column:
         picked = F.filter("form", lambda x, i: i % 3 == part)
         total = F.aggregate(picked, F.lit(0.0), lambda acc, x: acc + x)
         return F.floor(total / F.sqrt(F.size(picked).cast("double")) / F.lit(width))
 
-    cells = classes.select(*keys, "rep", "form", *[projection(p).alias(f"c{p}") for p in range(3)])
-    spread = cells.select(*keys, F.col("rep").alias("rep_b"), F.col("form").alias("form_b"), *[
-        F.col(f"c{p}").alias(f"b{p}") for p in range(3)])
-    for p in range(3):
-        spread = spread.withColumn(f"c{p}", F.explode(F.array(F.col(f"b{p}") - 1, F.col(f"b{p}"), F.col(f"b{p}") + 1)))
-    near = cells.join(spread.drop("b0", "b1", "b2"), keys + ["c0", "c1", "c2"]).filter(
-        (F.col("rep") <= F.col("rep_b")) & (cosine(F.col("form"), F.col("form_b")) >= threshold - 1e-9))
-    pairs = near.select(*keys, F.col("form").alias("fa"), F.col("form_b").alias("fb"), "rep", "rep_b")
-    members = form.select(*keys, "form", "id")
-    left = members.withColumnRenamed("form", "fa").withColumnRenamed("id", "ia")
-    right = members.withColumnRenamed("form", "fb").withColumnRenamed("id", "ib")
-    joined = pairs.join(left, keys + ["fa"]).join(right, keys + ["fb"])
-    same = F.col("rep") == F.col("rep_b")
-    return joined.filter(~same | (F.col("ia") < F.col("ib"))).select(
-        *keys, F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    axes = ["c0", "c1", "c2"]
+    cells = leaders.select(*keys, "lead", "form", *[projection(p).alias(axes[p]) for p in range(3)])
+    sizes = cells.groupBy(*keys, *axes).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    left = cells.join(sizes, keys + axes).withColumn("block", F.pmod(F.xxhash64("lead"), F.col("blocks")).cast("int"))
+    right = cells.select(*keys, F.col("lead").alias("lead_b"), F.col("form").alias("form_b"), *axes)
+    for axis in axes:
+        right = right.withColumn(axis, F.explode(F.array(F.col(axis) - 1, F.col(axis), F.col(axis) + 1)))
+    right = right.join(sizes, keys + axes).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = left.drop("blocks").join(right.drop("blocks"), keys + axes + ["block"]).filter(
+        (F.col("lead") < F.col("lead_b")) & (cosine(F.col("form"), F.col("form_b")) >= threshold - 1e-9))
+    pairs = near.select(*keys, F.col("lead").alias("id_a"), F.col("lead_b").alias("id_b"))
+    return copies.unionByName(pairs)

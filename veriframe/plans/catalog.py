@@ -7,6 +7,7 @@ from veriframe.plans import (  # noqa: F401
     resolve_queries,
     scoring_queries,
     source_queries,
+    stream_queries,
     text_queries,
 )
 from veriframe.plans.registry import ORACLES, QUERIES  # noqa: F401

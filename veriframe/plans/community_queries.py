@@ -262,14 +262,20 @@ def duplicate_leakage(spark, sf_dir):
 
 @query("embedding_pairs", """
 WITH v AS (SELECT vec_id * 2 AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
-  UNION ALL SELECT vec_id * 2 + 1, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) FROM embeddings WHERE vec_id % 2 = 0)
-SELECT a.label, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.e, b.e) >= 0.9""")
+  UNION ALL SELECT vec_id * 2 + 1, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) FROM embeddings WHERE vec_id % 2 = 0
+  UNION ALL SELECT vec_id * 2 + 1000001, label, list_transform(embedding, lambda x: x::DOUBLE * 4) FROM embeddings WHERE vec_id % 6 = 0),
+p AS (SELECT a.label, a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label AND a.id < b.id),
+followers AS (SELECT DISTINCT label, id_b AS id FROM p WHERE c > 0.999999999)
+SELECT label, id_a, id_b FROM p WHERE c >= 0.9 AND NOT EXISTS (SELECT 1 FROM followers f WHERE f.label = p.label AND f.id = p.id_a)
+  AND (c > 0.999999999 OR NOT EXISTS (SELECT 1 FROM followers f WHERE f.label = p.label AND f.id = p.id_b))""")
 def embedding_pairs(spark, sf_dir):
     table = read_table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     copies = table.filter(v % 2 == 0).select(
         (v * 2 + 1).alias("id"), "label", F.transform("embedding", lambda x: x.cast("double") * (1 + v % 3)).alias("e"))
+    more = table.filter(v % 6 == 0).select(
+        (v * 2 + 1000001).alias("id"), "label", F.transform("embedding", lambda x: x.cast("double") * 4).alias("e"))
     rows = table.select((v * 2).alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return dedup.similar_embeddings(rows.unionByName(copies), ["label"], 0.9)
+    return dedup.similar_embeddings(rows.unionByName(copies).unionByName(more), ["label"], 0.9)
 
 

@@ -90,12 +90,7 @@ def near_dup_pairs(spark, sf_dir):
 
 @query("dedup_near", GREEDY_CTES + "SELECT * FROM verdicts")
 def dedup_near(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    verdicts = dedup.dedup_near(rows)
-    twins = dedup.settle_twins(verdicts, rows)
-    return verdicts.drop("twin_id").join(twins, ["entity_id", "item_id"], "left").select(
-        "entity_id", "item_id", "verdict", "twin_id"
-    )
+    return dedup.dedup_near(items(spark, sf_dir))
 
 
 OWN_PAGES = """
@@ -123,8 +118,7 @@ SELECT entity_id, keeper AS item_id, page, place FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id, keeper ORDER BY spot) AS place FROM firsts) WHERE place <= 8""")
 def also_found(spark, sf_dir):
     rows = items(spark, sf_dir)
-    verdicts = dedup.dedup_near(rows)
-    twins = dedup.settle_twins(verdicts, rows)
+    twins = dedup.dedup_near(rows).filter("verdict = 'drop'").select("entity_id", "item_id", "twin_id")
     own = rows.filter(F.col("ord") % 3 == 0).select(
         "entity_id", "item_id", "ord", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("pos")
     ).select("entity_id", "item_id", "pos", F.concat(F.lit("page"), (F.col("ord") * 3 + F.col("pos") * 7) % 300).alias("page"))
