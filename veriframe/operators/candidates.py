@@ -110,8 +110,13 @@ def with_canonical(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"canonical_url": canonical_url(F.col("image_url")), "prior": candidate_prior()})
 
 
-def url_winners(rows: DataFrame) -> DataFrame:
-    """Best candidate of each canonical URL (highest prior, earliest among equals) and where the group began."""
+def url_winners(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Best candidate of each canonical URL (highest prior, earliest among equals) and where the group began.
+
+    ``keep`` names the payload columns to carry; the rest never enters the aggregation.
+    """
+    if keep is not None:
+        rows = rows.select(*dict.fromkeys(GROUP + ORDER + ["prior"] + keep))
     others = [c for c in rows.columns if c not in GROUP]
     best = F.min_by(F.struct(*others), F.struct((-F.col("prior")).alias("p"), *ORDER))
     return rows.groupBy(*GROUP).agg(best.alias("_row"), F.min("seq").alias("first_seq")).select(
@@ -152,12 +157,12 @@ def url_mentions(rows: DataFrame) -> DataFrame:
     )
 
 
-def dedup_exact_url(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dedup_exact_url(candidates: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(winners with their count of other pages, the other pages in long form)."""
     rows = with_canonical(candidates)
     mentions = url_mentions(rows)
     counts = mentions.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_pages"))
-    winners = url_winners(rows).join(counts, GROUP, "left").na.fill(0, ["n_pages"])
+    winners = url_winners(rows, keep).join(counts, GROUP, "left").na.fill(0, ["n_pages"])
     return winners, mentions
 
 

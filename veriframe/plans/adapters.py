@@ -284,6 +284,9 @@ ADAPTERS["reviews"] = """
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One engine input as a DataFrame."""
+    # The stand-in expressions are long. Above 8000 bytes of bytecode HotSpot stops compiling a method, and such a
+    # stage would run interpreted; with this limit Spark splits it instead.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     sources = {t: read_table(spark, sf_dir, t) for t in TABLES if _mentions(ADAPTERS[name], t)}
     text = ADAPTERS[name].replace("{", "{{").replace("}", "}}")
     for table in sources:

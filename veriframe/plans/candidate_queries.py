@@ -127,7 +127,7 @@ def merge_flags(spark, sf_dir):
 SELECT w.entity_id, w.canonical_url, w.cand_id, w.prior, count(m.page) AS n_pages
 FROM winners w LEFT JOIN mentions m USING (entity_id, canonical_url) GROUP BY ALL""")
 def dedup_url(spark, sf_dir):
-    winners, _ = ops.dedup_exact_url(passed(spark, sf_dir))
+    winners, _ = ops.dedup_exact_url(passed(spark, sf_dir), keep=[])
     return winners.select("entity_id", "canonical_url", "cand_id", "prior", "n_pages")
 
 
@@ -156,7 +156,7 @@ selected AS (
 @query("quota_select", PASS_CTES + QUOTA + """
 SELECT entity_id, canonical_url, cand_id, bucket, turn, place FROM selected WHERE place <= 36""")
 def quota_select(spark, sf_dir):
-    ranked = ops.url_winners(ops.with_canonical(passed(spark, sf_dir)))
+    ranked = ops.url_winners(ops.with_canonical(passed(spark, sf_dir)), keep=["category_hint"])
     return ops.select_with_quotas(ranked).select("entity_id", "canonical_url", "cand_id", "bucket", "turn", "place")
 
 

@@ -17,6 +17,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if configured is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veriframe-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veriframe import config
 from veriframe.functions.geo import valid_gps
-from veriframe.functions.text import category_hint, is_non_photo, iso_date, strip_html
+from veriframe.functions.text import category_hint, is_non_photo, iso_date, let, strip_html
 from veriframe.functions.urls import host_in_list, url_host
 from veriframe.operators.mentions import classify_domains, entity_needles, mentions_entity
 
@@ -20,6 +20,10 @@ PHOTO_FILETYPES = ["jpg", "jpeg", "png", "webp", "tiff"]
 PHOTO_MIME = r"^image/(jpeg|png|tiff|webp)$"
 MEDIA_HOST = "commons.wikimedia.org"
 IMAGE_WIDTH, THUMB_WIDTH = 960, 500
+TEXT_FIELDS = [
+    "id", "image_type", "watermark_text", "primary_category", "visible_text", "names_institution",
+    "other_institution_name", "scene_consistent_with_context", "near_duplicate_of", "reason",
+]
 
 
 def _text(col: Column) -> Column:
@@ -126,9 +130,8 @@ def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: D
 
 def strict_json(text: Column) -> Column:
     """Parsed JSON or null. Wrapping the text in a list makes the parser see trailing garbage, which it skips otherwise."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
-    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(wrapped, lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))))
 
 
 def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -137,40 +140,40 @@ def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame
     raw = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
     fenced = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```[a-z]*\s*", ""), "```$", ""))
     text = F.when(raw.startswith("```"), fenced).otherwise(raw)
-    parsed = bodies.withColumn("_json", strict_json(text)).withColumn("_list", F.coalesce(
-        F.try_variant_get("_json", "$.images", "array<variant>"), F.try_variant_get("_json", "$", "array<variant>")))
-    string = lambda v, f: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) == "STRING",
-                                 F.try_variant_get(v, f"$.{f}", "string"))
-    ids = F.transform("_list", lambda v: string(v, "id"))
-    good = F.coalesce(F.forall(ids, lambda i: i.isNotNull() & (i != "")), F.lit(False))
-    parsed = parsed.withColumn("_good", good)
-    rows = parsed.filter("_good").select(*kept, F.explode("_list").alias("v"))
-    v = F.col("v")
+    fields = TEXT_FIELDS + ["stock_like", "close_up_portrait", "quality", "secondary_categories"]
+    # One pass per body: every field stays a variant, so its JSON type is still known.
+    shape = "array<struct<" + ",".join(f"{f}:variant" for f in fields) + ">>"
+    parsed = bodies.withColumn("_list", let(strict_json(text), lambda j: F.coalesce(
+        F.try_variant_get(j, "$.images", shape), F.try_variant_get(j, "$", shape))))
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
+    has_id = lambda o: is_text(o["id"]) & (F.try_variant_get(o["id"], "$", "string") != "")
+    parsed = parsed.withColumn("_good", F.coalesce(F.forall("_list", has_id), F.lit(False)))
+    rows = parsed.filter("_good").select(*kept, F.explode("_list").alias("o")).select(
+        *kept, *[F.when(is_text(F.col(f"o.{f}")), F.try_variant_get(f"o.{f}", "$", "string")).alias(f) for f in TEXT_FIELDS],
+        *[F.coalesce((F.schema_of_variant(f"o.{f}") == "BOOLEAN") & F.try_variant_get(f"o.{f}", "$", "boolean"), F.lit(False)).alias(f)
+          for f in ("stock_like", "close_up_portrait")],
+        F.try_variant_get("o.quality", "$", "string").alias("quality"),
+        (F.col("o.quality").isNotNull() & F.is_variant_null("o.quality")).alias("_no_quality"),
+        F.try_variant_get("o.secondary_categories", "$", "array<string>").alias("secondary_categories"),
+    )
 
     def enum(field: str, values: list[str], default: str) -> Column:
-        return F.when(string(v, field).isin(values), string(v, field)).otherwise(default)
-
-    def boolean(field: str) -> Column:
-        value = F.try_variant_get(v, f"$.{field}", "variant")
-        return F.coalesce((F.schema_of_variant(value) == "BOOLEAN") & F.try_variant_get(v, f"$.{field}", "boolean"), F.lit(False))
+        return F.when(F.col(field).isin(values), F.col(field)).otherwise(default)
 
-    cut = lambda field, n: F.substring(F.trim(string(v, field)), 1, n)
-    nullable = lambda field: F.nullif(cut(field, 120), F.lit(""))
-    given = F.try_variant_get(v, "$.quality", "variant")
-    shown = F.try_variant_get(v, "$.quality", "string")
+    cut = lambda field, n: F.substring(F.trim(field), 1, n)
+    nullable = lambda field: F.nullif(cut(field, 120), F.lit("")).alias(field)
     # An empty or null answer counts as zero, so it is clamped to 1; only a missing or odd one takes the default.
-    number = F.when(given.isNotNull() & F.is_variant_null(given) | (shown == ""), 0.0).otherwise(shown.try_cast("double"))
+    number = F.when(F.col("_no_quality") | (F.col("quality") == ""), 0.0).otherwise(F.col("quality").try_cast("double"))
     observations = rows.select(
-        *kept, string(v, "id").alias("id"), enum("image_type", config.IMAGE_TYPES, "other").alias("image_type"),
-        boolean("stock_like").alias("stock_like"), nullable("watermark_text").alias("watermark_text"),
-        enum("primary_category", config.CATEGORIES + ["other"], "other").alias("primary_category"),
-        F.filter(F.coalesce(F.try_variant_get(v, "$.secondary_categories", "array<string>"), F.array().cast("array<string>")),
+        *kept, "id", enum("image_type", config.IMAGE_TYPES, "other").alias("image_type"), "stock_like",
+        nullable("watermark_text"), enum("primary_category", config.CATEGORIES + ["other"], "other").alias("primary_category"),
+        F.filter(F.coalesce("secondary_categories", F.array().cast("array<string>")),
                  lambda c: c.isin(config.CATEGORIES)).alias("secondary_categories"),
         F.coalesce(cut("visible_text", 120), F.lit("")).alias("visible_text"),
         enum("names_institution", config.NAMES_INSTITUTION, "unclear").alias("names_institution"),
-        nullable("other_institution_name").alias("other_institution_name"),
+        nullable("other_institution_name"),
         enum("scene_consistent_with_context", config.SCENE_VALUES, "unclear").alias("scene"),
-        boolean("close_up_portrait").alias("close_up_portrait"), nullable("near_duplicate_of").alias("near_duplicate_of"),
+        "close_up_portrait", nullable("near_duplicate_of"),
         F.when(number.isNull() | F.isnan(number), 3).otherwise(
             F.least(F.lit(5), F.greatest(F.lit(1), F.floor(number + 0.5)))).cast("bigint").alias("quality"),
         F.coalesce(cut("reason", 200), F.lit("")).alias("reason"),
