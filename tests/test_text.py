@@ -24,7 +24,7 @@ def test_fold_matches_unicode_rules(spark):
     rng = random.Random(5)
     pool = [chr(c) for r in ((0x20, 0x250), (0x370, 0x530), (0x1E00, 0x1F00), (0xFB00, 0xFB07), (0xFF10, 0xFF60),
                              (0x2460, 0x2474), (0x1D400, 0x1D420), (0x300, 0x320), (0x3040, 0x30FF)) for c in range(*r)
-            if c != 0x3A3 and unicodedata.category(chr(c)) != "Cn"]
+            if "Σ" not in unicodedata.normalize("NFKC", chr(c)) and unicodedata.category(chr(c)) != "Cn"]  # final sigma is left to lower()
     texts = ["".join(rng.choice(pool) for _ in range(30)) for _ in range(300)]
     texts += ["Әл-Фараби атындағы Қазақ ұлттық университеті", "École  Polytechnique!", "", "ﬁne ½ ②"]
     assert column(spark, texts, tx.fold_text) == [plain_fold(t) for t in texts]
