@@ -335,7 +335,8 @@ def fuzzy_word_matches(query_words: DataFrame, name_words: DataFrame) -> DataFra
     left = query_words.select("word", F.explode(_deletes(F.col("word"))).alias("k"))
     right = name_words.select("name_word", F.explode(_deletes(F.col("name_word"))).alias("k"))
     pairs = left.join(right, "k").select("word", "name_word").distinct()
-    return pairs.withColumn("distance", osa_distance("word", "name_word")).filter("distance <= 2")
+    # Read by several joins of the caller; the distances are computed once.
+    return cut_lineage(pairs.withColumn("distance", osa_distance("word", "name_word")).filter("distance <= 2"))
 
 
 def fuzzy_candidates(variants: DataFrame, names: DataFrame) -> DataFrame:
@@ -358,6 +359,7 @@ def fuzzy_candidates(variants: DataFrame, names: DataFrame) -> DataFrame:
 
 def fuzzy_similarity(pairs: DataFrame) -> DataFrame:
     """(variant, name, similarity): the better of whole-string and mean best-word similarity."""
+    pairs = cut_lineage(pairs)
     qw = pairs.select("variant").distinct().select("variant", significant_words(F.col("variant")).alias("qw"))
     nw = pairs.select("name").distinct().select("name", significant_words(F.col("name")).alias("nw"))
     rows = pairs.join(qw, "variant").join(nw, "name")

@@ -181,7 +181,7 @@ def resolve_suggest(spark, sf_dir):
     _, index = inputs(spark, sf_dir)
     variants, terms = texts(spark, sf_dir)
     decided = resolve.decide(resolve.rank_candidates(variants, terms, index), variants)
-    open_variants = variants.join(decided.filter("status = 'not_found'").select("norm"), "norm", "left_semi")
+    open_variants = cut_lineage(variants.join(decided.filter("status = 'not_found'").select("norm"), "norm", "left_semi"))
     located = index.withColumn("place_id", F.col("city_name"))
     places = located.select("city_name").distinct().select(
         normalize_name(F.regexp_replace("city_name", "City ", "zz")).alias("place_name"), F.col("city_name").alias("place_id"))
