@@ -36,11 +36,10 @@ def coverage(photos: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
-    """Counts and percentages; the total is one row joined back, so no window over the whole table."""
+    """Counts and percentages. The window runs over the counts, one row per enum value, never over the rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    joined = counts.join(F.broadcast(total))  # one row by construction
-    return joined.select(column, "n", F.round(100.0 * F.col("n") / F.col("_total"), 4).alias("share"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select(column, "n", F.round(100.0 * F.col("n") / total, 4).alias("share"))
 
 
 def signal_counts(photos: DataFrame) -> DataFrame:
