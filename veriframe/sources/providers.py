@@ -138,8 +138,8 @@ def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame
     """(observations, quarantined bodies). A missing id spoils its whole body; other odd values get a safe default."""
     kept = [c for c in bodies.columns if c != body]
     raw = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
-    fenced = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```[a-z]*\s*", ""), "```$", ""))
-    text = F.when(raw.startswith("```"), fenced).otherwise(raw)
+    unfenced = lambda r: F.trim(F.regexp_replace(F.regexp_replace(r, r"(?i)^```[a-z]*\s*", ""), "```$", ""))
+    text = let(raw, lambda r: F.when(r.startswith("```"), unfenced(r)).otherwise(r))
     fields = TEXT_FIELDS + ["stock_like", "close_up_portrait", "quality", "secondary_categories"]
     # One pass per body: every field stays a variant, so its JSON type is still known.
     shape = "array<struct<" + ",".join(f"{f}:variant" for f in fields) + ">>"
