@@ -143,10 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Ordinal:
         return pd.Series([buckets(t) for t in texts])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", hashed(text_bytes()).alias("at"))
-    table = rows.toPandas()
-    table["key"] = [a.tobytes() for a in table["at"]]
-    table = table.sort_values(["doc_id", "key"], kind="stable")
-    return fit([(np.asarray(a, np.int32), int(g)) for g, a in zip(table["grade"], table["at"])])
+    table = rows.toArrow()
+    found = [(i, g, np.asarray(a.values, np.int32)) for i, g, a in zip(table["doc_id"].to_pylist(), table["grade"].to_pylist(), table["at"])]
+    return fit([(a, g) for _, g, a in sorted(found, key=lambda x: (x[0], x[2].tobytes()))])
 
 
 def score(docs: DataFrame, model: Ordinal, least_tail: float = 0.5) -> DataFrame:
