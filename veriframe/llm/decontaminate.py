@@ -88,11 +88,12 @@ def item_classes(benchmark: DataFrame) -> DataFrame:
     return classes.select("item_id", "item_copies", hashed_words("w").alias("hashes"), F.size("w").alias("length"))
 
 
-def windows(docs: DataFrame, items: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, most_broadcast: int = 200_000, missing: float = 0.2) -> DataFrame:
     """(doc_id, start, length, hashes) of the item-sized windows to compare.
 
-    A window is as long as an item and begins where a shingle that it shares with that item puts the item's start;
-    without a shared shingle the similarity is zero. Windows are cut at both ends of the text. The items' shingles are
+    A window is as long as an item and begins where a shingle that it shares with that item puts the item's start, or,
+    for a passage that lacks up to ``missing`` of the item's beginning, at the shared shingle itself. Without a shared
+    shingle the similarity is zero. Windows are cut at both ends of the text. The items' shingles are
     broadcast while they are at most ``most_broadcast`` rows; more of them are taken in as many equal shares, each
     with a pass of its own over the documents.
     """
@@ -102,13 +103,14 @@ def windows(docs: DataFrame, items: DataFrame, most_broadcast: int = 200_000) ->
     hashed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", hashed_words("w").alias("hashes"))
     # The word hashes ride along only within the stage: rows are written after the join has kept those that match.
     rows = placed_shingles(hashed)
-    start = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
+    whole = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
+    cut = F.when((F.col("offset") > 0) & (F.col("offset") <= F.col("length") * missing), F.col("pos"))
     found = None
     for k in range(max(shares, 1)):
         share = placed.where(F.pmod("shingle", F.lit(shares)) == k) if shares > 1 else placed
         part = rows.join(F.broadcast(share), "shingle").select(
-            "doc_id", start.alias("start"), "length", F.slice("hashes", start + 1, F.col("length")).alias("hashes"),
-        )
+            "doc_id", "length", "hashes", F.explode(F.array_compact(F.array(whole, cut))).alias("start"),
+        ).select("doc_id", "start", "length", F.slice("hashes", F.col("start") + 1, F.col("length")).alias("hashes"))
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 

@@ -19,6 +19,7 @@ DOCS_PER_LANGUAGE = 2_000
 LANGUAGES = 500
 UNKNOWN = "und"
 _BITS = 21  # a code point
+_EDGE = 1  # stands for what separates words
 
 
 def _letter_codes() -> np.ndarray:
@@ -36,12 +37,15 @@ _TABLE: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """Letters in lower case with single zeros between words and at both ends; empty if there is no letter."""
+    """Letters in lower case with single edge codes between words and at both ends; empty if there is no letter."""
     if not _TABLE:
         _TABLE.append(_letter_codes())
     codes = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     codes = np.concatenate(([0], codes, [0]))
-    return codes[(codes > 0) | np.concatenate(([True], codes[:-1] > 0))] if codes.any() else codes[:0]
+    if not codes.any():
+        return codes[:0]
+    kept = codes[(codes > 0) | np.concatenate(([True], codes[:-1] > 0))]
+    return np.where(kept > 0, kept, _EDGE)
 
 
 def count_ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def count_ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             part = codes[k : len(codes) - n + 1 + k]
             packed = (packed << _BITS) | part
             if n == 1 or 0 < k < n - 1:
-                whole = part > 0 if whole is None else whole & (part > 0)
+                whole = part > _EDGE if whole is None else whole & (part > _EDGE)
         grams.append(packed if whole is None else packed[whole])
     return np.unique(np.concatenate(grams), return_counts=True)
 

@@ -50,6 +50,8 @@ CONTENT_MARKS = frozenset("article content post entry story main page body text"
 
 LINKED_DEFAULT, PLAIN_DEFAULT, TAG_DEFAULT = -0.5, 0.5, -0.1
 OUT_OF_SCOPE, ZONE = -2.0, -0.5
+#: Tags within an article that the page names cost this share, so they don't cut it.
+NAMED = 1e-4
 
 
 class Run:
@@ -204,10 +206,13 @@ def main_text(page: str | None, weights: Weights) -> str:
         if total <= 0:
             total, begin = 0.0, i
         else:
-            total += sum(weights.get(("tag", t), TAG_DEFAULT) for t in run.tags) + ZONE * run.zones
-            total = max(total, 0.0)
-            if total == 0:
-                begin = i
+            cost = sum(weights.get(("tag", t), TAG_DEFAULT) for t in run.tags) + ZONE * run.zones
+            if has_scope and run.scoped and runs[i - 1].scoped:
+                total = max(total + NAMED * cost, NAMED)
+            else:
+                total += cost
+            if total <= 0:
+                total, begin = 0.0, i
         total += word_weights(run, weights, has_scope)
         if total > best:
             best, best_range = total, (begin, i + 1)
