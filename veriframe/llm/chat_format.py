@@ -64,10 +64,11 @@ def leaf_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     paths = paths if top is None else paths.where(F.col("rank") <= top)
     for k in range(len(levels) - 1, -1, -1):
         jump = levels[k].where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("p"), "up")
-        above = paths.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p"))).select(
-            "conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), "rank",
-        )
-        paths = paths.unionByName(above)
+        met = paths.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left")
+        here = F.struct("node", "depth")
+        above = F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        both = F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("x")
+        paths = met.select("conv_id", "leaf", "rank", both).select("conv_id", "leaf", "x.node", "x.depth", "rank")
         paths = cut_lineage(paths) if k % 4 == 3 else paths
     return paths
 
