@@ -44,16 +44,18 @@ def leaf_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     up = cut_lineage(up.select("conv_id", "node", F.col("p").alias("up"), F.lit(1).alias("depth"), "score"))
     limit, levels = up.count(), []
     while not up.where("up is not null").isEmpty() and (1 << len(levels)) <= limit:
-        levels.append(up.select("conv_id", "node", "up"))
+        # Nodes that have reached their root take no further part on the left.
+        below = up.where("up is not null").select("conv_id", "node", "up", "depth", "score")
+        levels.append(below.select("conv_id", "node", "up"))
         far = up.select(
             F.col("conv_id").alias("c"), F.col("node").alias("p"), F.col("up").alias("far"),
             F.col("depth").alias("more"), F.col("score").alias("plus"),
         )
-        up = up.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")), "left")
-        up = cut_lineage(up.select(
-            "conv_id", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"),
-        ))
+        moved = below.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p"))).select(
+            "conv_id", "node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("score") + F.col("plus")).alias("score"),
+        )
+        up = cut_lineage(up.where("up is null").unionByName(cut_lineage(moved)))
     inner = named.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
     leaves = up.where("up is null").join(
         inner, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti"
