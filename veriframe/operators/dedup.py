@@ -7,7 +7,9 @@ that is still large is cut into blocks that are paired block by block, so no tas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe import config
@@ -70,13 +72,15 @@ def _priority(neg_strength: Column) -> Column:
     return F.struct(neg_strength.alias("neg_strength"), F.col("ord").alias("ord"), F.col("item_id").alias("item_id"))
 
 
-def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING, max_rounds: int = 64) -> DataFrame:
+def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING) -> DataFrame:
     """Greedy dedup, strongest first, of (entity_id, item_id, ord, strength, hash, canonical_url).
 
     An item is dropped when a *kept* stronger item has the same canonical URL or a near fingerprint; its twin
     is the strongest such item. That is the lexicographically first maximal independent set, found by rounds:
     an undecided item is kept once nothing stronger and undecided is near it, and dropped once something
     kept and stronger is. Messages travel per class (min over class, then over near classes), never per item pair.
+    Every round settles at least the strongest open item, so the rounds end by themselves; they work on the items
+    still open and those kept in the round before, whose message is then delivered.
     """
     prio = _priority(-F.col("strength"))
     base = items.select("entity_id", "item_id", "hash", "canonical_url", prio.alias("prio"))
@@ -94,18 +98,19 @@ def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING, max_ro
         "entity_id", "item_id", "hash", "canonical_url", "prio",
         F.when(alone, "keep").otherwise("open").alias("status"),
     ))
-    active = state.filter("status = 'open'")
-    for _ in range(max_rounds):
-        active = cut_lineage(_round(active, links))
-        # Everything decided stays as evidence for later rounds; stop when nothing is open.
-        if active.filter("status = 'open'").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"dedup_near did not settle in {max_rounds} rounds")
-    return settle_twins(state.filter("status = 'keep'").unionByName(active), links)
+    settled, active = [state.filter("status = 'keep'")], state.filter("status = 'open'")
+    while not active.filter("status = 'open'").isEmpty():
+        after = cut_lineage(_round(active, links))
+        settled.append(after.filter("status in ('done', 'drop')"))
+        active = after.filter("status in ('open', 'keep')")
+        if len(settled) == 16:
+            settled = [cut_lineage(reduce(DataFrame.unionByName, settled))]
+    every = reduce(DataFrame.unionByName, [*settled, active])
+    return settle_twins(every.withColumn("status", F.when(F.col("status") == "drop", "drop").otherwise("keep")), links)
 
 
 def _round(active: DataFrame, links: DataFrame) -> DataFrame:
+    """One round over open items and the items kept in the round before, which come out as done."""
     open_prio = F.min(F.when(F.col("status") == "open", F.col("prio")))
     kept_prio = F.min(F.when(F.col("status") == "keep", F.col("prio")))
     per_class = active.groupBy("entity_id", "hash").agg(open_prio.alias("o"), kept_prio.alias("k"))
@@ -122,7 +127,7 @@ def _round(active: DataFrame, links: DataFrame) -> DataFrame:
     is_open = F.col("status") == "open"
     return joined.select(
         "entity_id", "item_id", "hash", "canonical_url", "prio",
-        F.when(~is_open, F.col("status")).when(beaten, "drop")
+        F.when(~is_open, "done").when(beaten, "drop")
         .when(best_open == F.col("prio"), "keep").otherwise("open").alias("status"),
     )
 
@@ -148,8 +153,9 @@ def attach_also_found(items: DataFrame, twins: DataFrame, own_pages: DataFrame,
                       cap: int = config.ALSO_FOUND_CAP) -> DataFrame:
     """Pages each kept item collects: its own list, then page and list of every duplicate, strongest first.
 
-    Its own page and repeats are skipped; at most ``cap`` pages stay. ``items`` has page, strength, ord;
-    ``own_pages`` has (entity_id, item_id, pos, page). Only the first ``cap`` rows per item survive the map side.
+    Its own page and repeats are skipped. The own list stays whole; pages of duplicates are added while the list is
+    shorter than ``cap``, and only the first ``cap`` of them per item survive the map side. ``items`` has page,
+    strength, ord; ``own_pages`` has (entity_id, item_id, pos, page).
     """
     info = items.select("entity_id", "item_id", "page", (-F.col("strength")).alias("neg"), "ord")
     lead = info.select("entity_id", F.col("item_id").alias("keeper"), F.col("page").alias("keeper_page"))
@@ -167,12 +173,15 @@ def attach_also_found(items: DataFrame, twins: DataFrame, own_pages: DataFrame,
     # The keeper's own list is taken as it is; for the rest its own page and repeats are skipped.
     every = every.filter((F.col("src") == 0) | (F.col("page") != F.col("keeper_page")))
     first = every.groupBy("entity_id", "keeper", "page").agg(F.min(F.struct("src", "neg", "ord", "pos")).alias("at"))
-    return top_k(first, ["entity_id", "keeper"], [F.col("at")], cap, "place").select(
+    added = top_k(first.filter("at.src = 1"), ["entity_id", "keeper"], [F.col("at")], cap, "place").drop("place")
+    order = Window.partitionBy("entity_id", "keeper").orderBy("at")
+    placed = first.filter("at.src = 0").unionByName(added).withColumn("place", F.row_number().over(order).cast("bigint"))
+    return placed.filter((F.col("at.src") == 0) | (F.col("place") <= cap)).select(
         "entity_id", F.col("keeper").alias("item_id"), "page", "place"
     )
 
 
-def resolve_pointers(items: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_pointers(items: DataFrame) -> DataFrame:
     """Observed duplicates: an item points to another one and is dropped only if that one is *shown*.
 
     Input (entity_id, item_id, ord, points_to, eligible). Only pointers to earlier items count. Whether an item
@@ -191,9 +200,9 @@ def resolve_pointers(items: DataFrame, max_rounds: int = 64) -> DataFrame:
         F.col("eligible").alias("on_hidden"),
     )
     state = cut_lineage(state)
-    for _ in range(max_rounds):
+    while True:
         open_rows = state.filter("target is not null and on_shown <> on_hidden")
-        if open_rows.limit(1).count() == 0:
+        if open_rows.isEmpty():
             break
         nxt = state.select(
             "entity_id", F.col("item_id").alias("target"), F.col("target").alias("n_target"),
@@ -206,8 +215,6 @@ def resolve_pointers(items: DataFrame, max_rounds: int = 64) -> DataFrame:
         )
         settled = state.filter("target is null or on_shown = on_hidden")
         state = cut_lineage(settled.unionByName(stepped))
-    else:
-        raise RuntimeError(f"resolve_pointers did not settle in {max_rounds} rounds")
     shown = state.select("entity_id", "item_id", "eligible", "first_target", F.col("on_hidden").alias("shown"))
     twin = shown.select("entity_id", F.col("item_id").alias("first_target"), F.col("shown").alias("twin_shown"))
     joined = shown.join(twin, ["entity_id", "first_target"], "left")

@@ -226,7 +226,7 @@ ADAPTERS["web_rows"] = """
     concat('{"title":"  Order ', CAST(o_orderkey AS STRING), ' ","imageUrl":"', CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE concat('https://img', CAST(o_orderkey % 7 AS STRING), '.example.com/', CAST(o_orderkey AS STRING), '.jpg') END,
       '","link":', CASE WHEN o_orderkey % 13 = 0 THEN 'null' WHEN o_orderkey % 17 = 0 THEN '"not a url"' ELSE concat('"https://www.Host', CAST(o_orderkey % 20 AS STRING), '.com/p"') END,
       ',"domain":', CASE WHEN o_orderkey % 2 = 0 THEN '" shop.example.net "' ELSE '""' END,
-      ',"imageWidth":', CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '-5' WHEN 2 THEN '800' ELSE '"wide"' END, ',"imageHeight":600}') AS body
+      ',"imageWidth":', CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '-5' WHEN 2 THEN '800' ELSE CASE WHEN o_orderkey % 8 = 3 THEN '"700"' ELSE '"wide"' END END, ',"imageHeight":600}') AS body
   FROM orders"""
 
 ADAPTERS["open_rows"] = """

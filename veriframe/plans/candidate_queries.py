@@ -132,13 +132,10 @@ def dedup_url(spark, sf_dir):
 
 
 @query("url_mentions", PASS_CTES + """
-SELECT entity_id, canonical_url, page, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY entity_id, canonical_url ORDER BY noted) AS rank FROM mentions) WHERE rank <= 8""")
+SELECT entity_id, canonical_url, page FROM mentions""")
 def url_mentions(spark, sf_dir):
     _, mentions = ops.dedup_exact_url(passed(spark, sf_dir))
-    # A leader can be replaced at a position where the replacing row also stands for itself: pages are
-    # ordered by the candidate that noted them.
-    return ops.top_k(mentions, ops.GROUP, [F.col("noted_at")], 8).select("entity_id", "canonical_url", "page", "rank")
+    return mentions.select("entity_id", "canonical_url", "page")
 
 
 QUOTA = """

@@ -96,7 +96,7 @@ def dedup_near(spark, sf_dir):
 OWN_PAGES = """
 , own_pages AS (
   SELECT entity_id, item_id, p AS pos, concat('page', CAST((ord * 3 + p * 7) % 300 AS STRING)) AS page
-  FROM items, (SELECT unnest([0, 1]::BIGINT[]) AS p) WHERE ord % 3 = 0),
+  FROM items, (SELECT unnest(range(12)) AS p) WHERE ord % 3 = 0 AND (p < 2 OR ord % 30 = 0)),
 mentions AS (
   SELECT v.entity_id, v.item_id AS keeper, 0 AS src, 0.0 AS neg, 0::BIGINT AS ord, o.pos, o.page
   FROM verdicts v JOIN own_pages o USING (entity_id, item_id) WHERE v.verdict = 'keep'
@@ -115,13 +115,14 @@ firsts AS (
 
 @query("also_found", GREEDY_CTES + OWN_PAGES + """
 SELECT entity_id, keeper AS item_id, page, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY entity_id, keeper ORDER BY spot) AS place FROM firsts) WHERE place <= 8""")
+  SELECT *, row_number() OVER (PARTITION BY entity_id, keeper ORDER BY spot) AS place FROM firsts)
+WHERE spot.src = 0 OR place <= 8""")
 def also_found(spark, sf_dir):
     rows = items(spark, sf_dir)
     twins = dedup.dedup_near(rows).filter("verdict = 'drop'").select("entity_id", "item_id", "twin_id")
     own = rows.filter(F.col("ord") % 3 == 0).select(
-        "entity_id", "item_id", "ord", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("pos")
-    ).select("entity_id", "item_id", "pos", F.concat(F.lit("page"), (F.col("ord") * 3 + F.col("pos") * 7) % 300).alias("page"))
+        "entity_id", "item_id", "ord", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("pos")
+    ).filter("pos < 2 OR ord % 30 = 0").select("entity_id", "item_id", "pos", F.concat(F.lit("page"), (F.col("ord") * 3 + F.col("pos") * 7) % 300).alias("page"))
     return dedup.attach_also_found(rows, twins, own)
 
 

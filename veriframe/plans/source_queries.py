@@ -223,7 +223,8 @@ def entity_view(spark, sf_dir):
 @query("cand_web", ctes("web_rows") + r"""
 , r AS (SELECT o_orderkey, category_hint, nullif(trim(json_extract_string(body, '$.imageUrl')), '') AS image_url,
     nullif(trim(json_extract_string(body, '$.link')), '') AS source_page_url, nullif(trim(json_extract_string(body, '$.domain')), '') AS domain,
-    nullif(trim(json_extract_string(body, '$.title')), '') AS title, try_cast(json_extract_string(body, '$.imageWidth') AS DOUBLE) AS w FROM web_rows)
+    nullif(trim(json_extract_string(body, '$.title')), '') AS title, 
+    CASE WHEN json_type(body, '$.imageWidth') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(body, '$.imageWidth') AS DOUBLE) END AS w FROM web_rows)
 SELECT o_orderkey, category_hint, image_url, source_page_url, title, CASE WHEN w > 0 THEN CAST(w AS BIGINT) END AS width,
   coalesce(nullif(regexp_replace(lower(regexp_extract(source_page_url, '^[a-z]+://([^/]+)', 1)), '^www\.', ''), ''), domain) AS source_domain
 FROM r WHERE image_url IS NOT NULL AND source_page_url IS NOT NULL

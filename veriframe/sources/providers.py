@@ -32,10 +32,14 @@ def _text(col: Column) -> Column:
 
 def normalize_web_rows(rows: DataFrame, body: str = "body") -> DataFrame:
     """Web image rows; a row without image, page or host is dropped; sizes only when positive numbers."""
-    schema = "title string, imageUrl string, imageWidth string, imageHeight string, thumbnailUrl string, link string, domain string"
+    schema = "title string, imageUrl string, thumbnailUrl string, link string, domain string"
     kept = [c for c in rows.columns if c != body]
-    size = lambda c: F.when(F.get_json_object(body, f"$.{c}").try_cast("double") > 0,
-                            F.get_json_object(body, f"$.{c}").try_cast("double").cast("bigint"))
+
+    def size(name: str) -> Column:
+        value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+        number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+        return F.when(number > 0, number.cast("bigint"))
+
     out = rows.select(*kept, size("imageWidth").alias("width"), size("imageHeight").alias("height"),
                       F.from_json(body, schema).alias("r"))
     page = _text(F.col("r.link"))
@@ -152,9 +156,11 @@ def parse_observations(bodies: DataFrame, body: str = "body") -> tuple[DataFrame
         *kept, *[F.when(is_text(F.col(f"o.{f}")), F.try_variant_get(f"o.{f}", "$", "string")).alias(f) for f in TEXT_FIELDS],
         *[F.coalesce((F.schema_of_variant(f"o.{f}") == "BOOLEAN") & F.try_variant_get(f"o.{f}", "$", "boolean"), F.lit(False)).alias(f)
           for f in ("stock_like", "close_up_portrait")],
-        F.try_variant_get("o.quality", "$", "string").alias("quality"),
+        F.when(F.schema_of_variant("o.quality") == "BOOLEAN", F.try_variant_get("o.quality", "$", "boolean").cast("int").cast("string"))
+        .otherwise(F.try_variant_get("o.quality", "$", "string")).alias("quality"),
         (F.col("o.quality").isNotNull() & F.is_variant_null("o.quality")).alias("_no_quality"),
-        F.try_variant_get("o.secondary_categories", "$", "array<string>").alias("secondary_categories"),
+        let(F.try_variant_get("o.secondary_categories", "$", "array<variant>"),
+            lambda xs: F.when(F.forall(xs, is_text), F.transform(xs, lambda x: F.try_variant_get(x, "$", "string")))).alias("secondary_categories"),
     )
 
     def enum(field: str, values: list[str], default: str) -> Column:
