@@ -155,32 +155,45 @@ def attach_also_found(items: DataFrame, twins: DataFrame, own_pages: DataFrame,
 
     Its own page and repeats are skipped. The own list stays whole; pages of duplicates are added while the list is
     shorter than ``cap``, and only the first ``cap`` of them per item survive the map side. ``items`` has page,
-    strength, ord; ``own_pages`` has (entity_id, item_id, pos, page).
+    strength, ord; ``own_pages`` has (entity_id, item_id, pos, page). With a ``domain`` in both, pages keep theirs.
     """
-    info = items.select("entity_id", "item_id", "page", (-F.col("strength")).alias("neg"), "ord")
+    extra = [c for c in ("domain",) if c in items.columns and c in own_pages.columns]
+    info = items.select("entity_id", "item_id", "page", *extra, (-F.col("strength")).alias("neg"), "ord")
     lead = info.select("entity_id", F.col("item_id").alias("keeper"), F.col("page").alias("keeper_page"))
     keepers = info.join(twins.select("entity_id", "item_id"), ["entity_id", "item_id"], "left_anti")
     own = own_pages.join(keepers.select("entity_id", "item_id"), ["entity_id", "item_id"]).select(
         "entity_id", F.col("item_id").alias("keeper"), F.lit(0).alias("src"), F.lit(0.0).alias("neg"),
-        F.lit(0).cast("bigint").alias("ord"), "pos", "page")
+        F.lit(0).cast("bigint").alias("ord"), "pos", "page", *extra)
     losers = info.join(twins, ["entity_id", "item_id"])
     pages = losers.select("entity_id", F.col("twin_id").alias("keeper"), F.lit(1).alias("src"), "neg", "ord",
-                          F.lit(0).cast("bigint").alias("pos"), "page")
-    lists = own_pages.join(losers.drop("page"), ["entity_id", "item_id"]).select(
+                          F.lit(0).cast("bigint").alias("pos"), "page", *extra)
+    lists = own_pages.join(losers.drop("page", *extra), ["entity_id", "item_id"]).select(
         "entity_id", F.col("twin_id").alias("keeper"), F.lit(1).alias("src"), "neg", "ord",
-        (F.col("pos") + 1).alias("pos"), "page")
+        (F.col("pos") + 1).alias("pos"), "page", *extra)
     every = own.unionByName(pages).unionByName(lists).join(lead, ["entity_id", "keeper"])
     # The keeper's own list is taken as it is; for the rest its own page and repeats are skipped.
     every = every.filter((F.col("src") == 0) | (F.col("page") != F.col("keeper_page")))
-    first = every.groupBy("entity_id", "keeper", "page").agg(F.min(F.struct("src", "neg", "ord", "pos")).alias("at"))
+    at = F.struct("src", "neg", "ord", "pos")
+    first = every.groupBy("entity_id", "keeper", "page").agg(F.min(at).alias("at"), *[F.min_by(c, at).alias(c) for c in extra])
     added = top_k(first.filter("at.src = 1"), ["entity_id", "keeper"], [F.col("at")], cap, "place").drop("place")
     order = Window.partitionBy("entity_id", "keeper").orderBy("at")
     placed = first.filter("at.src = 0").unionByName(added).withColumn("place", F.row_number().over(order).cast("bigint"))
     return placed.filter((F.col("at.src") == 0) | (F.col("place") <= cap)).select(
-        "entity_id", F.col("keeper").alias("item_id"), "page", "place"
+        "entity_id", F.col("keeper").alias("item_id"), "page", *extra, "place"
     )
 
 
+def cross_sources(items: DataFrame, also_found: DataFrame) -> DataFrame:
+    """(entity_id, item_id, other_sources) of the kept items that other domains show too.
+
+    Counts the pages of ``also_found`` (with ``domain``) whose domain isn't the item's own; the scorer's cross-source
+    signal asks whether there is one. A missing domain is a domain of its own.
+    """
+    own = items.select("entity_id", "item_id", F.col("domain").alias("own_domain"))
+    other = also_found.join(own, ["entity_id", "item_id"]).filter(~F.col("domain").eqNullSafe(F.col("own_domain")))
+    return other.groupBy("entity_id", "item_id").agg(F.count("*").alias("other_sources"))
+
+
 def resolve_pointers(items: DataFrame) -> DataFrame:
     """Observed duplicates: an item points to another one and is dropped only if that one is *shown*.
 

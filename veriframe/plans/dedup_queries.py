@@ -113,6 +113,14 @@ firsts AS (
 """
 
 
+def own_pages(rows: DataFrame) -> DataFrame:
+    """Pages that every third item brings along: two, or twelve for every thirtieth."""
+    listed = rows.filter(F.col("ord") % 3 == 0).select(
+        "entity_id", "item_id", "ord", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("pos")
+    ).filter("pos < 2 OR ord % 30 = 0")
+    return listed.select("entity_id", "item_id", "ord", "pos", F.concat(F.lit("page"), (F.col("ord") * 3 + F.col("pos") * 7) % 300).alias("page"))
+
+
 @query("also_found", GREEDY_CTES + OWN_PAGES + """
 SELECT entity_id, keeper AS item_id, page, place FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id, keeper ORDER BY spot) AS place FROM firsts)
@@ -120,12 +128,31 @@ WHERE spot.src = 0 OR place <= 8""")
 def also_found(spark, sf_dir):
     rows = items(spark, sf_dir)
     twins = dedup.dedup_near(rows).filter("verdict = 'drop'").select("entity_id", "item_id", "twin_id")
-    own = rows.filter(F.col("ord") % 3 == 0).select(
-        "entity_id", "item_id", "ord", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("pos")
-    ).filter("pos < 2 OR ord % 30 = 0").select("entity_id", "item_id", "pos", F.concat(F.lit("page"), (F.col("ord") * 3 + F.col("pos") * 7) % 300).alias("page"))
+    own = own_pages(rows).drop("ord")
     return dedup.attach_also_found(rows, twins, own)
 
 
+@query("cross_source", GREEDY_CTES + OWN_PAGES + """
+, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, keeper ORDER BY spot) AS place FROM firsts),
+listed AS (
+  SELECT p.entity_id, p.keeper, CASE
+    WHEN p.spot.src = 0 THEN concat('d', CAST((k.ord + p.spot.pos) % 3 AS STRING))
+    WHEN p.spot.pos = 0 THEN concat('d', CAST(p.spot.ord % 3 AS STRING))
+    ELSE concat('d', CAST((p.spot.ord + p.spot.pos - 1) % 3 AS STRING)) END AS domain,
+    concat('d', CAST(k.ord % 3 AS STRING)) AS own_domain
+  FROM placed p JOIN items k ON k.entity_id = p.entity_id AND k.item_id = p.keeper
+  WHERE p.spot.src = 0 OR p.place <= 8)
+SELECT entity_id, keeper AS item_id, count(*) AS other_sources FROM listed WHERE domain <> own_domain GROUP BY ALL""")
+def cross_source(spark, sf_dir):
+    """Dedup, pages of the duplicates, then the count of other domains: one chain."""
+    domain = lambda shift: F.concat(F.lit("d"), (F.col("ord") + shift) % 3)
+    rows = items(spark, sf_dir).withColumn("domain", domain(0))
+    twins = dedup.dedup_near(rows).filter("verdict = 'drop'").select("entity_id", "item_id", "twin_id")
+    also = dedup.attach_also_found(rows, twins, own_pages(rows).withColumn("domain", domain(F.col("pos"))).drop("ord"))
+    return dedup.cross_sources(rows, also)
+
+
 @query("dedup_pointer", """
 WITH RECURSIVE items AS (
   SELECT o_orderkey AS item_id, o_orderkey % 97 AS entity_id,
