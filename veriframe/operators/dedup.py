@@ -175,8 +175,8 @@ def attach_also_found(items: DataFrame, twins: DataFrame, own_pages: DataFrame,
     every = every.filter((F.col("src") == 0) | (F.col("page") != F.col("keeper_page")))
     at = F.struct("src", "neg", "ord", "pos")
     first = every.groupBy("entity_id", "keeper", "page").agg(F.min(at).alias("at"), *[F.min_by(c, at).alias(c) for c in extra])
-    added = top_k(first.filter("at.src = 1"), ["entity_id", "keeper"], [F.col("at")], cap, "place").drop("place")
-    order = Window.partitionBy("entity_id", "keeper").orderBy("at")
+    added = top_k(first.filter("at.src = 1"), ["entity_id", "keeper"], [F.col("at"), F.col("page")], cap, "place").drop("place")
+    order = Window.partitionBy("entity_id", "keeper").orderBy("at", "page")
     placed = first.filter("at.src = 0").unionByName(added).withColumn("place", F.row_number().over(order).cast("bigint"))
     return placed.filter((F.col("at.src") == 0) | (F.col("place") <= cap)).select(
         "entity_id", F.col("keeper").alias("item_id"), "page", *extra, "place"

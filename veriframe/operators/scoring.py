@@ -122,9 +122,16 @@ OBSERVATION_COLUMNS = [
 ]
 
 
+def latest_observations(observations: DataFrame) -> DataFrame:
+    """One observation per candidate: the one with the highest ``seq`` (if there is one), equal ones by their values."""
+    order = [c for c in ("seq",) if c in observations.columns]
+    best = F.max_by(F.struct(*OBSERVATION_COLUMNS), F.struct(*order, *OBSERVATION_COLUMNS))
+    return observations.groupBy("cand_id").agg(best.alias("o")).select("cand_id", "o.*")
+
+
 def join_observations(candidates: DataFrame, observations: DataFrame) -> DataFrame:
-    """Left join by candidate id. Observations of ids that were never sent fall away by the join side."""
-    seen = observations.select("cand_id", *OBSERVATION_COLUMNS, F.lit(True).alias("_seen"))
+    """Left join by candidate id, one row each. Observations of ids that were never sent fall away by the join side."""
+    seen = latest_observations(observations).withColumn("_seen", F.lit(True))
     return candidates.join(seen, "cand_id", "left").withColumn("observed", F.col("_seen").isNotNull()).drop("_seen")
 
 
@@ -133,7 +140,12 @@ def pending_observations(candidates: DataFrame, observations: DataFrame) -> Data
 
 
 def score_joined(joined: DataFrame, as_of_year: int, vision_available: bool = True) -> DataFrame:
-    """Score rows that already carry their distance and observation. No shuffle, no Python."""
+    """Score rows that already carry their distance and observation. No shuffle, no Python.
+
+    ``other_sources`` comes from ``dedup.cross_sources``; rows without that column have none.
+    """
+    if "other_sources" not in joined.columns:
+        joined = joined.withColumn("other_sources", F.lit(0))
     category, secondary = resolve_category(
         F.col("primary_category"), F.col("category_hint"), F.col("secondary_categories")
     )

@@ -75,11 +75,19 @@ ADAPTERS["candidates"] = f"""
     CASE WHEN l_returnflag <> 'N' THEN concat('CC BY ', l_returnflag) END AS license,
     CAST(l_quantity * 40 AS BIGINT) AS width, CAST(l_quantity * 30 AS BIGINT) AS height,
     CAST(round(l_discount * 100) AS BIGINT) >= 8 AS low_res,
-    CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey % 3 ELSE 0 END AS other_sources,
     CASE WHEN l_partkey % 3 <> 0 THEN concat('Part ', CAST(l_partkey AS STRING)) END AS title,
     CASE WHEN l_partkey % 4 = 1 THEN concat('Shipped by ', CAST(l_suppkey AS STRING)) END AS caption
   FROM lineitem"""
 
+# Fingerprints of the candidates' pictures: twelve motifs per entity, the low seven bits differ between shots; some are missing.
+ADAPTERS["prints"] = f"""
+  SELECT {_CAND_ID} AS cand_id, CASE WHEN l_partkey % 21 <> 0 THEN
+    ((l_suppkey * 12 + l_orderkey % 12 + 1) * 48271 % 2147483647 * 69621 % 2147483647 * 16777216
+      + (l_suppkey * 12 + l_orderkey % 12 + 1) * 39373 % 2147483647 * 48271 % 16777216) * 128
+    + CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 7 WHEN 4 THEN 15 WHEN 5 THEN 31 WHEN 6 THEN 63 ELSE 127 END
+    END AS hash
+  FROM lineitem"""
+
 ADAPTERS["observations"] = f"""
   SELECT {_CAND_ID} AS cand_id, l_orderkey * 8 + l_linenumber AS seq, l_suppkey AS entity_id,
     CASE l_partkey % 23 WHEN 0 THEN 'logo_or_emblem' WHEN 1 THEN 'map_or_plan' WHEN 2 THEN 'document_or_screenshot'

@@ -2,6 +2,7 @@
 
 from veriframe.plans import (  # noqa: F401
     candidate_queries,
+    chain_queries,
     community_queries,
     dedup_queries,
     resolve_queries,

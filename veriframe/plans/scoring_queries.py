@@ -40,10 +40,12 @@ def sql_list(values: list[str]) -> str:
 
 _CATS = sql_list(config.CATEGORIES)
 
-SCORED_CTES = ctes("entities", "candidates", "observations") + f""",
-located AS (
+
+def scored_sql(source: str, other_sources: str) -> str:
+    """Common table expressions from ``source`` candidates to scored, photos and rejects."""
+    return f"""located AS (
   SELECT c.*, e.lat AS elat, e.lon AS elon, coalesce(e.lat, e.city_lat) AS rlat, coalesce(e.lon, e.city_lon) AS rlon
-  FROM candidates c LEFT JOIN entities e USING (entity_id)),
+  FROM {source} c LEFT JOIN entities e USING (entity_id)),
 dist AS (
   SELECT *, elat IS NOT NULL AS has_entity_point, 2 * 6371000 * asin(sqrt(
     power(sin(radians(rlat - lat) / 2), 2)
@@ -74,7 +76,7 @@ ev AS (
     CASE WHEN official_domain AND NOT weak THEN 'official_domain:provenance:30' END,
     CASE WHEN page_mentions_name THEN 'page_mentions_name:text:15' END,
     CASE WHEN page_mentions_name AND newsy THEN 'news_mentions_name:provenance:10' END,
-    CASE WHEN other_sources > 0 THEN 'cross_source_match:cross_source:15' END,
+    CASE WHEN {other_sources} > 0 THEN 'cross_source_match:cross_source:15' END,
     CASE WHEN geo = 'geo_near_campus' THEN 'geo_near_campus:geo:35' END,
     CASE WHEN geo = 'geo_in_city' THEN 'geo_in_city:geo:35' END,
     CASE WHEN geo = 'geo_same_city' THEN 'geo_same_city:geo:10' END,
@@ -113,6 +115,9 @@ rejects AS (SELECT * FROM scored WHERE tier = 'rejected')
 """
 
 
+SCORED_CTES = ctes("entities", "candidates", "observations") + ",\n" + scored_sql("candidates", "0")
+
+
 @query("score", SCORED_CTES + """
 SELECT cand_id, entity_id, category, points, tier, reject_reason,
   array_to_string(list_transform(evidence, lambda x: split_part(x, ':', 1)), ',') AS signals,

@@ -33,7 +33,7 @@ def score_stream(observations: DataFrame, candidates: DataFrame, entities: DataF
     path = path or scratch_path(spark, "scored")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["cand_id"]).join(_already(spark, path, batch_id), "cand_id", "left_anti")
+        fresh = scoring.latest_observations(batch).join(_already(spark, path, batch_id), "cand_id", "left_anti")
         sent = candidates.join(fresh.select("cand_id"), "cand_id", "left_semi")
         scored = scoring.score_photos(sent, entities, fresh, as_of_year)
         _keep(scored).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
