@@ -243,20 +243,26 @@ def test_osa_and_filler(spark):
 
 
 INDEX = [
-    ("Q1", "Kazakh-British Technical University", "Казахстанско-Британский технический университет", None, "KBTU", None, 20, False),
-    ("Q2", "L. N. Gumilyov Eurasian National University", "Евразийский национальный университет имени Л. Н. Гумилёва", None, None, None, 40, False),
-    ("Q3", "Harvard University", "Гарвардский университет", None, None, None, 150, False),
-    ("Q4", "Harvard University", None, None, None, None, 0, True),
-    ("Q5", "Kazakh National Medical University", "Казахский национальный медицинский университет", None, None, None, 10, False),
+    ("Q1", "Kazakh-British Technical University", "Казахстанско-Британский технический университет", None, ["KBTU", "KBTU University", "Technical of Almaty", "BTU Kazakhstan", "kbtu.kz"], 20, "Cat"),
+    ("Q2", "L. N. Gumilyov Eurasian National University", "Евразийский национальный университет имени Л. Н. Гумилёва", None, None, 40, "Cat"),
+    ("Q3", "Harvard University", "Гарвардский университет", None, None, 150, "Cat"),
+    ("Q4", "Harvard University", None, None, [], 0, None),
+    ("Q5", "Kazakh National Medical University", "Казахский национальный медицинский университет", None, None, 10, "Cat"),
 ]
 
 
 def test_resolve(spark):
-    index = spark.createDataFrame(INDEX, "qid string, name_en string, name_ru string, name_kk string, alias_1 string, alias_2 string, sitelinks long, stub boolean")
-    asked = ["KBTU", "ЕНУ", "harvard", "КазНМУ", "KazNMU", "gumilyov", "nothing like it", "Гарвард"]
+    index = spark.createDataFrame(INDEX, "qid string, name_en string, name_ru string, name_kk string, aliases array<string>, sitelinks long, commons_category string")
+    for column, kind in (("media_sitelink", "string"), ("lat", "double"), ("lon", "double")):
+        index = index.withColumn(column, F.lit(None).cast(kind))
+    assert [r.qid for r in index.filter(resolve.is_stub()).collect()] == ["Q4"]
+    asked = ["Ka", "Kaz", "kaza", "BTU Kazakhstan", "KBTU", "ЕНУ", "harvard", "КазНМУ", "KazNMU", "gumilyov", "nothing like it", "Гарвард"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     ids, _, decided = resolve.resolve(queries, index)
     got = {asked[r.query_id]: (r.status, r.qid) for r in ids.join(decided, "norm").collect()}
+    # Two or three letters only find whole words; four begin a word. The fourth alias counts like the first.
+    assert got["Ka"] == got["Kaz"] == ("not_found", None) and got["kaza"][0] == "ambiguous"
+    assert got["BTU Kazakhstan"] == ("resolved", "Q1")
     assert got["KBTU"] == ("resolved", "Q1")
     assert got["ЕНУ"] == ("resolved", "Q2")
     assert got["harvard"] == ("resolved", "Q3")

@@ -119,6 +119,7 @@ SOURCE_TYPE_PRIOR = {"official": 10, "encyclopedic": 8, "news": 5, "independent"
 # --- fixed values: resolution ------------------------------------------------
 MIN_MATCH, MIN_LEAD, EXACT_MATCH, MIN_FUZZY = 0.6, 0.1, 0.95, 0.75
 STEM_PREFIX, MIN_EXTENDED_WORD = 7, 6
+MIN_PREFIX_WORD = 4  # shorter words find whole words only
 RESOLVER_VERSION = 6
 
 # --- fixed values: cache lifetimes (seconds) ---------------------------------

@@ -26,9 +26,14 @@ def mentions_entity(text: Column, names: Column, aliases: Column, page: bool = F
     return F.coalesce(by_name, F.lit(False)) | F.coalesce(F.exists(aliases, word), F.lit(False))
 
 
+def listed(df: DataFrame, many: str, one: str) -> Column:
+    """The array column ``many`` where the table has it, else the column ``one`` as an array."""
+    return F.col(many) if many in df.columns else F.array(one)
+
+
 def entity_needles(entities: DataFrame) -> DataFrame:
-    """Folded once per entity, not once per candidate."""
-    names, aliases = needles(F.array("name_en", "name_ru", "name_kk", "name"), F.array("alias"))
+    """All names and aliases, folded once per entity, not once per candidate."""
+    names, aliases = needles(F.array("name_en", "name_ru", "name_kk", "name"), listed(entities, "aliases", "alias"))
     return entities.select("entity_id", names.alias("needle_names"), aliases.alias("needle_aliases"))
 
 
@@ -60,9 +65,8 @@ def domain_join(hosts: DataFrame, domain_lists: DataFrame) -> DataFrame:
 def classify_domains(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, host) -> source type and stock/aggregator flags; own domains are looked up, not listed."""
     distinct = pairs.select("entity_id", strip_www(F.col("host")).alias("host")).distinct()
-    owned = entities.filter("domain is not null").select(
-        "entity_id", F.explode(official_hosts(F.col("domain"))).alias("own")
-    )
+    domains = entities.select("entity_id", F.explode(listed(entities, "domains", "domain")).alias("domain"))
+    owned = domains.filter("domain <> ''").select("entity_id", F.explode(official_hosts(F.col("domain"))).alias("own"))
     own = distinct.select("entity_id", "host", F.explode(host_suffixes(F.col("host"))).alias("own")).join(
         owned, ["entity_id", "own"]
     ).select("entity_id", "host").distinct().withColumn("_own", F.lit(True))

@@ -33,9 +33,10 @@ def name_rows(index: DataFrame) -> DataFrame:
     def entry(column: str, kind: str) -> Column:
         return F.struct(F.col(column).alias("text"), F.lit(kind).alias("kind"))
 
-    labels = [entry(c, "label") for c in ("name_en", "name_ru", "name_kk")]
-    aliases = [entry(c, "alias") for c in ("alias_1", "alias_2")]
-    return index.select("qid", F.inline(F.array(*labels, *aliases))).filter(F.col("text").isNotNull())
+    labels = F.array(*[entry(c, "label") for c in ("name_en", "name_ru", "name_kk")])
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(
+        a.alias("text"), F.lit("alias").alias("kind")))
+    return index.select("qid", F.inline(F.concat(labels, aliases))).filter("text <> ''")
 
 
 def acronyms(name: Column) -> Column:
@@ -101,7 +102,12 @@ def same_word(word: Column, name_word: Column) -> Column:
 
 def words_covered(variant: Column, name: Column) -> Column:
     words, names = F.split(variant, " "), F.split(name, " ")
-    return F.forall(words, lambda w: (F.length(w) >= 2) & F.exists(names, lambda n: same_word(w, n)))
+    return F.forall(words, lambda w: (F.length(w) >= 2) & F.exists(names, lambda n: same_word(w, n))) & found_by(words, names)
+
+
+def found_by(words: Column, names: Column) -> Column:
+    """The retrieval gate: a word of the query is a whole word of the name or long enough to stand for its beginning."""
+    return F.exists(words, lambda w: (F.length(w) >= config.MIN_PREFIX_WORD) | F.array_contains(names, w))
 
 
 def _word_prefixes(text: Column) -> Column:
@@ -181,11 +187,19 @@ def popularity(sitelinks: Column) -> Column:
     return F.least(F.lit(1.0), F.log10(sitelinks + 1) / F.log10(F.lit(151.0)))
 
 
+def is_stub() -> Column:
+    """No article, no media category by claim or sitelink, and no coordinates: an entry that nothing documents."""
+    return (
+        (F.coalesce("sitelinks", F.lit(0)) == 0) & F.col("commons_category").isNull() & F.col("media_sitelink").isNull()
+        & (F.col("lat").isNull() | F.col("lon").isNull())
+    )
+
+
 def static_score(index: DataFrame) -> DataFrame:
     """The part of the score that does not depend on the query."""
-    stub = F.coalesce(F.col("stub"), F.lit(False))
-    return index.select("qid", stub.alias("stub"), "sitelinks",
-                        (0.3 * popularity(F.col("sitelinks")) - F.when(stub, 0.1).otherwise(0.0)).alias("base"))
+    links, stub = F.coalesce("sitelinks", F.lit(0)), is_stub()
+    return index.select("qid", stub.alias("stub"), links.alias("sitelinks"),
+                        (0.3 * popularity(links) - F.when(stub, 0.1).otherwise(0.0)).alias("base"))
 
 
 def shortlists(terms: DataFrame, scores: DataFrame, k: int) -> DataFrame:
@@ -264,7 +278,7 @@ def search_and_or(variants: DataFrame, names: DataFrame, index: DataFrame, k: in
     found = words.join(posting, "word").groupBy("variant", "total", "name").agg(F.count(F.lit(1)).alias("n"))
     has_all = found.groupBy("variant").agg(F.max(F.col("n") == F.col("total")).alias("has_all"))
     kept = found.join(has_all, "variant").filter(~F.col("has_all") | (F.col("n") == F.col("total")))
-    boost = index.select("qid", (1 + 0.25 * F.log10(1 + F.col("sitelinks"))).alias("boost"))
+    boost = index.select("qid", (1 + 0.25 * F.log10(1 + F.coalesce("sitelinks", F.lit(0)))).alias("boost"))
     short = top_k(names.join(boost, "qid"), ["name"], [F.desc("boost"), F.col("qid")], k, "_r").drop("_r")
     per_name = variants.join(kept, "variant").groupBy("norm", "name").agg(F.max(F.col("n") / F.col("total")).alias("share"))
     hits = per_name.join(short, "name").groupBy("norm", "qid").agg(F.max(F.col("share") * F.col("boost")).alias("score"))

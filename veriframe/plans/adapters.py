@@ -36,6 +36,8 @@ ADAPTERS["entities"] = """
     CASE WHEN s_suppkey % 3 = 0 THEN concat('Вуз «Звезда ', CAST(s_suppkey AS STRING), '»') END AS name_ru,
     CASE WHEN s_suppkey % 5 = 0 THEN concat('Жұлдыз ', CAST(s_suppkey AS STRING)) END AS name_kk,
     concat('S', CAST(s_suppkey AS STRING)) AS alias,
+    split(concat_ws(';', concat('S', CAST(s_suppkey AS STRING)), CASE WHEN s_suppkey % 6 = 0 THEN concat('Alma ', CAST(s_suppkey AS STRING)) END,
+      CASE WHEN s_suppkey % 10 = 1 THEN concat('Shipped by ', CAST(s_suppkey AS STRING)) END), ';') AS aliases,
     CASE WHEN n_nationkey % 5 = 0 THEN 'KZ' WHEN n_nationkey % 5 = 1 THEN 'US' WHEN n_nationkey % 5 = 2 THEN 'DE'
          WHEN n_nationkey % 5 = 3 THEN 'ru' ELSE 'FR' END AS country_code,
     CASE WHEN s_suppkey % 7 <> 0 THEN 40 + (s_suppkey % 200) / 2e1 END AS lat,
@@ -44,6 +46,9 @@ ADAPTERS["entities"] = """
     CASE WHEN s_suppkey % 11 <> 0 THEN 60 + (s_suppkey % 180) / 2e1 + 1 / 5e1 END AS city_lon,
     CASE WHEN s_suppkey % 13 <> 0 THEN concat('City ', CAST(n_nationkey AS STRING)) END AS city_name,
     CASE WHEN s_suppkey % 9 <> 0 THEN concat('u', CAST(s_suppkey AS STRING), '.kz') END AS domain,
+    split(concat_ws(';', CASE WHEN s_suppkey % 9 <> 0 THEN concat('u', CAST(s_suppkey AS STRING), '.kz') END,
+      CASE WHEN s_suppkey % 4 = 1 THEN concat('site', CAST(s_suppkey % 50 AS STRING), '.example.org') END,
+      CASE WHEN s_suppkey % 25 = 5 THEN 'www.tengrinews.kz' END), ';') AS domains,
     CASE WHEN s_suppkey % 6 <> 0 THEN CAST(1900 + s_suppkey % 120 AS STRING) END AS inception,
     CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 37 % 30000 END AS students,
     s_suppkey * 7 % 160 AS sitelinks
@@ -116,14 +121,20 @@ ADAPTERS["index_entries"] = """
       ' национальный институт имени ', CAST(p_size AS STRING)) END AS name_ru,
     CASE WHEN p_partkey % 10 = 0 THEN concat(translate(p_name, 'abdegilmnoprstuzwhc', 'әбдегілмңөпрстұзуһк'),
       ' университеті') END AS name_kk,
-    CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, ' ', p_name) END AS alias_1,
-    CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS alias_2,
-    p_partkey * 11 % 160 AS sitelinks,
+    split(concat_ws(';', CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, ' ', p_name) END,
+      CASE WHEN p_partkey % 4 = 0 THEN p_brand END,
+      CASE WHEN p_partkey % 20 = 0 THEN concat('P', CAST(p_partkey AS STRING)) END,
+      CASE WHEN p_partkey % 20 = 0 THEN concat(p_brand, ' academy') END,
+      CASE WHEN p_partkey % 20 = 0 THEN concat(p_type, ' college') END), ';') AS aliases,
+    CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS short_name,
+    CASE WHEN p_partkey % 7 <> 3 THEN p_partkey * 11 % 160 END AS sitelinks,
+    CASE WHEN p_partkey % 3 = 1 THEN concat('Cat ', p_name) END AS commons_category,
+    CASE WHEN p_partkey % 5 = 1 THEN concat('Category:', p_name) END AS media_sitelink,
+    CASE WHEN p_partkey % 4 = 2 THEN 1e0 * p_size END AS lat, CASE WHEN p_partkey % 4 = 2 THEN 2e0 * p_size END AS lon,
     concat('NATION_', CAST(p_size % 25 AS STRING)) AS country,
     concat('C', CAST(p_size % 25 AS STRING)) AS country_code,
     concat('City ', CAST(p_size AS STRING)) AS city_name,
     CASE WHEN p_partkey % 6 <> 0 THEN CAST(1850 + p_size AS STRING) END AS inception,
-    p_partkey % 21 = 0 AS stub,
     CASE WHEN p_partkey % 8 <> 0 THEN concat('https://www.P', CAST(p_partkey AS STRING), '.edu/start') END AS website
   FROM part"""
 

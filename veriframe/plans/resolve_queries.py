@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.text import normalize_name
 from veriframe.operators import resolve
-from veriframe.plans.adapters import ADAPTERS, adapter
+from veriframe.plans.adapters import ADAPTERS, adapter, ctes
 from veriframe.plans.registry import query
 from veriframe.plans.text_queries import NAMES_CTES, drop_filler_sql, fold_sql, translit_sql
 from veriframe.session import cut_lineage
@@ -41,10 +41,13 @@ SAME = """(starts_with(n, w) OR (length(n) >= 6 AND starts_with(w, n)) OR (lengt
 MATCH_CTES = TERM_CTES + f""",
 vs AS (SELECT DISTINCT variant, string_split(variant, ' ') AS vw FROM variants),
 ns AS (SELECT DISTINCT name, string_split(name, ' ') AS nw FROM nterms),
+stubs AS (SELECT qid, sitelinks, coalesce(sitelinks, 0) = 0 AND commons_category IS NULL AND media_sitelink IS NULL AND lat IS NULL AS stub
+  FROM index_entries),
 pairs AS (
   SELECT variant, name, CASE WHEN variant = name THEN 3
     WHEN starts_with(name, variant || ' ') OR starts_with(variant, name || ' ') THEN 2
-    WHEN len(list_filter(vw, lambda w: length(w) >= 2 AND len(list_filter(nw, lambda n: {SAME})) > 0)) = len(vw) THEN 1 ELSE 0 END AS level
+    WHEN len(list_filter(vw, lambda w: length(w) >= 2 AND len(list_filter(nw, lambda n: {SAME})) > 0)) = len(vw)
+      AND len(list_filter(vw, lambda w: length(w) >= 4 OR list_contains(nw, w))) > 0 THEN 1 ELSE 0 END AS level
   FROM vs CROSS JOIN ns),
 matches AS (SELECT * FROM pairs WHERE level > 0),
 quality AS (
@@ -52,9 +55,9 @@ quality AS (
     WHEN 2 THEN 0.75 ELSE 0.6 END)::DOUBLE AS match
   FROM variants v JOIN matches m USING (variant) JOIN nterms t USING (name) GROUP BY ALL),
 scored AS (
-  SELECT q.*, e.stub, 0.7::DOUBLE * match + (0.3::DOUBLE * least(1.0::DOUBLE, log10(e.sitelinks + 1) / log10(151.0::DOUBLE))
+  SELECT q.*, e.stub, 0.7::DOUBLE * match + (0.3::DOUBLE * least(1.0::DOUBLE, log10(coalesce(e.sitelinks, 0) + 1) / log10(151.0::DOUBLE))
     - CASE WHEN e.stub THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS score
-  FROM quality q JOIN index_entries e USING (qid)),
+  FROM quality q JOIN stubs e USING (qid)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY round(score, 9) DESC, qid) AS rank FROM scored),
 decided AS (
@@ -112,6 +115,12 @@ def match_quality(spark, sf_dir):
     return matches.groupBy("norm", "name", "kind").agg(F.round(100 * F.max(quality)).cast("bigint").alias("match_percent"))
 
 
+@query("is_stub", ctes("index_entries") + """
+SELECT qid, coalesce(sitelinks, 0) = 0 AND commons_category IS NULL AND media_sitelink IS NULL AND lat IS NULL AS stub FROM index_entries""")
+def is_stub(spark, sf_dir):
+    return adapter(spark, sf_dir, "index_entries").select("qid", resolve.is_stub().alias("stub"))
+
+
 @query("resolve_rank", MATCH_CTES + """
 SELECT norm, qid, rank, CAST(round(score * 10000) AS BIGINT) AS score FROM ranked WHERE rank <= 12""")
 def resolve_rank(spark, sf_dir):
@@ -143,7 +152,7 @@ def resolve_cards(spark, sf_dir):
 nw AS (SELECT DISTINCT name, unnest(list_distinct(string_split(name, ' '))) AS word FROM nterms),
 found AS (SELECT variant, total, name, count(*) AS n FROM vw JOIN nw USING (word) GROUP BY ALL),
 kept AS (SELECT * FROM (SELECT *, max(n = total) OVER (PARTITION BY variant) AS has_all FROM found) WHERE NOT has_all OR n = total),
-hits AS (SELECT v.norm, t.qid, max((k.n / k.total) * (1 + 0.25::DOUBLE * log10(1 + e.sitelinks))) AS score
+hits AS (SELECT v.norm, t.qid, max((k.n / k.total) * (1 + 0.25::DOUBLE * log10(1 + coalesce(e.sitelinks, 0)))) AS score
   FROM variants v JOIN kept k USING (variant) JOIN nterms t USING (name) JOIN index_entries e USING (qid) GROUP BY ALL)
 SELECT norm, qid, rank, CAST(round(score * 10000) AS BIGINT) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY round(score, 9) DESC, qid) AS rank FROM hits) WHERE rank <= 12""")

@@ -206,13 +206,13 @@ def build_entities(spark, sf_dir):
 SELECT qid, coalesce(name_ru, name_en, name_kk, qid) AS name, array_to_string(list_filter([
   'https://ru.wikipedia.org/wiki/' || url_encode(replace(name_ru, ' ', '_')), 'https://en.wikipedia.org/wiki/' || url_encode(replace(name_en, ' ', '_')),
   'https://kk.wikipedia.org/wiki/' || url_encode(replace(name_kk, ' ', '_'))], lambda x: x IS NOT NULL), ' ') AS urls,
-  'https://commons.wikimedia.org/wiki/Special:FilePath/' || url_encode(replace(alias_2 || ' logo.png', ' ', '_')) || '?width=256' AS logo_url
+  'https://commons.wikimedia.org/wiki/Special:FilePath/' || url_encode(replace(short_name || ' logo.png', ' ', '_')) || '?width=256' AS logo_url
 FROM index_entries""")
 def entity_view(spark, sf_dir):
     article = lambda lang, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(lang).alias("lang"), F.col(c).alias("title")))
     index = adapter(spark, sf_dir, "index_entries").withColumns({
         "wikipedia": F.array_compact(F.array(article("kk", "name_kk"), article("en", "name_en"), article("ru", "name_ru"))),
-        "logo": F.concat("alias_2", F.lit(" logo.png")),
+        "logo": F.concat("short_name", F.lit(" logo.png")),
     })
     return knowledge.entity_view(index).select("qid", "name", F.array_join("articles.url", " ").alias("urls"), "logo_url")
 

@@ -57,8 +57,7 @@ raw_names AS (
   SELECT qid, name_en AS text, 'label' AS kind FROM index_entries WHERE name_en IS NOT NULL
   UNION ALL SELECT qid, name_ru, 'label' FROM index_entries WHERE name_ru IS NOT NULL
   UNION ALL SELECT qid, name_kk, 'label' FROM index_entries WHERE name_kk IS NOT NULL
-  UNION ALL SELECT qid, alias_1, 'alias' FROM index_entries WHERE alias_1 IS NOT NULL
-  UNION ALL SELECT qid, alias_2, 'alias' FROM index_entries WHERE alias_2 IS NOT NULL),
+  UNION ALL SELECT qid, a, 'alias' FROM (SELECT qid, unnest(aliases) AS a FROM index_entries) WHERE a <> ''),
 texts AS (SELECT DISTINCT text FROM raw_names),
 folded AS (SELECT text, {fold_sql('text')} AS folded FROM texts),
 normed AS (SELECT text, folded, {drop_filler_sql('folded')} AS norm FROM folded),
@@ -187,7 +186,7 @@ _MENTION_TEXT = """concat(coalesce(c.title, ''), ' ', CASE c.seq % 7 WHEN 0 THEN
 , t AS (SELECT c.cand_id, c.entity_id, ' ' || {fold_sql("coalesce(" + _MENTION_TEXT + ", '')")} || ' ' AS hay
   FROM candidates c JOIN entities e USING (entity_id)),
 n AS (SELECT entity_id, list_filter([{fold_sql('name_en')}, {fold_sql('name_ru')}, {fold_sql('name_kk')}, {fold_sql('name')}],
-    lambda x: length(x) >= 5) AS names, list_filter([{fold_sql('alias')}], lambda x: length(x) >= 3) AS aliases FROM entities)
+    lambda x: length(x) >= 5) AS names, list_filter(list_transform(aliases, lambda a: {fold_sql('a')}), lambda x: length(x) >= 3) AS aliases FROM entities)
 SELECT cand_id,
   len(list_filter(names, lambda x: contains(hay, ' ' || x || ' '))) + len(list_filter(aliases, lambda x: contains(hay, ' ' || x || ' '))) > 0 AS whole,
   len(list_filter(names, lambda x: contains(hay, x))) + len(list_filter(aliases, lambda x: contains(hay, ' ' || x || ' '))) > 0 AS page
@@ -230,8 +229,8 @@ def domain_join(spark, sf_dir):
     return mentions.domain_join(hosts, spark.createDataFrame(_LISTS, "domain string, list string"))
 
 
-_CLASS_SQL = r"""CASE WHEN host = domain OR ends_with(host, '.' || domain) OR host = replace(domain, '.kz', '.edu.kz')
-    OR ends_with(host, '.' || replace(domain, '.kz', '.edu.kz')) THEN 'official'
+_CLASS_SQL = r"""CASE WHEN len(list_filter(list_transform(domains, lambda d: regexp_replace(d, '^www\.', '')), lambda d: d <> '' AND (host = d
+    OR ends_with(host, '.' || d) OR host = replace(d, '.kz', '.edu.kz') OR ends_with(host, '.' || replace(d, '.kz', '.edu.kz'))))) > 0 THEN 'official'
   WHEN host = 'commons.wikimedia.org' THEN 'encyclopedic' WHEN host = 'tengrinews.kz' THEN 'news' WHEN host = 'vk.com' THEN 'social'
   WHEN host IN ('img.shutterstock.com', 'ru.pinterest.com') THEN 'unknown' ELSE 'independent' END"""
 
@@ -253,7 +252,7 @@ k AS (SELECT *, {_CLASS_SQL} AS cls FROM t)
 SELECT cand_id, cls AS source_type, cls = 'official' AS official_domain,
   contains(hay, {fold_sql('name')}) OR coalesce(length({fold_sql('name_ru')}) >= 5 AND contains(hay, {fold_sql('name_ru')}), false)
   OR coalesce(length({fold_sql('name_kk')}) >= 5 AND contains(hay, {fold_sql('name_kk')}), false)
-  OR (length({fold_sql('alias')}) >= 3 AND contains(hay, ' ' || {fold_sql('alias')} || ' ')) OR (cls = 'official' AND site_query) AS page_mentions_name
+  OR len(list_filter(list_transform(aliases, lambda a: {fold_sql('a')}), lambda x: length(x) >= 3 AND contains(hay, ' ' || x || ' '))) > 0 OR (cls = 'official' AND site_query) AS page_mentions_name
 FROM k""")
 def provenance(spark, sf_dir):
     entities = adapter(spark, sf_dir, "entities")
