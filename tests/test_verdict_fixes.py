@@ -42,3 +42,35 @@ def test_observation_values_by_type(spark):
     bodies = [(i, json.dumps([{"id": "x", "secondary_categories": c, "quality": q}])) for i, (c, q) in enumerate(values)]
     rows, _ = providers.parse_observations(spark.createDataFrame(bodies, "k int, body string"))
     assert [(r.secondary_categories, r.quality) for r in rows.orderBy("k").collect()] == [([], 1), (["campus"], 4), ([], 2), (["campus"], 1)]
+
+
+def test_one_observation_per_candidate(spark):
+    from veriframe.operators import scoring
+    columns = ", ".join(f"{c} array<string>" if c == "secondary_categories" else f"{c} boolean" if c in ("stock_like", "close_up_portrait")
+                        else f"{c} string" for c in scoring.OBSERVATION_COLUMNS)
+    def row(cand, seq, kind):
+        return (cand, seq, *[{"image_type": kind, "secondary_categories": [], "stock_like": False, "close_up_portrait": False}.get(c)
+                             for c in scoring.OBSERVATION_COLUMNS])
+    seen = spark.createDataFrame([row("a", 1, "photo"), row("a", 2, "collage"), row("a", 2, "collage"), row("b", 1, "photo")], f"cand_id string, seq long, {columns}")
+    sent = spark.createDataFrame([("a",), ("b",), ("c",)], "cand_id string")
+    got = {r.cand_id: (r.image_type, r.observed) for r in scoring.join_observations(sent, seen).collect()}
+    assert got == {"a": ("collage", True), "b": ("photo", True), "c": (None, False)}
+
+
+def test_addresses_that_a_parser_refuses(spark):
+    from veriframe.functions.urls import canonical_url, url_host
+    urls = ["https://www.a.org/x y|{1}.jpg?utm_source=z&id=5", "http://a.org/100%.jpg?w=3", "https://a.org/b\\c.jpg", "https://a.org/ü.jpg?w=1", None]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url("u").alias("c"), url_host("u").alias("h")).collect()
+    assert [r.c for r in rows] == ["https://a.org/x%20y%7C%7B1%7D.jpg?id=5", "https://a.org/100%25.jpg", "https://a.org/b/c.jpg", "https://a.org/ü.jpg", None]
+    assert [r.h for r in rows] == ["a.org"] * 4 + [None]
+
+
+def test_percentiles_of_a_hot_key_come_from_many_cells(spark):
+    import numpy as np
+    from veriframe.operators.ranking import histogram_percentiles
+    values = np.random.default_rng(3).normal(0, 40, 3000).round(3).tolist() + [5.0] * 500 + [None]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 7.0)], "k int, v double")
+    got = {r.k: r for r in histogram_percentiles(df, ["k"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    known = [v for v in values if v is not None]
+    assert got[1].n == 3500 and abs(got[1].p50 - np.quantile(known, 0.5)) < 1e-9 and abs(got[1].p90 - np.quantile(known, 0.9)) < 1e-9
+    assert (got[2].n, got[2].p50, got[2].p90) == (1, 7.0, 7.0)

@@ -19,13 +19,26 @@ MEDIA_THUMB = r"(?i)^/wikipedia/([a-z-]+)/thumb/([0-9a-f])/([0-9a-f]{2})/([^/]+)
 NON_PHOTO_EXTENSION = r"(?i)\.(?:svg|gif|ico|bmp|tiff?)(?:$|[?#])"
 
 
+#: What a parser refuses in an address and a browser writes for it.
+ESCAPES = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "\\": "/", "^": "%5E", "`": "%60", "{": "%7B", "|": "%7C", "}": "%7D"}
+REFUSED = r'[\s"<>\\^`{|}]|%(?![0-9A-Fa-f]{2})'
+
+
+def parseable(url: Column) -> Column:
+    """The trimmed address with the characters that a parser refuses escaped."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(url), r"[\t\n\r]", ""), "%(?![0-9A-Fa-f]{2})", "%25")
+    for char, escape in ESCAPES.items():
+        clean = F.replace(clean, F.lit(char), F.lit(escape))
+    return F.when(F.trim(url).rlike(REFUSED), clean).otherwise(F.trim(url))
+
+
 def strip_www(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
 def url_host(col: Column) -> Column:
     """Lower-case host without ``www.``; null when there is none."""
-    return strip_www(F.try_parse_url(F.trim(col), F.lit("HOST")))
+    return strip_www(F.try_parse_url(parseable(col), F.lit("HOST")))
 
 
 def canonical_url(col: Column) -> Column:
@@ -51,10 +64,10 @@ def canonical_url(col: Column) -> Column:
     def rebuilt(url: Column) -> Column:
         return F.when(
             F.lower(url).rlike("^https?://"),
-            F.coalesce(F.concat(F.lit("https://"), url_host(url), path_of(url), query_of(url)), url),
+            F.coalesce(F.concat(F.lit("https://"), strip_www(F.try_parse_url(url, F.lit("HOST"))), path_of(url), query_of(url)), url),
         ).otherwise(url)
 
-    return let(F.trim(col), rebuilt)
+    return let(parseable(col), rebuilt)
 
 
 def host_suffixes(host: Column) -> Column:

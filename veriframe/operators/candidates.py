@@ -9,6 +9,7 @@ from veriframe import config
 from veriframe.functions.urls import NON_PHOTO_EXTENSION, canonical_url, host_in_list, url_host
 from veriframe.operators.ranking import positions, top_k
 from veriframe.operators.scoring import flag
+from veriframe.session import cut_lineage
 
 ORDER = ["seq", "cand_id"]  # pipeline order; cand_id makes it total
 
@@ -158,8 +159,14 @@ def url_mentions(rows: DataFrame) -> DataFrame:
 
 
 def dedup_exact_url(candidates: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(winners with their count of other pages, the other pages in long form)."""
+    """(winners with their count of other pages, the other pages in long form).
+
+    The addresses are cleaned once: three steps below read them from a checkpoint, with ``keep`` a narrow one.
+    """
     rows = with_canonical(candidates)
+    if keep is not None:
+        rows = rows.select(*dict.fromkeys([*GROUP, *ORDER, "prior", "source_page_url", "source_domain", *keep]))
+    rows = cut_lineage(rows)
     mentions = url_mentions(rows)
     counts = mentions.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_pages"))
     winners = url_winners(rows, keep).join(counts, GROUP, "left").na.fill(0, ["n_pages"])

@@ -18,29 +18,16 @@ from veriframe.operators.ranking import top_k
 from veriframe.session import cut_lineage
 
 BLOCK = 2048  # members of one bucket that share a join key
-
-
-def masks_for(classes: DataFrame, keys: list[str], distance: int) -> list[int]:
-    """Longer keys for larger groups; only the size of the largest group is read."""
-    if keys:
-        largest = classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    else:
-        largest = classes.count()
-    if largest <= 20_000:
-        bands = distance + 1  # one untouched band, about 9 bits for distance 6
-    elif largest <= 5_000_000:
-        bands = distance + 3  # three untouched bands, about 21 bits
-    else:
-        bands = distance + 6  # six untouched bands, 32 bits
-    return clean_band_masks(distance, bands)
+SPARE_BANDS = 3  # untouched bands in a key: about 21 bits for distance 6
 
 
 def near_pairs(classes: DataFrame, keys: list[str], distance: int) -> DataFrame:
     """All pairs (hash_a < hash_b) of distinct fingerprints at most ``distance`` bits apart, per key.
 
-    ``classes`` holds distinct (keys, hash) rows. Exact: no bucket is capped or sampled.
+    ``classes`` holds distinct (keys, hash) rows. Exact: no bucket is capped or sampled. The layout is the same at every
+    size; buckets that grow are cut in blocks.
     """
-    masks = masks_for(classes, keys, distance)
+    masks = clean_band_masks(distance, distance + SPARE_BANDS)
     slots = classes.select(*keys, "hash", F.explode(masked_keys(F.col("hash"), masks)).alias("k")).select(
         *keys, "hash", "k.slot", "k.bits"
     )
@@ -271,6 +258,16 @@ def probe_pairs(queries: DataFrame, known: DataFrame, distance: int) -> DataFram
     ).distinct()
 
 
+def known_pool(photos: DataFrame, uploads: DataFrame) -> DataFrame:
+    """(entity_id, hash, ord): what is known of every entity, its profile photos and accepted uploads, each print once.
+
+    Both sides have (entity_id, hash, ord); the first place counts. Rows without a fingerprint can't be found again.
+    """
+    columns = ["entity_id", "hash", "ord"]
+    rows = photos.select(*columns).unionByName(uploads.select(*columns)).filter("hash is not null")
+    return rows.groupBy("entity_id", "hash").agg(F.min("ord").alias("ord"))
+
+
 def nearest_known(uploads: DataFrame, known: DataFrame, distance: int = config.UPLOAD_DUP_HAMMING) -> DataFrame:
     """Verdict of each upload (upload_id, entity_id, hash) against known (entity_id, hash, ord).
 

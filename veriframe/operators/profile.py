@@ -74,6 +74,12 @@ def group_rejected(rejected: DataFrame) -> DataFrame:
     )
 
 
+def rejected_items(rejected: DataFrame) -> DataFrame:
+    """Every rejected item at its place within its reason, with the place of the reason in the tray."""
+    placed = positions(rejected, ["entity_id", "reason"], [], [F.col("seq"), F.col("cand_id")], "place", block=("seq", 1 << 16))
+    return placed.withColumn("tray_order", list_rank(F.col("reason"), config.REJECT_REASONS))
+
+
 def top_reject_reasons(rejected: DataFrame, k: int = 3) -> DataFrame:
     """Total and the k most frequent reasons as text; ties go to the reason seen first."""
     counts = rejected.groupBy("entity_id", "reason").agg(

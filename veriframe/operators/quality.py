@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veriframe import config
 from veriframe.functions.urls import host_suffixes, official_hosts, strip_www
 from veriframe.operators.profile import coverage
+from veriframe.operators.ranking import histogram_percentiles
 
 
 def _has_signal(names: list[str]) -> Column:
@@ -123,6 +124,12 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
+def latency(rows: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
+    """Median and 90th percentile per key: of fresh runs (``keys`` empty) or of a model's batches."""
+    everything = rows.withColumn("_all", F.lit(0))
+    return histogram_percentiles(everything, [*keys, "_all"], value, {"p50": 0.5, "p90": 0.9}).drop("_all")
+
+
 def join_labels(photos: DataFrame, labels: DataFrame) -> DataFrame:
     """Label of each photo: by picture URL, else by page URL."""
     by_image = labels.groupBy("image_url").agg(F.min(F.struct("label_id", "belongs", "category")).alias("li"))

@@ -53,13 +53,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 def histogram_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact nearest-lower/upper interpolated percentiles from value counts.
 
-    Values are counted first (partial aggregation), so a group is represented by its distinct values.
+    Values are counted first (partial aggregation), so a group is represented by its distinct values. They are numbered
+    within cells of growing width, and the cells' totals give the offsets: no task holds all values of a hot group.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    window = Window.partitionBy(*keys).orderBy(value)
-    cum = counts.withColumn("_hi", F.sum("_n").over(window)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*keys))
-    )
+    counts = counts.withColumn("_cell", (F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * 64)).cast("int"))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cell_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*keys, "_cell", F.coalesce(F.sum("_cell_n").over(before), F.lit(0)).alias("_offset"),
+                         F.sum("_cell_n").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value)
+    cum = null_safe_join(counts.withColumn("_in", F.sum("_n").over(inside)), cells, [*keys, "_cell"])
+    cum = cum.withColumn("_hi", F.col("_offset") + F.col("_in"))
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_n"))
     out = [F.sum("_n").cast("bigint").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
     for name, share in shares.items():

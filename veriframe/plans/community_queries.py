@@ -178,6 +178,30 @@ def run_summary(spark, sf_dir):
     return quality.run_summary(runs(spark, sf_dir))
 
 
+def _milli(stats):
+    return [F.round(F.col(c) * 1000).cast("bigint").alias(f"{c}_milli") for c in ("p50", "p90")]
+
+
+@query("cold_latency", RUN_CTES + """
+, t AS (SELECT CAST(round(o_totalprice) AS BIGINT) AS ms FROM orders JOIN runs ON run_id = o_orderkey WHERE terminal = 'done' AND NOT cached)
+SELECT count(*) AS n, CAST(round(quantile_cont(ms, 0.5) * 1000) AS BIGINT) AS p50_milli, CAST(round(quantile_cont(ms, 0.9) * 1000) AS BIGINT) AS p90_milli FROM t""")
+def cold_latency(spark, sf_dir):
+    times = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.round("o_totalprice").cast("bigint").alias("ms"))
+    fresh = runs(spark, sf_dir).filter("terminal = 'done' and not cached").join(times, "run_id")
+    stats = quality.latency(fresh, [])
+    return stats.select("n", *_milli(stats))
+
+
+@query("batch_latency", """
+WITH b AS (SELECT o_custkey % 3 AS model, CAST(round(o_totalprice) AS BIGINT) AS ms FROM orders)
+SELECT model, count(*) AS n, CAST(round(quantile_cont(ms, 0.5) * 1000) AS BIGINT) AS p50_milli,
+  CAST(round(quantile_cont(ms, 0.9) * 1000) AS BIGINT) AS p90_milli FROM b GROUP BY model""")
+def batch_latency(spark, sf_dir):
+    batches = read_table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("model"), F.round("o_totalprice").cast("bigint").alias("ms"))
+    stats = quality.latency(batches, ["model"])
+    return stats.select("model", "n", *_milli(stats))
+
+
 @query("verdict", RUN_CTES + """
 SELECT run_id, CASE WHEN terminal = 'error' AND error_code = 'rate_limited' THEN 'SKIP' WHEN terminal IS NULL OR terminal = 'error' OR n_fails > 0 THEN 'FAIL'
   WHEN n_warns > 0 OR CASE WHEN terminal = 'done' THEN 'profile' ELSE terminal END NOT IN (expect1, 'not_found') THEN 'WARN' ELSE 'PASS' END AS verdict FROM runs""")

@@ -207,6 +207,13 @@ def nearest_hash(spark, sf_dir):
     return dedup.nearest_known(uploads, known)
 
 
+@query("known_pool", HASH_CTES + """
+SELECT entity_id, hash, min(ord) AS ord FROM items GROUP BY ALL""")
+def known_pool(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    return dedup.known_pool(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1"))
+
+
 @query("reuse", HASH_CTES + """
 , pool AS (SELECT item_id, (ord * 7) % 5 + entity_id * (ord % 3) AS entity_id, hash, ord % 101 = 0 AS is_stock FROM items),
 near AS (

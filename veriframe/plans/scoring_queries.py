@@ -278,6 +278,14 @@ def rejected_groups(spark, sf_dir):
     return profile.group_rejected(rejected(spark, sf_dir))
 
 
+@query("rejected_items", SCORED_CTES + f"""
+SELECT cand_id, entity_id, reject_reason AS reason, row_number() OVER (PARTITION BY entity_id, reject_reason ORDER BY seq, cand_id) AS place,
+  CASE WHEN reject_reason <> 'portrait' THEN image_url END AS thumb_url,
+  coalesce(list_position([{sql_list(config.REJECT_REASONS)}], reject_reason), 14)::BIGINT AS tray_order FROM rejects""")
+def rejected_items(spark, sf_dir):
+    return profile.rejected_items(rejected(spark, sf_dir)).select("cand_id", "entity_id", "reason", "place", "thumb_url", "tray_order")
+
+
 TOP_REJECT_CTES = SCORED_CTES + """,
 reason_counts AS (
   SELECT entity_id, reject_reason AS reason, count(*) AS n, min(seq) AS first_seq FROM rejects GROUP BY ALL),
