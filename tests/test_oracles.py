@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 # One query per family here; tools/check_oracles.py runs all of them at sf0.01.
 NAMES = [
     "score", "coverage", "display_order", "facts", "audit_integrity", "dedup_url", "url_mentions", "quota_select", "dedup_near",
-    "also_found", "cross_source", "nearest_hash", "reuse", "fold_text", "mention_join", "provenance", "geo_within", "resolve_decide",
+    "also_found", "cross_source", "nearest_hash", "reuse", "fold_text", "lead_quote", "quote_choice", "mention_join", "provenance", "geo_within", "resolve_decide",
     "profile_chain", "is_stub", "classify_domain", "rejected_items", "cold_latency", "known_pool", "ix_enrich", "hierarchy_walk", "claims_best", "obs_parse", "cand_commons", "moderate", "upload_status", "rate_daily",
 ]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.functions.text import lead_quote
 from veriframe.operators.ranking import top_k
 
 MAX_SENTENCES = 5
@@ -33,3 +34,14 @@ def ground_picks(picks: DataFrame, catalogue: DataFrame, cap: int = 5) -> DataFr
     first = known.groupBy("request_id", "qid").agg(
         F.min("pos").alias("pos"), F.min_by(F.substring(F.trim("reason"), 1, 200), "pos").alias("reason"))
     return top_k(first, ["request_id"], [F.col("pos")], cap, "place")
+
+
+def quote_summaries(summaries: DataFrame, preferred: str = "ru") -> DataFrame:
+    """(entity_id, lang, quote): the opening of the summary in the preferred language, else of the first one.
+
+    Summaries (entity_id, lang, ord, extract); blank extracts don't count, an entity with no other has no row.
+    """
+    rows = summaries.filter(F.col("extract").rlike(r"\S"))
+    order = F.struct((~F.col("lang").eqNullSafe(F.lit(preferred))).alias("other"), "ord", "lang")
+    best = rows.groupBy("entity_id").agg(F.min_by(F.struct("lang", "extract"), order).alias("s"))
+    return best.select("entity_id", "s.lang", lead_quote(F.col("s.extract")).alias("quote"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriframe import config
 from veriframe.functions import text as tx
-from veriframe.operators import geo_join, mentions
+from veriframe.operators import geo_join, grounding, mentions
 from veriframe.plans.adapters import adapter, ctes
 from veriframe.plans.registry import query
 from veriframe.sources.tables import read_table
@@ -140,7 +140,34 @@ def clip_extract(spark, sf_dir):
     )
 
 
-@query("lead_quote")
+def _keep_abbreviations(x: str) -> str:
+    """Marks the end signs after initials and abbreviations with chr(1)."""
+    return (rf"""regexp_replace({x}, '((?:^|[\s(])(?:\p{{Lu}}|{tx.ABBREVIATIONS}))([.!?…]+)(\s+[\p{{Lu}}\d«"(])', '\1\2' || chr(1) || '\3', 'g')""")
+
+
+def quote_ctes(source: str, key: str) -> str:
+    """Sentences and quote of ``source`` (key, text). Neighbouring initials overlap, so they are marked in two passes."""
+    return rf"""
+marked AS (SELECT {key}, regexp_replace({_keep_abbreviations(_keep_abbreviations('text'))}, '([.!?…]+)(\s+)([\p{{Lu}}\d«"(])', '\1' || chr(2) || '\2\3', 'g') AS t FROM {source}),
+cut AS (SELECT {key}, list_filter(list_transform(string_split(replace(t, chr(1), ''), chr(2)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
+    lambda s: s <> '') AS s FROM marked),
+quoted AS (SELECT {key}, CASE WHEN len(s) > 2 AND length(array_to_string(s[1:2], ' ')) < 220 THEN array_to_string(s[1:3], ' ')
+    ELSE array_to_string(s[1:2], ' ') END AS quote FROM cut)
+"""
+
+
+@query("quote_choice", rf"""WITH chosen AS (
+  SELECT CAST(floor(doc_id / 3) AS BIGINT) AS entity_id, arg_min(struct_pack(l := lang, x := text), struct_pack(a := lang <> 'en', b := doc_id)) AS c
+  FROM documents WHERE lang IS NOT NULL AND NOT regexp_full_match(coalesce(text, ''), '\s*') GROUP BY 1),
+flat AS (SELECT entity_id, c.l AS lang, c.x AS text FROM chosen), {quote_ctes('flat', 'entity_id')}
+SELECT entity_id, lang, quote FROM quoted JOIN flat USING (entity_id)""")
+def quote_choice(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").filter("lang is not null").select(
+        F.floor(F.col("doc_id") / 3).alias("entity_id"), "lang", F.col("doc_id").alias("ord"), F.col("text").alias("extract"))
+    return grounding.quote_summaries(docs, "en")
+
+
+@query("lead_quote", f"WITH {quote_ctes('documents', 'doc_id')} SELECT doc_id, quote FROM quoted")
 def lead_quote(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", tx.lead_quote(F.col("text")).alias("quote"))
 
