@@ -193,3 +193,15 @@ def test_odd_pages(spark):
     rows = main_text.extract(pages).collect()
     assert sorted(r.n_chars for r in rows) == [0, 0, 11, 499999]
     assert main_text.extract(pages.where("false")).collect() == []
+
+
+def test_runs_of_joining_signs_are_read_in_linear_time():
+    words = secret_scan.ALLOWED[1]
+    assert not words.fullmatch("-" * 200 + "a1b2") and not words.fullmatch("-" * 28 + "1" * 27)
+    assert not words.fullmatch("Ab-" * 20_000 + "a1b2")
+    for text in ("", "-" * 200, "-" * 200 + "ab", "some_Long/NAME=12345678--", "a", "_a_"):
+        assert words.fullmatch(text)
+    for text in ("aB", "ab1", "123456789", "a-bC-d", "AB_Cde_F0"):
+        assert not words.fullmatch(text)
+    text = "-" * 200 + "a1b2 key Zq8xKv3LmP9tRw2YbN5cJh7DfG4s"
+    assert secret_scan.entropy_spans(text, []) == [(209, 3, len(text))]

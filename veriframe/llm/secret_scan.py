@@ -30,7 +30,8 @@ _HEX, _ALNUM = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9A-Za-z]+")
 #: Strings that look random and are not secret: UUIDs, runs of words joined by signs, and marked examples.
 ALLOWED = (
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I),
-    re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{0,8})(?:[+/_=-]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{0,8}))*"),
+    # Parts are not empty and signs are not given back, so a run of signs has one reading and the match is linear.
+    re.compile(r"[+/_=-]*+(?:(?:[A-Za-z][a-z]*+|[A-Z]++|[0-9]{1,8}+)(?:[+/_=-]++|\Z))*+"),
     re.compile(r".*(?:example|sample|placeholder|changeme|dummy).*", re.I),
 )
 
