@@ -163,3 +163,57 @@ def test_block_index_loses_nothing_within_the_radius():
     for _ in range(2000):
         diff = sum(1 << b for b in rng.sample(range(64), decontaminate.RADIUS))
         assert any((diff >> 16 * b & 0xFFFF) in flips for b in range(4))
+
+
+def edited_passages(seed, n_items, n_texts):
+    """Items and texts that hold them with ends missing, words inserted, left out or changed, and a changed tail."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    sample = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, sample(rng.randint(12, 60))) for i in range(n_items)]
+    texts = []
+    for i in range(n_texts):
+        passage = list(rng.choice(items)[1])
+        cut = rng.randint(0, len(passage) // 5)
+        kind = rng.choice(["start", "end", "both", "insert", "leave", "tail", "twice"])
+        if kind in ("start", "both"):
+            passage = passage[cut:]
+        if kind in ("end", "both"):
+            passage = passage[: len(passage) - cut]
+        if kind == "tail":
+            passage[len(passage) - cut :] = sample(cut)
+        for _ in range(rng.randint(1, 3) if kind == "insert" else 0):
+            passage.insert(rng.randrange(len(passage)), rng.choice(["inserted", "x"]))
+        if kind == "leave":
+            del passage[rng.randrange(len(passage))]
+        texts.append((i, " ".join(sample(rng.randint(0, 15)) + passage * (2 if kind == "twice" else 1) + sample(rng.randint(0, 15)))))
+    return items, texts
+
+
+def best_passage(words, target, longest=2):
+    best = (0.0, 0, 0)
+    for start in range(len(words)):
+        for size in range(5, min(int(-(-len(target) * longest // 1)), len(words) - start) + 1):
+            best = max(best, (slow_similarity(words[start : start + size], target), -start, -size))
+    return best
+
+
+def test_passages_of_any_length_equal_brute_force(spark):
+    items, texts = edited_passages(6, 5, 24)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = docs_frame(spark, [*texts, (None, " ".join(items[0][1])), (500, None), (501, "")])
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.passages(docs, bench).collect()}
+    expected = {}
+    for i, text in [*texts, (None, " ".join(items[0][1]))]:
+        for item, target in items:
+            if set(zip(*[text.split()[k:] for k in range(5)])) & set(zip(*[target[k:] for k in range(5)])):
+                best = best_passage(text.split(), target)
+                if best[0] >= 0.8:
+                    expected[i, item] = best
+    got = {k: (r.similarity, -r.start_word, -r.n_words) for k, r in found.items()}
+    assert got == expected and len(expected) > 10
+    fixed = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert fixed < set(expected)
+    kept = {r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()}
+    assert kept - {None} == {i for i, _ in texts} - {i for i, _ in expected} | {500, 501}
+    assert {r.item_copies for r in found.values()} == {1}

@@ -10,6 +10,7 @@ from itertools import combinations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from veriframe.functions.text import let
 from veriframe.session import cut_lineage
 
 SHINGLE = 5
@@ -154,7 +155,87 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     )
 
 
+def shared_places(docs: DataFrame, items: DataFrame, threshold: float, most_broadcast: int = 200_000) -> DataFrame:
+    """(key, item_id, at) of texts whose shared shingles may reach ``threshold``: at holds (pos, letters) in text order.
+
+    A window that reaches the threshold shares at least that part of the item's letters. Items are taken in shares as
+    in ``windows``.
+    """
+    letters = [F.get("hashes", F.col("pos") + k).bitwiseAND(F.lit(255)) for k in range(SHINGLE)]
+    placed = placed_shingles(items.select("item_id", "hashes", "weight"))
+    placed = placed.select("shingle", "item_id", "weight", F.least(sum(letters[1:], letters[0]), F.lit(255)).alias("letters")).distinct()
+    shares = -(-placed.count() // most_broadcast)
+    rows = placed_shingles(docs.select("key", words(F.col("text")).alias("w")).select("key", hashed_words("w").alias("hashes")))
+    rows = rows.select("key", "pos", "shingle")
+    found = None
+    for k in range(max(shares, 1)):
+        share = placed.where(F.pmod("shingle", F.lit(shares)) == k) if shares > 1 else placed
+        part = rows.join(F.broadcast(share), "shingle").select("key", "item_id", "weight", F.struct("pos", "letters").alias("place"))
+        found = part if found is None else found.unionByName(part)
+    near = found.groupBy("key", "item_id", "weight").agg(F.sort_array(F.collect_set("place")).alias("at"))
+    shared = F.aggregate("at", F.lit(0).cast("bigint"), lambda n, p: n + p["letters"])
+    return near.where(shared >= threshold * F.col("weight")).drop("weight")
+
+
+def _ends(longest: Column, threshold: float) -> Column:
+    """Per place of ``at``: struct(start, ends), ends being the places within ``longest`` words that leave enough shared letters."""
+    def one(place: Column, i: Column) -> Column:
+        within = F.filter(F.slice("at", i + 1, longest), lambda p: p["pos"] + SHINGLE - place["pos"] <= longest)
+        none = F.struct(F.lit(0).cast("bigint").alias("n"), F.expr("array()").cast("array<int>").alias("ends"))
+
+        def add(acc: Column, p: Column) -> Column:
+            n = acc["n"] + p["letters"]
+            more = F.when(n >= threshold * F.col("weight"), F.array_append(acc["ends"], p["pos"])).otherwise(acc["ends"])
+            return F.struct(n.alias("n"), more.alias("ends"))
+
+        return F.struct(place["pos"].alias("start"), F.aggregate(within, none, add, lambda acc: acc["ends"]).alias("ends"))
+
+    return F.filter(F.transform("at", one), lambda w: F.size(w["ends"]) > 0)
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, longest: float = 2.0) -> DataFrame:
+    """Rows as of ``contaminated``: the best passage of each document and item, of any length up to ``longest`` items.
+
+    All windows that begin and end with a shared shingle are scored exactly; any other window is no better than the one
+    within it that does. So nothing that reaches ``threshold`` is lost to its length or its SimHash: ``hamming`` is
+    reported and filters nothing. Of equal passages the first counts, then the shortest.
+    """
+    items = item_classes(benchmark).withColumn("item", F.array_distinct(shingles("hashes"))).withColumn("weight", _weight(F.col("item")))
+    items = cut_lineage(items)
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    near = cut_lineage(shared_places(keyed, items, threshold))
+    whole = near.join(items.select("item_id", "length", "weight", "item"), "item_id").join(keyed, "key")
+    reach = F.ceil(F.col("length") * longest).cast("int")
+    # The explode keeps the hashes from being computed again for every start.
+    starts = whole.select("doc_id", "item_id", "length", "weight", "item", "at", words(F.col("text")).alias("w")).select(
+        "doc_id", "item_id", "length", "weight", "item", hashed_words("w").alias("hashes"), F.explode(_ends(reach, threshold)).alias("s"),
+    )
+    windows_ = starts.select(
+        "doc_id", "item_id", "weight", "item", "s", F.slice("hashes", F.col("s.start") + 1, reach).alias("hashes"),
+    )
+
+    def score(all_: Column) -> Column:
+        def one(end: Column) -> Column:
+            size = end - F.col("s.start") + 1
+            return let(F.array_distinct(F.slice(all_, F.lit(1), size)), lambda a: let(
+                _weight(F.array_intersect(a, F.col("item"))), lambda both: F.struct(
+                    (both / (_weight(a) + F.col("weight") - both)).alias("similarity"), (-size - (SHINGLE - 1)).alias("less"))))
+
+        return F.array_max(F.transform("s.ends", one))
+
+    scored = windows_.select("doc_id", "item_id", "s.start", "hashes", let(shingles("hashes"), score).alias("m"))
+    # Filtered after the grouping: a filter before it would score every window a second time.
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(
+        "m.similarity", (-F.col("start")).alias("before"), "m.less", F.slice("hashes", F.lit(1), -F.col("m.less")).alias("hashes"),
+    )).alias("m")).where(F.col("m.similarity") >= threshold)
+    prints = items.select("item_id", "item_copies", simhash("hashes").alias("item_fp"))
+    return best.select("doc_id", "item_id", "m", simhash("m.hashes").alias("fp")).join(prints, "item_id").select(
+        "doc_id", "item_id", "item_copies", (-F.col("m.before")).cast("long").alias("start_word"), (-F.col("m.less")).alias("n_words"),
+        "m.similarity", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"),
+    )
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
+    found = passages(docs, benchmark).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
