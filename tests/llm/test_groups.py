@@ -217,3 +217,25 @@ def test_passages_of_any_length_equal_brute_force(spark):
     kept = {r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()}
     assert kept - {None} == {i for i, _ in texts} - {i for i, _ in expected} | {500, 501}
     assert {r.item_copies for r in found.values()} == {1}
+
+
+def slow_window_print(words):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) & ~255 | len(w) for w in words]
+    hashes = [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) for h in hashes]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_far_prints_are_no_reason_to_miss_a_passage(spark):
+    rng, items, texts = random.Random(8), [], []
+    while len(items) < 5:
+        target = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(15, 40))]
+        passage = target[: len(target) - len(target) // 7]
+        far = (slow_window_print(passage) ^ slow_window_print(target)).bit_count() > 11
+        if far and slow_similarity(passage, target) >= 0.8:
+            items.append((len(items), " ".join(target)))
+            texts.append((len(texts), " ".join(["before", *passage, "behind"])))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), docs_frame(spark, texts)
+    found = decontaminate.passages(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word) for r in found) == [(i, i, 1) for i in range(5)]
+    assert all(r.hamming > 11 for r in found)
+    assert decontaminate.contaminated(docs, bench).count() < 5 and decontaminate.remove_contaminated(docs, bench).collect() == []
