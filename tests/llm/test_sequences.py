@@ -158,3 +158,16 @@ def test_mined_rules_equal_counting(spark):
         assert r.confidence == pytest.approx(sum(hits) / len(hits)) and r.confidence >= 0.6
         assert r.support == pytest.approx(sum(hits) / len(known)) and r.support >= 0.004
     assert url_rules.judge(pages.where("false"), marked).collect() == []
+
+
+def test_last_key_of_a_long_url_decides(spark):
+    long = "https://x.test/" + "/".join("abcdefghijkl") + "/page.php?" + "&".join(f"k{c}=1" for c in "abcdefghijkl")
+    urls = [(i, long + ("&last=1&final=2" if i % 2 else "&other=1")) for i in range(80)] + [(100, "https://y.test/z?final=1"), (101, long)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    tokens = url_rules.with_host_path(pages.where("page_id = 1")).select(url_rules.url_tokens().alias("t")).first().t
+    assert len(tokens) >= 30 and tokens.index("key=last") > 20
+    rows = {r.page_id: r for r in url_rules.judge(pages, labels).collect()}
+    assert {r.verdict for i, r in rows.items() if i < 80 and i % 2} == {"block"} and rows[1].mined_rule == "key=last"
+    assert rows[100].mined_rule == "key=final" and rows[100].confidence == 1.0
+    assert {r.verdict for i, r in rows.items() if i == 101 or i < 80 and i % 2 == 0} == {"allow"}

@@ -9,6 +9,8 @@ import pyspark.sql.functions as F
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 
+from veriframe.session import cut_lineage
+
 #: (host, path, verdict)
 HAND_RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -62,19 +64,30 @@ def url_tokens() -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.004, min_confidence: float = 0.6, min_lift: float = 1.5, width: int = 20
+    labelled: DataFrame, min_support: float = 0.004, min_confidence: float = 0.6, min_lift: float = 1.5
 ) -> DataFrame:
     """(tokens, bad) rows to pruned rules (antecedent, confidence, support) whose consequence is BAD.
 
-    The fit takes the first ``width`` tokens of a URL, which bounds the item sets of one transaction; matching uses
-    all. A rule goes when one with a part of its antecedent is at least as sure.
+    The fit takes all tokens of a URL that can stand in a rule: those that reach ``min_support`` together with BAD.
+    The others can't, since a rule is as rare as its rarest token. No token is lost by its place in the URL.
+    Tokens of exactly the same rows are mined as one, so a long URL does not make all combinations of its tokens, and
+    every kept rule is written out for each of them. A rule goes when one with a part of its antecedent is at least as
+    sure, so no rule holds two such tokens.
     """
     spark = labelled.sparkSession
     schema = "antecedent array<string>, confidence double, support double"
     if labelled.where("bad").isEmpty():
         return spark.createDataFrame([], schema)
     mark = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("array()").cast("array<string>"))
-    baskets = labelled.select(F.concat(F.slice("tokens", 1, width), mark).alias("items"))
+    labelled = cut_lineage(labelled.withColumn("row", F.monotonically_increasing_id()))
+    tokens = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "bad", "row").groupBy("token").agg(
+        F.count_if("bad").alias("n_bad"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"),
+    ).where(F.col("n_bad") >= min_support * labelled.count())
+    classes = tokens.groupBy("n", "x", "y").agg(F.min("token").alias("name"), F.collect_set("token").alias("members"))
+    known = cut_lineage(classes.agg(F.map_from_entries(F.collect_list(F.struct("name", "members"))).alias("known")))
+    kept = F.array_intersect("tokens", F.map_keys("known"))
+    baskets = labelled.crossJoin(F.broadcast(known)).select(F.concat(kept, mark).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift)
@@ -85,7 +98,14 @@ def mine_rules(
     needless = by_token.join(shorter, "token").where(
         (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence"))
     ).select("antecedent").distinct()
-    return rules.join(needless, "antecedent", "left_anti")
+    names = rules.join(needless, "antecedent", "left_anti").crossJoin(F.broadcast(known))
+    written = F.aggregate(
+        "antecedent", F.expr("array(array())").cast("array<array<string>>"),
+        lambda sets, name: F.flatten(F.transform(
+            sets, lambda s: F.transform(F.element_at("known", name), lambda token: F.array_append(s, token)))),
+    )
+    return names.select(F.explode(written).alias("antecedent"), "confidence", "support").select(
+        F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = HAND_RULES, **mining) -> DataFrame:
