@@ -205,3 +205,18 @@ def test_runs_of_joining_signs_are_read_in_linear_time():
         assert not words.fullmatch(text)
     text = "-" * 200 + "a1b2 key Zq8xKv3LmP9tRw2YbN5cJh7DfG4s"
     assert secret_scan.entropy_spans(text, []) == [(209, 3, len(text))]
+
+
+def test_an_element_around_the_whole_page_does_not_empty_it():
+    body, side = "the words of this page are many and all of them count " * 5, "<form><p>Write your name here</p></form>"
+    text = body.strip()
+    for name in ("form", "form method=post", "dialog open", "object", "canvas", "menu"):
+        close = name.split()[0]
+        for scope in ("article", "main"):
+            page = f"<html><body><{name}><nav>Home Back</nav><{scope}><p>{body}</p>{side}</{scope}></{close}></body></html>"
+            assert main_text.main_text(page, {}) == text, name
+    assert main_text.main_text(f"<body><form action=x><nav>Home Back</nav><p>{body}</p><select><option>one</select></form></body>", {}) == text
+    assert main_text.main_text(f"<body><p>{body}</p>{side}</body>", {}) == text
+    assert main_text.main_text(f"<body><article><p>{body}</p></article><form><p>{body}</p><p>{body}</p></form></body>", {}) == text
+    for hidden in ("dialog", "form hidden", "aside", "nav", "form role=search"):
+        assert main_text.main_text(f"<body><{hidden}><article><p>{body}</p></article></{hidden.split()[0]}></body>", {}) == ""

@@ -31,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content isn't markup, and elements that hold no article text.
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 OUTSIDE = frozenset("head nav footer aside form button select option datalist svg math canvas object audio video map dialog menu".split())
+#: Those of OUTSIDE that may wrap the whole page.
+WRAPPERS = frozenset("form canvas object dialog menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 head header hgroup hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -64,16 +66,21 @@ class Run:
 
 
 def _marked(name: str, attrs: str, scoped: bool) -> str:
-    """"tag" or "mark" if the element holds no article text, by its kind or by a class or id; else empty."""
-    if name in OUTSIDE or (name == "header" and not scoped):
+    """"tag", "wrap" or "mark" if the element holds no article text, by its kind or by a class or id; else empty.
+
+    "wrap" stands for a visible one of WRAPPERS.
+    """
+    if name in OUTSIDE - WRAPPERS or (name == "header" and not scoped):
         return "tag"
     if not attrs or name in ("html", "body", "main"):
-        return ""
+        return "tag" if name == "dialog" else "wrap" if name in WRAPPERS else ""
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     if values.get("role", "").lower() in ROLES or "hidden" in values or values.get("aria-hidden") == "true":
         return "tag"
     if "display:none" in values.get("style", "").replace(" ", "").lower():
         return "tag"
+    if name in WRAPPERS:
+        return "tag" if name == "dialog" and "open" not in values else "wrap"
     words = {w.lower() for w in WORDS.findall(values.get("class", "") + " " + values.get("id", ""))}
     if words & MARKS or (words & WEAK_MARKS and not words & CONTENT_MARKS and not scoped):
         return "mark"
@@ -83,22 +90,28 @@ def _marked(name: str, attrs: str, scoped: bool) -> str:
 def parse(page: str, learning: bool = False) -> tuple[list[Run], bool]:
     """Runs of text in page order, and whether the page names its article. One pass; unclosed tags are borne.
 
-    Text of marked elements is left out. A mark on a class or id doesn't hold for an element around an article.
+    Text of marked elements is left out. A mark on a class or id doesn't hold for an element around an article, and
+    neither does the kind of a visible wrapper; in a page without an article, it doesn't hold for a form with over half
+    of the plain words.
     ``learning`` keeps text of elements that their tag marks and takes marks on a class or id as before.
     """
     around: set[int] = set()  # where marked elements begin that turn out to hold the article
     while True:
-        runs, has_scope, wrong = _pass(page, learning, around)
+        runs, has_scope, wrong, forms = _pass(page, learning, around)
+        if not wrong and not has_scope and forms:
+            outside = sum(run.plain for run in runs)
+            wrong = {begin for begin, n in forms.items() if n > outside + sum(forms.values()) - n}
         if not wrong:
             return runs, has_scope
         around |= wrong
 
 
-def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool, set[int]]:
+def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool, set[int], Counter[int]]:
     stack: list[tuple[str, int]] = []  # name, where a left-out element begins or -1
     depth: Counter[str] = Counter()
     out: list[tuple[str, int, str]] = []  # left-out elements open now
     runs, run, at, has_scope, wrong = [], Run("body", False), 0, False, set()
+    forms: Counter[int] = Counter()  # plain words of left-out forms by where they begin
 
     def pop() -> None:
         name, begin = stack.pop()
@@ -118,7 +131,7 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
     while at < size:
         m = find(page, at)
         text = page[at : m.start() if m else size]
-        if text and (not out or (learning and all(kind == "tag" for *_, kind in out))):
+        if text and (not out or (learning and all(kind != "mark" for *_, kind in out))):
             text = html.unescape(text) if "&" in text else text
             n = len(text.split())
             if depth["a"] > 0:
@@ -126,6 +139,8 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
             else:
                 run.plain += n
             run.parts.append(text)
+        elif text and depth["a"] == 0 and all(n == "form" and kind == "wrap" for n, _, kind in out):
+            forms[out[0][1]] += len(text.split())
         if not m:
             break
         at = m.end()
@@ -169,7 +184,7 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
         scoped = depth["article"] + depth["main"] > 0
         kind = "" if m.start() in around else _marked(name, attrs, scoped)
         if name in SCOPE and not kind:
-            wrong |= {begin for _, begin, k in out if k == "mark"}
+            wrong |= {begin for _, begin, k in out if k != "tag"}
             has_scope = has_scope or not any(k == "tag" for *_, k in out)
         if kind:
             if not out:
@@ -182,7 +197,7 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
         if name in BLOCK:
             border()
     border()
-    return runs, has_scope, wrong
+    return runs, has_scope, wrong, forms
 
 
 Weights = dict[tuple[str, str], float]
