@@ -220,3 +220,13 @@ def test_an_element_around_the_whole_page_does_not_empty_it():
     assert main_text.main_text(f"<body><article><p>{body}</p></article><form><p>{body}</p><p>{body}</p></form></body>", {}) == text
     for hidden in ("dialog", "form hidden", "aside", "nav", "form role=search"):
         assert main_text.main_text(f"<body><{hidden}><article><p>{body}</p></article></{hidden.split()[0]}></body>", {}) == ""
+
+
+def test_a_marked_example_hides_only_its_own_part():
+    secret = "Zq8xKv3LmP9tRw2YbN5cJh7DfG4sXa6QeU1iTo0B"
+    text = "/data/sample/key=" + secret
+    ((begin, _, end),) = secret_scan.entropy_spans(text, [])
+    assert begin <= text.index(secret) and end == len(text) and begin >= len("/data/sample")
+    for plain in ("EXAMPLE" + secret, secret + "dummy", "some/sample/words_in_a_row", "sample-" + secret[:18]):
+        assert secret_scan.entropy_spans(plain, []) == []
+    assert secret_scan.entropy_spans(secret + "/dummy", []) == [(0, 3, len(secret) + 1)]

@@ -27,13 +27,14 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 _HEX, _ALNUM = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9A-Za-z]+")
 
-#: Strings that look random and are not secret: UUIDs, runs of words joined by signs, and marked examples.
+#: Strings that look random and are not secret: UUIDs and runs of words joined by signs.
 ALLOWED = (
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I),
     # Parts are not empty and signs are not given back, so a run of signs has one reading and the match is linear.
     re.compile(r"[+/_=-]*+(?:(?:[A-Za-z][a-z]*+|[A-Z]++|[0-9]{1,8}+)(?:[+/_=-]++|\Z))*+"),
-    re.compile(r".*(?:example|sample|placeholder|changeme|dummy).*", re.I),
 )
+#: Marked examples: a part between signs that holds such a word is left out, what stands before and after is not.
+EXAMPLE, PART = re.compile(r"example|sample|placeholder|changeme|dummy", re.I), re.compile(r"[^+/_=-]+")
 
 _GAIN = [0.0, *(n * log2(n) for n in range(1, WINDOW + 1))]
 
@@ -79,16 +80,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans + [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)])
 
 
+def unmarked(text: str) -> list[tuple[int, str]]:
+    """(start, string) of what lies between the marked examples of a candidate, if it has the length of a window."""
+    if not EXAMPLE.search(text):
+        return [(0, text)]
+    found, at = [], 0
+    for begin, end in [*(m.span() for m in PART.finditer(text) if EXAMPLE.search(m[0])), (len(text), len(text))]:
+        if begin - at >= WINDOW:
+            found.append((at, text[at:begin]))
+        at = end
+    return found
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the method adds: not inside a base span, not allowed."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if any(rule.fullmatch(m[0]) for rule in ALLOWED):
-            continue
-        for a, b in entropy_ranges(m[0]):
-            a, b = a + m.start(), b + m.start()
-            if not any(start <= a and b <= end for start, _, end in base):
-                found.append((a, 3, b))
+        for at, string in unmarked(m[0]):
+            if any(rule.fullmatch(string) for rule in ALLOWED):
+                continue
+            for a, b in entropy_ranges(string):
+                a, b = a + at + m.start(), b + at + m.start()
+                if not any(start <= a and b <= end for start, _, end in base):
+                    found.append((a, 3, b))
     return found
 
 
