@@ -83,13 +83,13 @@ def collection_columns(pieces: list[bytes], marks: np.ndarray) -> Iterator[tuple
                 grown[1:] = np.where(symbols[1:] == symbols[:-1], _between(prefixes, moved) + 1, 0)
             order, prefixes = order[moved], grown
             column = np.frombuffer(file.read(len(pieces)), np.uint8)
-            preceding = np.where(first[order] < c, column[order], -1) if len(column) else np.full(len(order), -1)
+            preceding = np.where(first[order] < c, column[order].astype(np.int16), -1) if len(column) else np.full(len(order), -1)
             yield c, order, preceding, prefixes
             if c in leaving:
                 stay = np.flatnonzero(first[order] < c)
                 if len(stay):  # a common prefix now spans those that left
                     starts = np.concatenate([[0], stay[:-1] + 1])
-                    prefixes = np.minimum.reduceat(prefixes, starts)
+                    prefixes = np.minimum.reduceat(prefixes[: stay[-1] + 1], starts)
                     prefixes = np.where(np.arange(len(stay)) == 0, 0, prefixes).astype(np.int32)
                 else:
                     prefixes = prefixes[:0]
