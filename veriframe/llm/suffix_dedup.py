@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from veriframe.llm.shared import limit_arrow_batches
-from veriframe.session import cut_lineage, scratch_path
+from veriframe.llm.shared import limit_arrow_batches, written
+from veriframe.session import cut_lineage
 
 SIZE = 400
 ANCHOR = 32
@@ -246,9 +246,11 @@ def _compared(pieces: DataFrame, size: int) -> DataFrame:
 
 def _repeats(bodies: DataFrame, size: int, level: int = 0) -> DataFrame:
     """(owner, from, to): starts of strings of ``size`` bytes of a body (owner, mark, key, body) that start elsewhere too."""
-    places = cut_lineage(_places(bodies, size, level))
+    places = written(_places(bodies, size, level), "places")
     again = places.where("key IS NULL OR copies > 1").select("owner", F.col("at").alias("from"), (F.col("at") + F.col("strings")).alias("to"))
-    keyed = places.where("key IS NOT NULL")
+    # Most anchors are there once: they are dropped before pieces are gathered.
+    often = places.where("key IS NOT NULL").groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
+    keyed = written(places.where("key IS NOT NULL").join(often, "key"), "shared-places")
     home = F.min(F.struct("owner", "at", "strings", "mark")).alias("home")
     kinds = cut_lineage(keyed.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), home))
     shared = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -258,7 +260,7 @@ def _repeats(bodies: DataFrame, size: int, level: int = 0) -> DataFrame:
     pieces = bodies.select("owner", "body").join(parts, "owner").select("body", F.explode("parts").alias("part")).select(
         "part.key", "part.piece", "part.kinds", "part.mark", inside.alias("body")
     )
-    pieces = cut_lineage(pieces)
+    pieces = written(pieces, "pieces")
     whole = kinds.where("copies > 1").select("piece", F.lit(0).cast("long").alias("from"), F.col("home.strings").alias("to"))
     if level == len(BLOCKS):
         found = _compared(pieces, size)
@@ -283,10 +285,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     spark = docs.sparkSession
     limit_arrow_batches(spark)
-    place = scratch_path(spark, "texts")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.write.option("compression", "zstd").parquet(place)
-    rows = spark.read.parquet(place)
+    rows = written(rows, "texts")
     null = F.lit(None).cast("long")
     bodies = rows.where(F.octet_length("text") >= size).select(
         F.col("row").alias("owner"), null.alias("mark"), null.alias("key"), F.col("text").cast("binary").alias("body")
