@@ -1,11 +1,12 @@
 """Streams replayed from several files end in the state the batch twins compute."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veriframe.plans.adapters import adapter
 from veriframe.plans.scoring_queries import AS_OF_YEAR, inputs, scored
 from veriframe.sources.providers import fresh_profiles, image_fingerprint, read_profiles, write_profiles
-from veriframe.streaming import requests, scoring_stream
+from veriframe.streaming import requests, scoring_stream, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,16 +21,113 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_profile_state_replay(spark, tmp_path):
+def in_order(spark, df, path, cuts):
+    """One file per stretch of time, written one after the other."""
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df.where(F.lit(True) if low is None else F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
+        part = part.where(F.lit(True) if high is None else F.col("ts") < F.lit(high).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+CUTS = ["2024-01-08 11:00:00", "2024-01-21 00:30:00"]
+
+
+def test_request_state_replay(spark, tmp_path):
     events = adapter(spark, SF, "stream_events")
-    stream = replay(spark, events, tmp_path / "events")
-    path = requests.run_to_table(requests.profile_state_stream(stream), spark, "s", "update", path=str(tmp_path / "out"))
-    live = requests.latest_update(spark.read.parquet(path), "request_id")
     batch = requests.profile_state(events)
-    # File order is not time order inside a request only if a request spans files: compare requests of one file.
-    whole = events.groupBy("request_id").agg((F.max("ts") - F.min("ts")).alias("d"))
-    assert whole.count() == live.count()
-    assert rows(live.select(*batch.columns)) == rows(batch)
+    for name, stream in (("ordered", in_order(spark, events, tmp_path / "a", CUTS)), ("mixed", replay(spark, events.orderBy("amount"), tmp_path / "b"))):
+        with stateful.state_store(spark):
+            path = requests.run_to_table(stateful.request_state(stream, 90 * 86_400, "60 days"), spark, "s", "update", path=str(tmp_path / name))
+        live = requests.latest_update(spark.read.parquet(path), "request_id")
+        assert rows(live.select(*batch.columns)) == rows(batch)
+    assert spark.conf.get(stateful.STORE, None) != stateful.ROCKSDB
+
+
+def test_call_limit_replay(spark, tmp_path):
+    calls = adapter(spark, SF, "stream_events").select("event_id", "ts", F.lit(7).cast("long").alias("client"))
+    stream = in_order(spark, calls, tmp_path / "calls", CUTS)
+    with stateful.state_store(spark):
+        path = requests.run_to_table(stateful.call_limit(stream, 3, 3 * 3600), spark, "l", path=str(tmp_path / "out"))
+    got = rows(spark.read.parquet(path).select("event_id", "in_window", "allowed"))
+    wanted = requests.sliding_limit(calls, 3, 3 * 3600).select("event_id", F.least("in_window", F.lit(4)), "allowed")
+    assert got == rows(wanted) and {r[2] for r in got} == {True, False}
+
+
+class Held:
+    """A value state without Spark."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, *_):
+        return Held()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+def test_state_of_a_busy_client_is_as_large_as_the_limit():
+    limit = stateful.CallLimit(5, 10_000_000)
+    limit.init(Handle())
+    times = pd.date_range("2024-01-01", periods=2000, freq="10ms")
+    for at in range(0, 2000, 500):
+        frame = pd.DataFrame({"ts": times[at : at + 500], "event_id": range(at, at + 500)})
+        out = pd.concat(limit.handleInputRows((1,), iter([frame[250:], frame[:250]]), None))
+        assert len(limit.recent.get()[0]) == 5 and len(limit.handle.timers) == 1
+        assert out["event_id"].tolist() == frame["event_id"].tolist() and out["allowed"].sum() == (5 if not at else 0)
+    list(limit.handleExpiredTimer((1,), None, None))
+    assert not limit.recent.exists()
+
+
+def test_deadlines_replay(spark, tmp_path):
+    events = adapter(spark, SF, "stream_events").withColumn("request_id", F.substring("request_id", 1, 2))
+    hours = 26 * 24  # requests last a month here: the deadline falls into the last file
+    stream = in_order(spark, events, tmp_path / "events", CUTS)
+    with stateful.state_store(spark):
+        path = requests.run_to_table(stateful.deadline_outcomes(stream, hours * 3600), spark, "d", path=str(tmp_path / "out"), side=["outcome"])
+    out = spark.read.parquet(path)
+    late = requests.late_data(events, hours * 3600).select("event_id", "outcome")
+    assert rows(out.where("source IS NULL").select("event_id", "outcome")) == rows(late)
+    assert late.select("outcome").distinct().count() == 2
+    pruned = spark.read.parquet(path).where("outcome = 'verification_timeout'")
+    assert "PartitionFilters: [isnotnull(outcome" in pruned._jdf.queryExecution().executedPlan().toString()
+    sources = out.where("source IS NOT NULL").groupBy("request_id", "source").agg(F.max_by("outcome", "batch_id").alias("outcome"))
+    wanted = stateful.source_lateness(events, hours * 3600)
+    assert rows(sources) == rows(wanted) and "partial" in {r.outcome for r in wanted.collect()}
+
+
+def test_sessions_replay(spark, tmp_path):
+    events = adapter(spark, SF, "stream_events").select("ts", "type", F.lit(1).alias("client"))
+    timed = lambda df: df.withColumn("event_time", F.col("ts").cast("timestamp"))
+    stream = timed(in_order(spark, events, tmp_path / "events", CUTS)).withWatermark("event_time", "10 minutes")
+    path = requests.run_to_table(stateful.session_timings(stream, "40 minutes"), spark, "x", path=str(tmp_path / "out"))
+    batch = stateful.session_timings(timed(events), "40 minutes")
+    last = events.agg(F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 10 MINUTES")).first()[0]
+    assert rows(spark.read.parquet(path).select(*batch.columns)) == rows(batch.where(F.col("over_at") <= F.lit(last)))
 
 
 def test_dedup_stream(spark, tmp_path):

@@ -9,7 +9,7 @@ from veriframe.plans.adapters import ADAPTERS, adapter, ctes
 from veriframe.plans.registry import query
 from veriframe.plans.scoring_queries import AS_OF_YEAR, SCORED_CTES, inputs
 from veriframe.sources.tables import TABLE_SCHEMAS, read_table
-from veriframe.streaming import requests, scoring_stream
+from veriframe.streaming import requests, scoring_stream, stateful
 
 STATE_SQL = ctes("stream_events") + """
 , base AS (
@@ -46,7 +46,8 @@ def stream_state(spark, sf_dir):
 
 @query("stream_state_live", STATE_SQL)
 def stream_state_live(spark, sf_dir):
-    path = requests.run_to_table(requests.profile_state_stream(live_events(spark, sf_dir)), spark, "state", "update")
+    with stateful.state_store(spark):
+        path = requests.run_to_table(stateful.request_state(live_events(spark, sf_dir)), spark, "state", "update")
     return requests.latest_update(spark.read.parquet(path), "request_id")
 
 
@@ -76,6 +77,17 @@ def rate_sliding(spark, sf_dir):
     return requests.sliding_limit(calls(spark, sf_dir), 3, 3600).select("event_id", "client", "in_window", "allowed")
 
 
+@query("rate_sliding_live", f"""
+WITH c AS ({CALLS}),
+w AS (SELECT event_id, client, count(*) OVER (PARTITION BY client ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM c)
+SELECT event_id, client, least(in_window, 4) AS in_window, in_window <= 3 AS allowed FROM w""")
+def rate_sliding_live(spark, sf_dir):
+    calls_in = live(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 6).alias("client"))
+    with stateful.state_store(spark):
+        path = requests.run_to_table(stateful.call_limit(calls_in, 3, 3600), spark, "limits")
+    return spark.read.parquet(path).select("event_id", "client", "in_window", "allowed")
+
+
 @query("rate_daily", f"""
 WITH c AS ({CALLS}),
 w AS (SELECT *, count(*) OVER (PARTITION BY client ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM c),
@@ -86,13 +98,46 @@ def rate_daily(spark, sf_dir):
     return requests.tumbling_budget(passed, 200).select("event_id", "day", "place", "within_budget")
 
 
-@query("late_reject", ctes("stream_events") + """
+LATE_SQL = ctes("stream_events") + """
+, s AS (SELECT request_id, min(ts) + INTERVAL 4 HOUR AS deadline FROM stream_events GROUP BY ALL)
+SELECT event_id, CASE WHEN ts > deadline THEN 'verification_timeout' ELSE 'on_time' END AS outcome FROM stream_events JOIN s USING (request_id) WHERE type = 'photos'"""
+
+SOURCES_SQL = ctes("stream_events") + """
 , s AS (SELECT request_id, min(ts) + INTERVAL 4 HOUR AS deadline FROM stream_events GROUP BY ALL)
-SELECT event_id, CASE WHEN ts > deadline THEN 'verification_timeout' ELSE 'on_time' END AS outcome FROM stream_events JOIN s USING (request_id) WHERE type = 'photos'""")
+SELECT request_id, item_no % 4 AS source, CASE WHEN bool_and(ts > deadline) THEN 'timeout' WHEN bool_or(ts > deadline) THEN 'partial' ELSE 'ok' END AS outcome
+FROM stream_events JOIN s USING (request_id) WHERE type = 'source' GROUP BY ALL"""
+
+
+@query("late_reject", LATE_SQL)
 def late_reject(spark, sf_dir):
     return requests.late_data(adapter(spark, sf_dir, "stream_events"), 4 * 3600).select("event_id", "outcome")
 
 
+@query("late_sources", SOURCES_SQL)
+def late_sources(spark, sf_dir):
+    return stateful.source_lateness(adapter(spark, sf_dir, "stream_events"), 4 * 3600)
+
+
+def deadlines_live(spark, sf_dir):
+    """Table of outcomes with a folder per outcome: late items are a side output."""
+    with stateful.state_store(spark):
+        path = requests.run_to_table(stateful.deadline_outcomes(live_events(spark, sf_dir), 4 * 3600), spark, "deadlines", side=["outcome"])
+    return spark.read.parquet(path)
+
+
+@query("late_reject_live", LATE_SQL)
+def late_reject_live(spark, sf_dir):
+    return deadlines_live(spark, sf_dir).where("source IS NULL").select("event_id", "outcome")
+
+
+@query("late_sources_live", SOURCES_SQL + """
+HAVING max(deadline) < (SELECT max(ts) - INTERVAL 1 MINUTE FROM stream_events)""")
+def late_sources_live(spark, sf_dir):
+    """Sources of the requests that the stream has closed: those whose deadline the watermark has passed."""
+    reported = deadlines_live(spark, sf_dir).where("source IS NOT NULL").drop("event_id", "batch_id_part")
+    return reported.groupBy("request_id", "source").agg(F.max_by("outcome", "batch_id").alias("outcome"))
+
+
 @query("stage_timings", ctes("stream_events") + """
 SELECT request_id, CAST(floor(date_diff('microsecond', min(ts), min(ts) FILTER (type = 'resolved')) / 1000) AS BIGINT) AS resolved_ms,
   CAST(floor(date_diff('microsecond', min(ts), min(ts) FILTER (type = 'photos')) / 1000) AS BIGINT) AS photos_ms,
@@ -102,6 +147,39 @@ def stage_timings(spark, sf_dir):
     return requests.stage_timings(adapter(spark, sf_dir, "stream_events"))
 
 
+SESSIONS_SQL = ctes("stream_events") + """
+, e AS (SELECT *, ascii(request_id[2]) % 7 AS client FROM stream_events),
+g AS (SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY client ORDER BY ts) > INTERVAL 30 MINUTE, true) AS INTEGER) AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY client ORDER BY ts) AS s FROM g),
+t AS (SELECT client, min(ts) AS started, max(ts) AS last, count(*) AS events,
+    CAST(floor(date_diff('microsecond', min(ts), min(ts) FILTER (type = 'resolved')) / 1000) AS BIGINT) AS resolved_ms,
+    CAST(floor(date_diff('microsecond', min(ts), min(ts) FILTER (type = 'photos')) / 1000) AS BIGINT) AS photos_ms,
+    CAST(floor(date_diff('microsecond', min(ts), min(ts) FILTER (type = 'done')) / 1000) AS BIGINT) AS done_ms
+  FROM n GROUP BY client, s)
+SELECT client, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, events, resolved_ms, photos_ms, done_ms FROM t"""
+_CLIENT = "CAST(ascii(substring(request_id, 2, 1)) % 7 AS INT)"
+
+
+def _sessions(rows):
+    return rows.select("client", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", "resolved_ms", "photos_ms", "done_ms")
+
+
+@query("session_timings", SESSIONS_SQL)
+def session_timings(spark, sf_dir):
+    """The log without its request ids, by client."""
+    events = adapter(spark, sf_dir, "stream_events").select(F.expr(_CLIENT).alias("client"), "type", F.col("ts").cast("timestamp").alias("event_time"))
+    return _sessions(stateful.session_timings(events, "30 minutes"))
+
+
+@query("session_timings_live", SESSIONS_SQL + " WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM stream_events)")
+def session_timings_live(spark, sf_dir):
+    """The sessions that are over: those that end before the stream's watermark."""
+    events = live_events(spark, sf_dir).select(F.expr(_CLIENT).alias("client"), "type", F.col("ts").cast("timestamp").alias("event_time"))
+    sessions = stateful.session_timings(events.withWatermark("event_time", "10 minutes"), "30 minutes")
+    path = requests.run_to_table(sessions, spark, "sessions")
+    return _sessions(spark.read.parquet(path))
+
+
 @query("autohold", """
 WITH r AS (SELECT event_id * 13 % 700 AS review_id, ts, event_id FROM events WHERE event_type = 'error')
 SELECT review_id, count(*) AS reports, CAST(list(ts ORDER BY ts, event_id)[3] AS VARCHAR) AS held_at FROM r GROUP BY review_id""")
@@ -130,13 +208,16 @@ def incremental_scoring(spark, sf_dir):
 
 
 @query("resolve_ttl", """
-WITH l AS (SELECT 'name ' || (user_id % 60) AS norm, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'not_found' ELSE 'resolved' END AS status FROM events WHERE user_id % 2 = 0 OR ts < TIMESTAMP '2024-01-12 00:00:00'),
+WITH l AS (SELECT 'name ' || (user_id % 60) AS norm, CASE WHEN user_id % 2 = 0 THEN ts ELSE ts - INTERVAL 12 DAY END AS ts, event_id,
+    CASE WHEN event_id % 3 = 0 THEN 'not_found' ELSE 'resolved' END AS status FROM events),
 n AS (SELECT 'resolve:v6:' || norm AS cache_key, arg_max(status, (ts, event_id)) AS status, max(ts) AS saved_at FROM l WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL)
 SELECT cache_key, status, CAST(saved_at AS VARCHAR) AS saved_at FROM n
 WHERE saved_at > TIMESTAMP '2024-01-20 00:00:00' - CASE WHEN status = 'not_found' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END""")
 def resolve_ttl(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "events").filter("user_id % 2 = 0 or ts < timestamp_ntz'2024-01-12 00:00:00'").select(
-        normalize_name(F.concat(F.lit("NAME  "), F.col("user_id") % 60, F.lit("!"))).alias("norm"), "ts", "event_id",
+    """All lookups; those of odd users happened twelve days earlier, so that some entries have run out."""
+    rows = read_table(spark, sf_dir, "events").select(
+        normalize_name(F.concat(F.lit("NAME  "), F.col("user_id") % 60, F.lit("!"))).alias("norm"),
+        F.when(F.col("user_id") % 2 == 0, F.col("ts")).otherwise(F.col("ts") - F.expr("INTERVAL 12 DAYS")).alias("ts"), "event_id",
         F.when(F.col("event_id") % 3 == 0, "not_found").otherwise("resolved").alias("status"))
     live_rows = requests.resolve_cache(rows, F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
     return live_rows.select("cache_key", "status", F.col("saved_at").cast("string").alias("saved_at"))

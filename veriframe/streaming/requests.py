@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veriframe import config
 from veriframe.operators.ranking import positions, top_k
@@ -128,73 +122,29 @@ def resolve_cache(lookups: DataFrame, as_of: Column) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------
 
 
-STATE_SCHEMA = "body string"
-OUTPUT_SCHEMA = "request_id string, status string, finished_ms bigint, photos bigint, sources bigint, sources_ok bigint, stages_done bigint"
-
-
-def _advance(state: dict[str, Any], row: Any) -> None:
-    """Apply one event, in order, to the state of its request."""
-    us = row.ts.value // 1000
-    state["start"] = min(state["start"], us) if state["start"] is not None else us
-    if row.type == "photos":
-        state["photos"][str(row.item_no)] = 1
-    elif row.type == "source":
-        state["sources"][str(row.item_no % SOURCES)] = int(row.amount % 3)
-    elif row.type == "stage":
-        state["stages"][str(row.item_no % STAGES)] = int(row.amount % 2)
-    if row.type == "done":
-        state["stages"] = {str(i): 1 for i in range(STAGES)}
-    if row.type in config.TERMINAL_EVENT_TYPES:
-        state["status"], state["end"] = row.type, us
-
-
-def _step(key: tuple[str], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    state = json.loads(held.get[0]) if held.exists else {
-        "start": None, "end": None, "status": "streaming", "photos": {}, "sources": {}, "stages": {}}
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for row in rows.itertuples(index=False):
-        _advance(state, row)
-    held.update((json.dumps(state),))
-    ended = None if state["end"] is None else (state["end"] - state["start"]) // 1000
-    yield pd.DataFrame({
-        "request_id": [key[0]], "status": [state["status"]], "finished_ms": pd.array([ended], dtype="Int64"),
-        "photos": [len(state["photos"])], "sources": [len(state["sources"])],
-        "sources_ok": [sum(v == 0 for v in state["sources"].values())], "stages_done": [sum(state["stages"].values())]})
-
-
-def profile_state_stream(events: DataFrame) -> DataFrame:
-    """The same state, kept per request across micro-batches (a request is small; the log is not)."""
-    return events.groupBy("request_id").applyInPandasWithState(
-        _step, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
 def dedup_photos_stream(events: DataFrame, delay: str) -> DataFrame:
     """Each photo of a request once, as long as a re-sent copy comes within ``delay``."""
     timed = events.filter("type = 'photos'").withColumn("event_time", F.col("ts").cast("timestamp"))
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["request_id", "item_no"])
 
 
-def windowed_calls_stream(calls: DataFrame, window: str = "10 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Calls per client in sliding windows, for monitoring the limits."""
-    timed = calls.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    return timed.groupBy("client", F.window("event_time", window, slide)).agg(F.count(F.lit(1)).alias("calls"))
-
-
 def report_count_stream(reports: DataFrame) -> DataFrame:
     return reports.groupBy("review_id").agg(F.count(F.lit(1)).alias("reports")).withColumn(
         "held", F.col("reports") >= config.REPORT_THRESHOLD)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append",
-                 checkpoint: str | None = None, path: str | None = None) -> str:
+                 checkpoint: str | None = None, path: str | None = None, side: list[str] | None = None) -> str:
     """Drain a stream into a parquet table below the shared folder and return its path.
 
     Every micro-batch overwrites its own folder, so a batch that is replayed after a lost executor does not count twice.
+    ``side`` names columns whose values get tables of their own below each folder: side outputs that readers prune to.
     """
     path = path or scratch_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id_part={batch_id}")
+        writer = batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy(*(side or []))
+        writer.parquet(f"{path}/batch_id_part={batch_id}")
 
     run = (stream.writeStream.outputMode(mode).foreachBatch(write)
            .option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start())
