@@ -1,27 +1,23 @@
-"""Name queries to entities: terms, blocking, match quality, ranking, decision, suggestions.
+"""Name queries to entities: terms, blocking, match quality, ranking, decision.
 
-All comparisons happen between *distinct* texts. A name shared by a third of all entities, or a query typed
-a billion times, is compared once; ids are attached afterwards and cut per name before they multiply.
+Retrieval works on *distinct* words and texts: a query typed a billion times is looked up once, and names are compared
+inside its pool only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veriframe import config
 from veriframe.functions.text import fold_text, let, normalize_name, query_variants
 from veriframe.operators.ranking import top_k
+from veriframe.operators.retrieval import search
 from veriframe.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
 ACRONYM_STOPS = ["имени", "им", "атындагы", "of", "the", "named", "after"]
 SYLLABLE_HEADS = ["каз", "kaz"]
-FILLER_LIKE = ["university", "университет"]
 TERM_QUALITY = {"label": 1.0, "alias": 0.95, "generated": 0.9}
 
 
@@ -102,75 +98,22 @@ def same_word(word: Column, name_word: Column) -> Column:
 
 def words_covered(variant: Column, name: Column) -> Column:
     words, names = F.split(variant, " "), F.split(name, " ")
-    return F.forall(words, lambda w: (F.length(w) >= 2) & F.exists(names, lambda n: same_word(w, n))) & found_by(words, names)
-
-
-def found_by(words: Column, names: Column) -> Column:
-    """The retrieval gate: a word of the query is a whole word of the name or long enough to stand for its beginning."""
-    return F.exists(words, lambda w: (F.length(w) >= config.MIN_PREFIX_WORD) | F.array_contains(names, w))
-
-
-def _word_prefixes(text: Column) -> Column:
-    """Proper prefixes of whole words: "a b c" -> ["a", "a b"]."""
-    words = F.split(text, " ")
-    return F.when(F.size(words) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " ")
-    )).otherwise(F.array().cast("array<string>"))
-
-
-def word_matches(query_words: DataFrame, name_words: DataFrame) -> DataFrame:
-    """(word, name_word) pairs that count as the same word, found by equal keys over the two vocabularies."""
-    key = lambda tag, text: F.struct(F.lit(tag).alias("tag"), text.alias("text"))
-    n, w = F.col("name_word"), F.col("word")
-    prefixes = lambda c, start: F.when(F.length(c) >= start, F.transform(
-        F.sequence(F.lit(start), F.length(c)), lambda i: F.substring(c, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-    stem = lambda c: F.when(F.length(c) >= config.STEM_PREFIX, F.array(key("stem", F.substring(c, 1, config.STEM_PREFIX))))
-    empty = F.array().cast("array<struct<tag:string,text:string>>")
-    name_keys = F.concat(
-        F.transform(prefixes(n, 2), lambda p: key("starts", p)),
-        F.when(F.length(n) >= config.MIN_EXTENDED_WORD, F.array(key("extends", n))).otherwise(empty),
-        F.coalesce(stem(n), empty),
-    )
-    query_keys = F.concat(
-        F.array(key("starts", w)),
-        F.transform(prefixes(w, config.MIN_EXTENDED_WORD), lambda p: key("extends", p)),
-        F.coalesce(stem(w), empty),
-    )
-    left = query_words.filter(F.length("word") >= 2).select("word", F.explode(query_keys).alias("k"))
-    right = name_words.select("name_word", F.explode(name_keys).alias("k"))
-    return left.join(right, "k").select("word", "name_word").distinct()
-
-
-def covered_pairs(variants: DataFrame, names: DataFrame) -> DataFrame:
-    """(variant, name) pairs where every query word is in the name, found through the rarest query word."""
-    variant_words = variants.select("variant", F.explode(F.array_distinct(F.split("variant", " "))).alias("word"))
-    posting = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("name_word"))
-    matches = word_matches(variant_words.select("word").distinct(), posting.select("name_word").distinct())
-    sizes = posting.groupBy("name_word").agg(F.count(F.lit(1)).alias("df"))
-    cost = matches.join(sizes, "name_word").groupBy("word").agg(F.sum("df").alias("df"))
-    # A word without any match rules the variant out: it then has the lowest cost and no partners.
-    rated = variant_words.join(cost, "word", "left").na.fill(0, ["df"])
-    rarest = rated.groupBy("variant").agg(F.min(F.struct("df", "word")).alias("r")).filter("r.df > 0")
-    return (
-        rarest.select("variant", F.col("r.word").alias("word"))
-        .join(matches, "word").join(posting, "name_word").select("variant", "name").distinct()
-        .filter(words_covered(F.col("variant"), F.col("name")))
-    )
+    return F.forall(words, lambda w: (F.length(w) >= 2) & F.exists(names, lambda n: same_word(w, n)))
+
 
+def match_level(variant: Column, name: Column) -> Column:
+    """3 equal, 2 one starts the other, 1 all query words in the name, 0 a search hit only."""
+    starts = name.startswith(F.concat(variant, F.lit(" "))) | variant.startswith(F.concat(name, F.lit(" ")))
+    return F.when(variant == name, 3).when(starts, 2).when(words_covered(variant, name), 1).otherwise(0)
 
-def text_matches(variants: DataFrame, names: DataFrame) -> DataFrame:
-    """(variant, name, relation) for distinct texts; relation is exact, starts or covers (best one wins).
 
-    Equal-key joins only: the whole text, the word prefixes of either side, and the rarest query word.
+def pool_matches(pool: DataFrame, variants: DataFrame, terms: DataFrame) -> DataFrame:
+    """(norm, qid, variant, name, kind, level) of the names of every query's retrieval pool.
+
+    The pool bounds the work: a dozen entries a query, whatever words the names share.
     """
-    v, n = variants.select("variant").distinct(), names.select("name").distinct()
-    exact = v.join(n, F.col("variant") == F.col("name")).select("variant", "name", F.lit(3).alias("level"))
-    longer_name = n.select("name", F.explode(_word_prefixes(F.col("name"))).alias("variant")).join(v, "variant")
-    longer_query = v.select("variant", F.explode(_word_prefixes(F.col("variant"))).alias("name")).join(n, "name")
-    starts = longer_name.select("variant", "name").unionByName(longer_query.select("variant", "name"))
-    covers = covered_pairs(v, n)
-    levels = exact.unionByName(starts.withColumn("level", F.lit(2))).unionByName(covers.withColumn("level", F.lit(1)))
-    return levels.groupBy("variant", "name").agg(F.max("level").alias("level"))
+    rows = pool.select("norm", "qid").join(terms, "qid").join(variants, "norm")
+    return rows.withColumn("level", match_level(F.col("variant"), F.col("name")))
 
 
 def match_quality(level: Column, kind: Column) -> Column:
@@ -202,27 +145,12 @@ def static_score(index: DataFrame) -> DataFrame:
                         (0.3 * popularity(links) - F.when(stub, 0.1).otherwise(0.0)).alias("base"))
 
 
-def shortlists(terms: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """The k best entities of every (name, kind).
-
-    All entities under one (name, kind) get the same match for a query, so only these can reach its top k.
-    """
-    joined = terms.join(scores, "qid")
-    return top_k(joined, ["name", "kind"], [F.desc("base"), F.col("qid")], k, "_r").drop("_r")
-
-
-def rank_candidates(variants: DataFrame, terms: DataFrame, index: DataFrame, k: int = config.RETRIEVAL_POOL) -> DataFrame:
-    """Top k entities per normalized query with match, score and rank (match at least 0.6)."""
-    matches = text_matches(variants.select("variant"), terms.select("name"))
-    pairs = variants.join(matches, "variant").join(terms.select("name", "kind").distinct(), "name")
-    quality = match_quality(F.col("level"), F.col("kind"))
-    per_name = pairs.select("norm", "name", "kind", quality.alias("match")).groupBy("norm", "name", "kind").agg(
-        F.max("match").alias("match")
-    ).filter(F.col("match") >= config.MIN_MATCH)
-    hits = per_name.join(shortlists(terms, static_score(index), k), ["name", "kind"])
-    best = hits.groupBy("norm", "qid", "stub", "base").agg(F.max("match").alias("match"))
-    scored = best.withColumn("score", 0.7 * F.col("match") + F.col("base"))
-    return top_k(scored, ["norm"], [F.desc("score"), F.col("qid")], k)
+def rank_candidates(pool: DataFrame, variants: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """The entries of each query's pool with match (at least 0.6), score and rank."""
+    rated = pool_matches(pool, variants, terms).withColumn("match", match_quality(F.col("level"), F.col("kind")))
+    best = rated.groupBy("norm", "qid").agg(F.max("match").alias("match")).filter(F.col("match") >= config.MIN_MATCH)
+    scored = best.join(static_score(index), "qid").withColumn("score", 0.7 * F.col("match") + F.col("base"))
+    return top_k(scored, ["norm"], [F.desc("score"), F.col("qid")], config.RETRIEVAL_POOL)
 
 
 def decide(ranked: DataFrame, norms: DataFrame) -> DataFrame:
@@ -258,157 +186,8 @@ def candidate_cards(ranked: DataFrame, index: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(query_id -> norm, ranked candidates per norm, decision per norm)."""
     ids, variants = normalized_queries(queries)
-    # Both are read by several joins below: write them once instead of normalizing for each.
-    ids, variants = cut_lineage(ids), cut_lineage(variants)
-    terms = cut_lineage(normalized_terms(index_terms(index)))
-    ranked = cut_lineage(rank_candidates(variants, terms, index))
+    # All are read by several joins below: write them once instead of normalizing for each.
+    ids, variants, raw = cut_lineage(ids), cut_lineage(variants), cut_lineage(index_terms(index))
+    pool = search(variants, raw, index)
+    ranked = cut_lineage(rank_candidates(pool, variants, normalized_terms(raw), index))
     return ids, ranked, decide(ranked, ids)
-
-
-def search_and_or(variants: DataFrame, names: DataFrame, index: DataFrame, k: int = config.RETRIEVAL_POOL) -> DataFrame:
-    """Retrieval pool: entities whose names hold all words of a variant; any word only where none holds all.
-
-    The score is the share of words found, weighted by popularity; best variant per entity, top k per query.
-    """
-    posting = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    words = variants.select("variant").distinct().select(
-        "variant", F.size(F.array_distinct(F.split("variant", " "))).alias("total"),
-        F.explode(F.array_distinct(F.split("variant", " "))).alias("word"),
-    )
-    found = words.join(posting, "word").groupBy("variant", "total", "name").agg(F.count(F.lit(1)).alias("n"))
-    has_all = found.groupBy("variant").agg(F.max(F.col("n") == F.col("total")).alias("has_all"))
-    kept = found.join(has_all, "variant").filter(~F.col("has_all") | (F.col("n") == F.col("total")))
-    boost = index.select("qid", (1 + 0.25 * F.log10(1 + F.coalesce("sitelinks", F.lit(0)))).alias("boost"))
-    short = top_k(names.join(boost, "qid"), ["name"], [F.desc("boost"), F.col("qid")], k, "_r").drop("_r")
-    per_name = variants.join(kept, "variant").groupBy("norm", "name").agg(F.max(F.col("n") / F.col("total")).alias("share"))
-    hits = per_name.join(short, "name").groupBy("norm", "qid").agg(F.max(F.col("share") * F.col("boost")).alias("score"))
-    return top_k(hits, ["norm"], [F.desc("score"), F.col("qid")], k)
-
-
-# --- fuzzy names ------------------------------------------------------------------------
-
-
-def _osa(a: str, b: str) -> int:
-    """Edit distance with adjacent swaps, each part touched once."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[len(b)]
-
-
-@F.pandas_udf(T.LongType())
-def osa_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Optimal string alignment; only used on pairs a cheaper test let through."""
-    for left, right in batches:
-        yield pd.Series([None if a is None or b is None else _osa(a, b) for a, b in zip(left, right)], dtype="Int64")
-
-
-def similarity(distance: Column, a: Column, b: Column) -> Column:
-    return F.when((a == "") | (b == ""), 0.0).otherwise(1 - distance / F.greatest(F.length(a), F.length(b)))
-
-
-def significant_words(text: Column) -> Column:
-    """Drop misspelled filler words (at most two edits away); keep everything when nothing would remain."""
-    near_filler = lambda w: (F.length(w) >= 5) & F.exists(
-        F.array(*[F.lit(f) for f in FILLER_LIKE]), lambda f: within_two(w, f))
-    return let(F.filter(F.split(text, " "), lambda w: w != ""), lambda words: let(
-        F.filter(words, lambda w: ~near_filler(w)),
-        lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words)))
-
-
-def within_two(word: Column, target: Column) -> Column:
-    """OSA distance at most 2, from plain distances: as it is, after one swap, or after two swaps."""
-    def swaps(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.concat(
-            F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)),
-            F.substring(w, i + 2, F.lit(1000))))
-
-    one = lambda w: F.exists(swaps(w), lambda s: (F.levenshtein(s, target) <= 1) | (
-        (F.levenshtein(s, target) == 2) & F.exists(swaps(s), lambda t: t == target)))
-    close = F.abs(F.length(word) - F.length(target)) <= 2
-    return close & let(F.levenshtein(word, target), lambda d: (d <= 2) | (d.between(3, 4) & one(word)))
-
-
-def _deletes(word: Column) -> Column:
-    """The word with at most two characters removed; two words within two edits share one of these."""
-    drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(
-        F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1000))))
-    once = F.when(F.length(word) > 0, drop(word)).otherwise(F.array().cast("array<string>"))
-    twice = F.flatten(F.transform(once, lambda w: F.when(F.length(w) > 0, drop(w)).otherwise(F.array().cast("array<string>"))))
-    return F.array_distinct(F.concat(F.array(word), once, twice))
-
-
-def fuzzy_word_matches(query_words: DataFrame, name_words: DataFrame) -> DataFrame:
-    """(word, name_word, distance) within two edits, over the vocabularies, through shared deletions."""
-    left = query_words.select("word", F.explode(_deletes(F.col("word"))).alias("k"))
-    right = name_words.select("name_word", F.explode(_deletes(F.col("name_word"))).alias("k"))
-    pairs = left.join(right, "k").select("word", "name_word").distinct()
-    # Read by several joins of the caller; the distances are computed once.
-    return cut_lineage(pairs.withColumn("distance", osa_distance("word", "name_word")).filter("distance <= 2"))
-
-
-def fuzzy_candidates(variants: DataFrame, names: DataFrame) -> DataFrame:
-    """(variant, name) where every long query word is within two edits of a word of the name."""
-    long_words = F.filter(F.array_distinct(significant_words(F.col("variant"))), lambda w: F.length(w) >= 3)
-    asked = variants.select("variant").distinct().select("variant", long_words.alias("words")).filter(F.size("words") > 0)
-    asked_words = asked.select("variant", F.size("words").alias("total"), F.explode("words").alias("word"))
-    posting = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("name_word"))
-    close = fuzzy_word_matches(asked_words.select("word").distinct(), posting.select("name_word").distinct())
-    sizes = posting.groupBy("name_word").agg(F.count(F.lit(1)).alias("df"))
-    cost = close.join(sizes, "name_word").groupBy("word").agg(F.sum("df").alias("df"))
-    rated = asked_words.join(cost, "word", "left").na.fill(0, ["df"])
-    rarest = rated.groupBy("variant").agg(F.min(F.struct("df", "word")).alias("r")).filter("r.df > 0")
-    pairs = rarest.select("variant", F.col("r.word").alias("word")).join(close, "word").join(posting, "name_word").select(
-        "variant", "name").distinct()
-    hits = pairs.join(asked_words, "variant").join(close, "word").join(posting, ["name", "name_word"])
-    return hits.groupBy("variant", "name", "total").agg(F.count_distinct("word").alias("found")).filter(
-        F.col("found") == F.col("total")).select("variant", "name")
-
-
-def fuzzy_similarity(pairs: DataFrame) -> DataFrame:
-    """(variant, name, similarity): the better of whole-string and mean best-word similarity."""
-    pairs = cut_lineage(pairs)
-    qw = pairs.select("variant").distinct().select("variant", significant_words(F.col("variant")).alias("qw"))
-    nw = pairs.select("name").distinct().select("name", significant_words(F.col("name")).alias("nw"))
-    rows = pairs.join(qw, "variant").join(nw, "name")
-    whole = rows.select("variant", "name", F.array_join("qw", " ").alias("a"), F.array_join("nw", " ").alias("b"))
-    whole = whole.select("variant", "name", similarity(osa_distance("a", "b"), F.col("a"), F.col("b")).alias("whole"))
-    words = rows.select("variant", "name", "nw", F.posexplode(F.filter("qw", lambda w: F.length(w) >= 3)).alias("i", "w"))
-    words = words.select("variant", "name", "i", "w", F.explode("nw").alias("n"))
-    # Distances once per distinct word pair.
-    table = words.select("w", "n").distinct().withColumn("d", osa_distance("w", "n"))
-    best = words.join(table, ["w", "n"]).groupBy("variant", "name", "i").agg(
-        F.max(similarity(F.col("d"), F.col("w"), F.col("n"))).alias("s")
-    ).groupBy("variant", "name").agg(F.avg("s").alias("per_word"))
-    return whole.join(best, ["variant", "name"], "left").select(
-        "variant", "name", F.greatest("whole", F.coalesce("per_word", F.lit(0.0))).alias("similarity")
-    )
-
-
-def suggestions(variants: DataFrame, terms: DataFrame, index: DataFrame, places: DataFrame,
-                cap: int = config.CARDS_CAP) -> DataFrame:
-    """For unresolved queries: close names first, then entities in a place the query names, by popularity.
-
-    ``variants`` (norm, variant) of the unresolved queries; ``places`` (place_name, place_id) normalized;
-    index rows carry ``place_id``.
-    """
-    close = fuzzy_similarity(fuzzy_candidates(variants, terms)).filter(F.col("similarity") >= config.MIN_FUZZY)
-    per_name = variants.join(close, "variant").groupBy("norm", "name").agg(F.max("similarity").alias("similarity"))
-    short = top_k(terms.select("name", "qid").distinct().join(index.select("qid", "sitelinks"), "qid"), ["name"],
-                  [F.desc("sitelinks"), F.col("qid")], cap, "_r").drop("_r")
-    named = per_name.join(short, "name").select(
-        "norm", "qid", F.lit(0).alias("src"), (-F.col("similarity")).alias("key"), "sitelinks")
-    in_place = top_k(index.select("qid", "sitelinks", "place_id"), ["place_id"],
-                     [F.desc("sitelinks"), F.col("qid")], cap, "_r").drop("_r")
-    local = variants.join(places, F.col("variant") == F.col("place_name")).join(in_place, "place_id").select(
-        "norm", "qid", F.lit(1).alias("src"), F.lit(0.0).alias("key"), "sitelinks")
-    merged = named.unionByName(local).groupBy("norm", "qid", "sitelinks").agg(F.min(F.struct("src", "key")).alias("at"))
-    return top_k(merged, ["norm"], [F.col("at"), F.desc("sitelinks"), F.col("qid")], cap, "place").select(
-        "norm", "qid", "place", F.col("at.src").alias("src")
-    )
