@@ -40,12 +40,13 @@ def test_topk_small_tables(spark):
     assert vector_topk.search(both.where("vec_id = 0"), both.where("vec_id = 0")).collect() == []
 
 
-TEXTS = [None, "", "a", "Hello world, it's <|endoftext|> here", "é ß ñ 漢字 🙂 \u0000 \r\n\t  x", " " * 3000, "word " * 5000, "x" * 4000, "12345 " * 300]
+TEXTS = [None, "", "a", "Hello world, it's <|endoftext|> here", "é ß ñ 漢字 🙂 \u0000 \r\n\t  x", " " * 3000, "word " * 5000, "x" * 4000, "12345 " * 300,
+         " " * 400_000 + "end", "a" + "\t" * 300_000, "\n" * 200_000, " \n\t" * 70_000 + "x", "y" * 200_000 + " z", " " * 4999 + "x"]
 
 
 def test_packing_round_trip(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(0, "again"), (None, "no id")]
+    texts = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(0, "again"), (None, "no id"), (2**60 + 1, "big id")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, length int, part int").repartition(5)
     pieces = token_packing.pack(docs).collect()
     wanted = sorted((i is None, i or 0, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts)
