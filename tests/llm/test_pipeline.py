@@ -44,9 +44,9 @@ def test_stages_take_effect(spark):
     kept = {r.doc_id: r.text for r in clean.collect()}
     groups = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
     assert len({groups[i] for i in kept}) == len(kept)
-    assert decontaminate.contaminated(clean, read_table(spark, SF, "benchmark")).collect() == []
+    assert decontaminate.passages(clean, read_table(spark, SF, "benchmark")).collect() == []
     assert secret_scan.find_secrets(clean).where("n_assign + n_access + n_hex > 0").collect() == []
-    leaks = {r.doc_id for r in decontaminate.contaminated(docs, read_table(spark, SF, "benchmark")).collect()}
+    leaks = {r.doc_id for r in decontaminate.passages(docs, read_table(spark, SF, "benchmark")).collect()}
     und = {r.doc_id for r in language_id.identify(docs).where("lang_pred = 'und'").collect()}
     assert set(kept) == {i for i, c in groups.items() if i == c} - leaks - und
     pieces = corpus_pipeline.run(spark, SF).collect()

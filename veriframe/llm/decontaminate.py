@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted verification.
 
-DataFrame operations only.
+DataFrame operations only. Windows begin where a shared shingle puts an item's start; their prints meet the items' prints in
+Hamming blocks; around every window found, the passage with the best exact similarity is cut out by running sums.
 """
 
 from __future__ import annotations
@@ -8,17 +9,20 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
-from veriframe.functions.text import let
 from veriframe.session import cut_lineage
 
 SHINGLE = 5
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
-FLIPS = 2
+FLIPS = 3
 #: Two prints that differ in at most this many bits agree on some block within FLIPS bits.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Window sizes by the item's length: a passage of 0.8 similarity has between 0.8 and 1.25 of its letters.
+SIZES = (0.8, 1.0, 1.25)
+#: Item shingles up to which they are broadcast; more of them meet the documents' shingles in a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def words(text: Column) -> Column:
@@ -81,161 +85,169 @@ def flip_masks() -> list[int]:
 
 
 def item_classes(benchmark: DataFrame) -> DataFrame:
-    """Items by equal words: (item_id: the smallest, item_copies, hashes, length). Items of under five words go."""
+    """Items by equal words: (item_id: the smallest, item_copies, hashes, length). Items without a word go."""
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w"))
-    classes = items.where(F.size("w") >= SHINGLE).groupBy("w").agg(
+    classes = items.where(F.size("w") > 0).groupBy("w").agg(
         F.min("item_id").alias("item_id"), F.count("*").alias("item_copies"),
     )
     return classes.select("item_id", "item_copies", hashed_words("w").alias("hashes"), F.size("w").alias("length"))
 
 
-def windows(docs: DataFrame, items: DataFrame, most_broadcast: int = 200_000, missing: float = 0.2) -> DataFrame:
-    """(doc_id, start, length, hashes) of the item-sized windows to compare.
-
-    A window is as long as an item and begins where a shingle that it shares with that item puts the item's start, or,
-    for a passage that lacks up to ``missing`` of the item's beginning, at the shared shingle itself. Without a shared
-    shingle the similarity is zero. Windows are cut at both ends of the text. The items' shingles are
-    broadcast while they are at most ``most_broadcast`` rows; more of them are taken in as many equal shares, each
-    with a pass of its own over the documents.
-    """
-    placed = placed_shingles(items.select("item_id", "length", "hashes"))
-    placed = placed.select("shingle", F.col("pos").alias("offset"), "length").distinct()
-    shares = -(-placed.count() // most_broadcast)
-    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", hashed_words("w").alias("hashes"))
-    # The word hashes ride along only within the stage: rows are written after the join has kept those that match.
-    rows = placed_shingles(hashed)
-    whole = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
-    cut = F.when((F.col("offset") > 0) & (F.col("offset") <= F.col("length") * missing), F.col("pos"))
-    found = None
-    for k in range(max(shares, 1)):
-        share = placed.where(F.pmod("shingle", F.lit(shares)) == k) if shares > 1 else placed
-        part = rows.join(F.broadcast(share), "shingle").select(
-            "doc_id", "length", "hashes", F.explode(F.array_compact(F.array(whole, cut))).alias("start"),
-        ).select("doc_id", "start", "length", F.slice("hashes", F.col("start") + 1, F.col("length")).alias("hashes"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
-
-
 def _weight(column: Column) -> Column:
     return F.aggregate(column, F.lit(0).cast("bigint"), lambda n, s: n + s.bitwiseAND(F.lit(255)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Rows (doc_id, item_id, item_copies, start_word, n_words, similarity, hamming): the best window of each document and item.
+def contexts(docs: DataFrame, items: DataFrame, missing: float = 0.2) -> DataFrame:
+    """(key, start, length, from, hashes): places where an item of ``length`` words may begin, with the words around.
 
-    A window matches when its SimHash is within RADIUS bits of the item's, which the Hamming blocks find without
-    loss, and its weighted shingle similarity (letters of shared five-word shingles over letters of all) is at least
-    ``threshold``. Of equal windows the first counts. Case, punctuation and spacing don't matter. Null and empty texts
-    match nothing; items of under five words have no shingle and are left out; equal items appear under the smallest
-    item_id, with their number. A null doc_id is reported as null.
+    A place is where a shared shingle puts the item's start, or, for a passage that lacks up to ``missing`` of the item's
+    beginning, the shared shingle itself. Without a shared shingle the similarity is zero. hashes are the words from a
+    quarter of the length before the place to one and a half lengths behind it.
     """
-    items = item_classes(benchmark).withColumn("fp", simhash("hashes"))
-    placed = cut_lineage(windows(docs, items))
-    texts = placed.select("length", "hashes").distinct().withColumn("fp", simhash("hashes"))
+    placed = placed_shingles(items.select("length", "hashes"))
+    placed = cut_lineage(placed.select("shingle", F.col("pos").alias("offset"), "length").distinct())
+    hashed = docs.select("key", words(F.col("text")).alias("w")).select("key", hashed_words("w").alias("hashes"))
+    rows = placed_shingles(hashed)
+    whole = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
+    cut = F.when((F.col("offset") > 0) & (F.col("offset") <= F.col("length") * missing), F.col("pos"))
+    start = F.explode(F.array_compact(F.array(whole, cut))).alias("start")
+    first = F.greatest(F.col("start") - F.ceil(F.col("length") / 4).cast("int"), F.lit(0)).alias("from")
+    around = F.slice("hashes", F.col("from") + 1, F.col("start") - F.col("from") + F.ceil(F.col("length") * 1.5).cast("int"))
+    if placed.count() <= MOST_BROADCAST:
+        # The word hashes ride along only within the stage: rows are written after the join has kept those that match.
+        found = rows.join(F.broadcast(placed), "shingle").select("key", "length", "hashes", start)
+        return found.select("*", first).select("key", "start", "length", "from", around.alias("hashes")).distinct()
+    found = rows.select("key", "pos", "shingle").join(placed, "shingle").select("key", "length", start).distinct()
+    return found.join(hashed, "key").select("*", first).select("key", "start", "length", "from", around.alias("hashes")).distinct()
+
+
+def close_prints(places: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item_id, hamming, start, from, hashes): places with a window whose print is within RADIUS of an item's.
+
+    Windows of each of ``SIZES`` begin at the place. Blocks of the prints are looked up with up to FLIPS bits changed, so
+    no print within the radius is missed. Equal windows are looked up once.
+    """
+    sizes = F.explode(F.array(*[F.ceil(F.col("length") * s).cast("int") for s in SIZES])).alias("size")
+    windows = cut_lineage(places.select("*", sizes).withColumn("window", F.slice("hashes", F.col("start") - F.col("from") + 1, F.col("size"))))
+    texts = windows.select("length", "window").distinct().withColumn("fp", simhash("window"))
     block = F.posexplode(block_values("fp")).alias("block", "value")
-    probes = items.select("item_id", "item_copies", "length", F.col("hashes").alias("item"), F.col("fp").alias("item_fp"), block)
+    probes = items.select("item_id", "length", F.col("fp").alias("item_fp"), block)
     flips = F.explode(F.array(*[F.lit(m) for m in flip_masks()]))
     probes = probes.withColumn("flip", flips).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
     differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    close = texts.select("length", "hashes", "fp", block).join(
-        probes.select("item_id", "length", "item_fp", "block", "value"), ["length", "block", "value"]
-    ).where(differing <= RADIUS).select("length", "hashes", "item_id", differing.alias("hamming")).distinct()
-    pairs = close.join(items.select("item_id", "item_copies", shingles("hashes").alias("b")), "item_id").select(
-        "length", "hashes", "item_id", "item_copies", "hamming", shingles("hashes").alias("a"), "b",
-    )
-    both = _weight(F.array_intersect("a", "b"))
-    scored = pairs.withColumn("similarity", both / F.greatest(_weight(F.array_union("a", "b")), F.lit(1)))
-    matched = scored.where(F.col("similarity") >= threshold).drop("a", "b")
-    best = placed.join(matched, ["length", "hashes"]).groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "similarity", (-F.col("start")).alias("before"), F.size("hashes").alias("n_words"), "hamming", "item_copies",
-    )).alias("m"))
-    return best.select(
-        "doc_id", "item_id", "m.item_copies", (-F.col("m.before")).cast("long").alias("start_word"), "m.n_words",
-        "m.similarity", "m.hamming",
-    )
+    close = texts.select("length", "window", "fp", block).join(probes, ["length", "block", "value"]).where(
+        differing <= RADIUS).groupBy("length", "window", "item_id").agg(F.min(differing).alias("hamming"))
+    found = windows.join(close, ["length", "window"])
+    # Neighbouring places see the same words: the one with the closest print stands for those within an item's length.
+    near = found.groupBy("key", "item_id", F.floor(F.col("start") / F.col("length"))).agg(
+        F.min(F.struct("hamming", "start", "from", "hashes")).alias("p"))
+    return near.select("key", "item_id", "p.hamming", "p.start", "p.from", "p.hashes")
 
 
-def shared_places(docs: DataFrame, items: DataFrame, threshold: float, most_broadcast: int = 200_000) -> DataFrame:
-    """(key, item_id, at) of texts whose shared shingles may reach ``threshold``: at holds (pos, letters) in text order.
+def _cut(rows: DataFrame, rate: Column) -> DataFrame:
+    """(cand, first, last, similarity): the run of shingles with the highest sum, and its exact similarity.
 
-    A window that reaches the threshold shares at least that part of the item's letters. Items are taken in shares as
-    in ``windows``.
+    Shared letters count as they are and others ``rate`` times against the run, so at a rate the best run is a similar
+    enough one if there is any. Sums run along the shingles; a repeated shingle counts once.
+    """
+    along = Window.partitionBy("cand").orderBy("pos")
+    gain = F.when(F.col("before").isNotNull(), 0.0).when(F.col("shared"), F.col("letters").cast("double")).otherwise(-rate * F.col("letters"))
+    sums = rows.withColumn("gain", gain).withColumn("sum", F.sum("gain").over(along))
+    low = F.min(F.struct((F.col("sum") - F.col("gain")).alias("low"), F.col("pos").alias("first"))).over(along)
+    ends = sums.withColumn("low", low).groupBy("cand").agg(F.max(F.struct(
+        (F.col("sum") - F.col("low.low")).alias("gain"), (-F.col("pos")).alias("last"), F.col("low.first").alias("first"))).alias("r"))
+    runs = ends.select("cand", "r.first", (-F.col("r.last")).alias("last"))
+    inside = rows.drop("rate").join(runs, "cand").where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")) & (F.coalesce("before", F.lit(-1)) < F.col("first")))
+    shared = F.sum(F.when(F.col("shared"), F.col("letters")).otherwise(0))
+    return inside.groupBy("cand", "first", "last").agg((shared / (F.sum("letters") + F.first("weight") - shared)).alias("similarity"))
+
+
+def best_runs(close: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(key, item_id, start_word, n_words, similarity, hamming): the best passage around each place, if it reaches ``threshold``.
+
+    The first cut asks for the threshold, two more for the similarity found: each raises it, as in a ratio's ascent.
     """
+    close = close.withColumn("cand", F.monotonically_increasing_id())
+    close = cut_lineage(close)
+    rows = placed_shingles(close.select("cand", "item_id", "from", "hashes"))
     letters = [F.get("hashes", F.col("pos") + k).bitwiseAND(F.lit(255)) for k in range(SHINGLE)]
-    placed = placed_shingles(items.select("item_id", "hashes", "weight"))
-    placed = placed.select("shingle", "item_id", "weight", F.least(sum(letters[1:], letters[0]), F.lit(255)).alias("letters")).distinct()
-    shares = -(-placed.count() // most_broadcast)
-    rows = placed_shingles(docs.select("key", words(F.col("text")).alias("w")).select("key", hashed_words("w").alias("hashes")))
-    rows = rows.select("key", "pos", "shingle")
+    rows = rows.select("cand", "item_id", "pos", "shingle", F.least(sum(letters[1:], letters[0]), F.lit(255)).alias("letters"))
+    own = placed_shingles(items.select("item_id", "hashes", "weight")).select("item_id", "shingle", F.lit(True).alias("shared")).distinct()
+    same = Window.partitionBy("cand", "shingle").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(own, ["item_id", "shingle"], "left").join(items.select("item_id", "weight"), "item_id").select(
+        "cand", "pos", "letters", "weight", F.coalesce("shared", F.lit(False)).alias("shared"), F.max("pos").over(same).alias("before"))
+    rows = cut_lineage(rows)
+    best = _cut(rows, F.lit(threshold))
+    for _ in range(2):
+        best = cut_lineage(best.where(F.col("similarity") >= threshold * 0.9))
+        again = _cut(rows.join(best.select("cand", F.col("similarity").alias("rate")), "cand"), F.col("rate"))
+        both = best.unionByName(again)
+        best = both.groupBy("cand").agg(F.max(F.struct(
+            "similarity", (-F.col("first")).alias("f"), (-F.col("last")).alias("l"))).alias("r")).select(
+            "cand", (-F.col("r.f")).alias("first"), (-F.col("r.l")).alias("last"), "r.similarity")
+    reached = best.where(F.col("similarity") >= threshold)
+    return reached.join(close.select("cand", "key", "item_id", "from", "hamming"), "cand").select(
+        "key", "item_id", (F.col("from") + F.col("first")).alias("start_word"),
+        (F.col("last") - F.col("first") + SHINGLE).alias("n_words"), "similarity", "hamming")
+
+
+def short_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows as of ``best_runs`` for items of under five words: the places where their words stand in a row."""
+    phrases = items.where(F.col("length") < SHINGLE)
+    lengths = [r["length"] for r in phrases.select("length").distinct().collect()]  # four at most
+    hashed = docs.select("key", words(F.col("text")).alias("w")).select("key", hashed_words("w").alias("hashes"))
     found = None
-    for k in range(max(shares, 1)):
-        share = placed.where(F.pmod("shingle", F.lit(shares)) == k) if shares > 1 else placed
-        part = rows.join(F.broadcast(share), "shingle").select("key", "item_id", "weight", F.struct("pos", "letters").alias("place"))
+    for n in lengths:
+        asked = placed_shingles(phrases.where(F.col("length") == n).select("item_id", "hashes"), n).select("item_id", "shingle")
+        part = placed_shingles(hashed, n).select("key", "pos", "shingle").join(asked, "shingle").groupBy("key", "item_id").agg(
+            F.min("pos").alias("start_word")).select("key", "item_id", "start_word", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"), F.lit(0).alias("hamming"))
         found = part if found is None else found.unionByName(part)
-    near = found.groupBy("key", "item_id", "weight").agg(F.sort_array(F.collect_set("place")).alias("at"))
-    shared = F.aggregate("at", F.lit(0).cast("bigint"), lambda n, p: n + p["letters"])
-    return near.where(shared >= threshold * F.col("weight")).drop("weight")
+    return found
 
 
-def _ends(longest: Column, threshold: float) -> Column:
-    """Per place of ``at``: struct(start, ends), ends being the places within ``longest`` words that leave enough shared letters."""
-    def one(place: Column, i: Column) -> Column:
-        within = F.filter(F.slice("at", i + 1, longest), lambda p: p["pos"] + SHINGLE - place["pos"] <= longest)
-        none = F.struct(F.lit(0).cast("bigint").alias("n"), F.expr("array()").cast("array<int>").alias("ends"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
-        def add(acc: Column, p: Column) -> Column:
-            n = acc["n"] + p["letters"]
-            more = F.when(n >= threshold * F.col("weight"), F.array_append(acc["ends"], p["pos"])).otherwise(acc["ends"])
-            return F.struct(n.alias("n"), more.alias("ends"))
 
-        return F.struct(place["pos"].alias("start"), F.aggregate(within, none, add, lambda acc: acc["ends"]).alias("ends"))
+def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(key, item_id, m): the best passage of every text (by key) and item."""
+    keyed = docs.select(F.col("_key").alias("key"), "text")
+    long = items.where(F.col("length") >= SHINGLE)
+    found = best_runs(close_prints(contexts(keyed, long), long), long, threshold)
+    short = short_passages(keyed, items)
+    found = found if short is None else found.unionByName(short)
+    return found.groupBy("key", "item_id").agg(F.max(F.struct(
+        "similarity", (-F.col("start_word")).alias("before"), (-F.col("n_words")).alias("less"), (-F.col("hamming")).alias("far"))).alias("m"))
 
-    return F.filter(F.transform("at", one), lambda w: F.size(w["ends"]) > 0)
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    items = item_classes(benchmark).withColumn("fp", simhash("hashes"))
+    return cut_lineage(items.withColumn("weight", _weight(F.array_distinct(shingles("hashes")))))
 
-def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, longest: float = 2.0) -> DataFrame:
-    """Rows as of ``contaminated``: the best passage of each document and item, of any length up to ``longest`` items.
 
-    All windows that begin and end with a shared shingle are scored exactly; any other window is no better than the one
-    within it that does. So nothing that reaches ``threshold`` is lost to its length or its SimHash: ``hamming`` is
-    reported and filters nothing. Of equal passages the first counts, then the shortest.
-    """
-    items = item_classes(benchmark).withColumn("item", F.array_distinct(shingles("hashes"))).withColumn("weight", _weight(F.col("item")))
-    items = cut_lineage(items)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    near = cut_lineage(shared_places(keyed, items, threshold))
-    whole = near.join(items.select("item_id", "length", "weight", "item"), "item_id").join(keyed, "key")
-    reach = F.ceil(F.col("length") * longest).cast("int")
-    # The explode keeps the hashes from being computed again for every start.
-    starts = whole.select("doc_id", "item_id", "length", "weight", "item", "at", words(F.col("text")).alias("w")).select(
-        "doc_id", "item_id", "length", "weight", "item", hashed_words("w").alias("hashes"), F.explode(_ends(reach, threshold)).alias("s"),
-    )
-    windows_ = starts.select(
-        "doc_id", "item_id", "weight", "item", "s", F.slice("hashes", F.col("s.start") + 1, reach).alias("hashes"),
-    )
+def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Rows (doc_id, item_id, item_copies, start_word, n_words, similarity, hamming): the best passage of each document and item.
 
-    def score(all_: Column) -> Column:
-        def one(end: Column) -> Column:
-            size = end - F.col("s.start") + 1
-            return let(F.array_distinct(F.slice(all_, F.lit(1), size)), lambda a: let(
-                _weight(F.array_intersect(a, F.col("item"))), lambda both: F.struct(
-                    (both / (_weight(a) + F.col("weight") - both)).alias("similarity"), (-size - (SHINGLE - 1)).alias("less"))))
-
-        return F.array_max(F.transform("s.ends", one))
-
-    scored = windows_.select("doc_id", "item_id", "s.start", "hashes", let(shingles("hashes"), score).alias("m"))
-    # Filtered after the grouping: a filter before it would score every window a second time.
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "m.similarity", (-F.col("start")).alias("before"), "m.less", F.slice("hashes", F.lit(1), -F.col("m.less")).alias("hashes"),
-    )).alias("m")).where(F.col("m.similarity") >= threshold)
-    prints = items.select("item_id", "item_copies", simhash("hashes").alias("item_fp"))
-    return best.select("doc_id", "item_id", "m", simhash("m.hashes").alias("fp")).join(prints, "item_id").select(
-        "doc_id", "item_id", "item_copies", (-F.col("m.before")).cast("long").alias("start_word"), (-F.col("m.less")).alias("n_words"),
-        "m.similarity", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"),
+    A passage is found through a window whose SimHash is within RADIUS bits of the item's, which the Hamming blocks find
+    without loss; it is kept if its weighted shingle similarity (letters of shared five-word shingles over letters of
+    all) is at least ``threshold``. Of equally similar passages the first counts, then the shortest. Case, punctuation
+    and spacing don't matter. Items of under five words are matched as phrases, similarity 1. Null and empty texts match
+    nothing; equal items appear under the smallest item_id, with their number; items without item_id are left out. A
+    null doc_id is reported as null, and the rows of a repeated doc_id as one document.
+    """
+    items, keyed = _items(benchmark), _keyed(docs)
+    best = _found(keyed, items, threshold)
+    ids = keyed.select(F.col("_key").alias("key"), "doc_id").join(best.select("key").distinct(), "key", "left_semi").distinct()
+    named = best.join(ids, "key").groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
+    return named.join(items.select("item_id", "item_copies"), "item_id").select(
+        "doc_id", "item_id", "item_copies", (-F.col("m.before")).cast("long").alias("start_word"), (-F.col("m.less")).cast("int").alias("n_words"),
+        "m.similarity", (-F.col("m.far")).cast("int").alias("hamming"),
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = passages(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Documents without a passage of the benchmark. Items of under five words take no document: they are common phrases."""
+    keyed = _keyed(docs)
+    items = _items(benchmark).where(F.col("length") >= SHINGLE)
+    found = _found(keyed, items, threshold).select(F.col("key").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(docs.columns)
