@@ -53,6 +53,47 @@ def test_greedy_dedup_equals_sequential_loop(spark):
     assert got == want
 
 
+def drifting_chain(n, seed=2):
+    """Each print a few bits from the one before: the greedy order can only be followed link by link."""
+    rng, h, rows = random.Random(seed), 0, []
+    for i in range(n):
+        for bit in rng.sample(range(64), 4):
+            h ^= 1 << bit
+        rows.append((1, str(i), i, float(n - i), h - (1 << 64) if h >> 63 else h, f"u{i}"))
+    return rows
+
+
+def test_long_chains_take_no_more_rounds(spark, monkeypatch):
+    rows = drifting_chain(3000) + [(2, "a", 0, 2.0, 5, "x"), (2, "b", 1, 1.0, -1, "x"), (2, "c", 2, 0.5, -2, "y")]
+    kept, wanted = {}, {}
+    for entity, item, ord_, strength, h, url in sorted(rows, key=lambda r: (r[0], -r[3], r[2])):
+        twin = next((k for k in kept.get(entity, []) if k[1] == url or popcount(k[2] ^ h) <= 6), None)
+        wanted[entity, item] = twin and twin[0]
+        if not twin:
+            kept.setdefault(entity, []).append((item, url, h))
+    items = spark.createDataFrame(rows, "entity_id long, item_id string, ord long, strength double, hash long, canonical_url string")
+    rounds = []
+    whole = dedup._round
+    monkeypatch.setattr(dedup, "_round", lambda *a: rounds.append(1) or whole(*a))
+    for size, most in ((200_000, dedup.ROUNDS), (5, 10_000)):  # with small components, rounds have to settle the chain
+        if size == 5:
+            items = items.where("ord < 60")
+        monkeypatch.setattr(dedup, "COMPONENT", size)
+        rounds.clear()
+        got = {(r.entity_id, r.item_id): r.twin_id for r in dedup.dedup_near(items).collect()}
+        assert got == {k: v for k, v in wanted.items() if k in got} and len(rounds) <= most
+        assert len(got) == items.count()
+
+
+def test_components(spark):
+    from veriframe.operators.components import components
+
+    chain = [(i, i + 1) for i in range(10, 300)] + [(500, 400), (400, 450), (600, 600), (None, 3), (500, 400)]
+    got = dict(map(tuple, components(spark.createDataFrame(chain, "u long, v long")).collect()))
+    assert got == {**{i: 10 for i in range(11, 301)}, 450: 400, 500: 400}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_near_pairs_with_split_buckets(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 5)
     rng = random.Random(9)

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe import config
 from veriframe.functions.hashes import band_layout, clean_band_masks, hamming, masked_keys, probe_masks
+from veriframe.operators.components import components
 from veriframe.operators.ranking import top_k
 from veriframe.session import cut_lineage
 
 BLOCK = 2048  # members of one bucket that share a join key
+ROUNDS = 6  # of the greedy dedup, before what is still open is settled by component
+COMPONENT = 200_000  # rows (items and links) of a component that one task settles in order
 SPARE_BANDS = 3  # untouched bands in a key: about 21 bits for distance 6
 
 
@@ -66,8 +70,9 @@ def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING) -> Dat
     is the strongest such item. That is the lexicographically first maximal independent set, found by rounds:
     an undecided item is kept once nothing stronger and undecided is near it, and dropped once something
     kept and stronger is. Messages travel per class (min over class, then over near classes), never per item pair.
-    Every round settles at least the strongest open item, so the rounds end by themselves; they work on the items
-    still open and those kept in the round before, whose message is then delivered.
+    Every round settles at least the strongest open item; rounds work on the items still open and those kept in the
+    round before, whose message is then delivered. What a few rounds leave open (long chains) is cut in connected
+    components: each of bounded size is settled in order by one task, and rounds go on for the others alone.
     """
     prio = _priority(-F.col("strength"))
     base = items.select("entity_id", "item_id", "hash", "canonical_url", prio.alias("prio"))
@@ -86,7 +91,13 @@ def dedup_near(items: DataFrame, distance: int = config.NEAR_DUP_HAMMING) -> Dat
         F.when(alone, "keep").otherwise("open").alias("status"),
     ))
     settled, active = [state.filter("status = 'keep'")], state.filter("status = 'open'")
+    rounds = 0
     while not active.filter("status = 'open'").isEmpty():
+        rounds += 1
+        if rounds == ROUNDS + 1:
+            done, active = _by_component(active, links)
+            settled.append(done)
+            continue
         after = cut_lineage(_round(active, links))
         settled.append(after.filter("status in ('done', 'drop')"))
         active = after.filter("status in ('open', 'keep')")
@@ -119,6 +130,50 @@ def _round(active: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _by_component(active: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled rows, rows of components that are too large for one task) of items still open and those just kept."""
+    node = lambda kind, c: F.xxhash64(F.lit(kind), "entity_id", c)
+    classes = active.select("entity_id", "hash").distinct()
+    near = links.join(classes, ["entity_id", "hash"], "left_semi").join(
+        classes.withColumnRenamed("hash", "other"), ["entity_id", "other"], "left_semi")
+    by_class, by_url = node("class", "hash"), node("url", "canonical_url")
+    edges = near.select(by_class.alias("u"), node("class", "other").alias("v")).unionByName(
+        active.select(by_class.alias("u"), by_url.alias("v")))
+    found = cut_lineage(components(edges))
+    place = lambda df: df.withColumn("node", by_class).join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).drop("node")
+    members, ties = cut_lineage(place(active)), cut_lineage(place(near))
+    sizes = members.select("component").unionByName(ties.select("component")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.filter(F.col("n") <= COMPONENT).select("component")
+    # Written, so that the two sides share no column by origin.
+    rows = cut_lineage(members.join(small, "component", "left_semi").select(
+        "component", "entity_id", "item_id", "hash", "canonical_url", "prio.neg_strength", "prio.ord", "status"))
+    own = cut_lineage(ties.join(small, "component", "left_semi").select("component", "entity_id", "hash", "other"))
+    kinds = dict(active.dtypes)
+    verdicts = rows.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(
+        _settle, f"entity_id {kinds['entity_id']}, item_id {kinds['item_id']}, status string")
+    done = members.drop("status", "component").join(cut_lineage(verdicts), ["entity_id", "item_id"])
+    return done, members.join(small, "component", "left_anti").drop("component")
+
+
+def _settle(items: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """One component in order: an item stays unless something kept before it is near or has its URL."""
+    near: dict[tuple, list] = {}
+    for entity, own, other in zip(links["entity_id"], links["hash"], links["other"]):
+        near.setdefault((entity, own), []).append((entity, other))
+    items = items.sort_values(["neg_strength", "ord", "item_id"])
+    kept_classes, kept_urls, out = set(), set(), []
+    for entity, own, url, status in zip(items["entity_id"], items["hash"], items["canonical_url"], items["status"]):
+        cls = (entity, own)
+        beaten = status == "open" and (
+            (entity, url) in kept_urls or cls in kept_classes or any(c in kept_classes for c in near.get(cls, ())))
+        out.append("drop" if beaten else "done")
+        if not beaten:
+            kept_classes.add(cls)
+            kept_urls.add((entity, url))
+    return pd.DataFrame({"entity_id": items["entity_id"], "item_id": items["item_id"], "status": out})
+
+
 def settle_twins(state: DataFrame, links: DataFrame) -> DataFrame:
     """Verdicts with the strongest kept twin of every dropped item, read off the final kept set.
 
@@ -228,23 +283,21 @@ def resolve_pointers(items: DataFrame) -> DataFrame:
 
 # --- nearest known picture ----------------------------------------------------------
 
-PROBE_BANDS, PROBE_FLIPS = 4, 2
+PROBE_BANDS = 4
 
 
-def probe_pairs(queries: DataFrame, known: DataFrame, distance: int) -> DataFrame:
-    """(q_hash, k_hash, distance) for distinct fingerprints within ``distance`` bits.
+def probe_pairs(queries: DataFrame, known: DataFrame, flips: int, distance: int) -> DataFrame:
+    """(q_hash, k_hash, distance) for distinct fingerprints at most ``distance`` bits apart.
 
-    The known side stores one row per band (16 bits); the asking side flips up to two bits of each band. With ten
-    errors over four bands some band has at most two, so nothing within ten bits is missed.
+    The known side stores one row per band (16 bits); the asking side flips up to ``flips`` bits of each band. Nothing
+    within PROBE_BANDS * (flips + 1) - 1 bits is missed: some band then has at most ``flips`` errors.
     """
-    if distance >= (PROBE_FLIPS + 1) * PROBE_BANDS:
-        raise ValueError("distance too large for the probe layout")
     layout = [m - (1 << 64) if m >= 1 << 63 else m for m in band_layout(PROBE_BANDS)]
     stored = known.select("k_hash", F.explode(masked_keys(F.col("k_hash"), layout)).alias("k")).select(
         "k_hash", "k.slot", "k.bits"
     )
     probes = F.array(*[
-        F.struct(F.lit(slot).alias("slot"), F.array(*[F.lit(m) for m in probe_masks(band, PROBE_FLIPS)]).alias("flips"))
+        F.struct(F.lit(slot).alias("slot"), F.array(*[F.lit(m) for m in probe_masks(band, flips)]).alias("flips"))
         for slot, band in enumerate(band_layout(PROBE_BANDS))
     ])
     asked = queries.select("q_hash", F.explode(probes).alias("p")).select(
@@ -258,6 +311,25 @@ def probe_pairs(queries: DataFrame, known: DataFrame, distance: int) -> DataFram
     ).distinct()
 
 
+def nearest_pairs(queries: DataFrame, known: DataFrame, distance: int) -> DataFrame:
+    """(q_hash, k_hash, distance): all known fingerprints at the least distance of each asking one, within ``distance``.
+
+    The radius grows: equal ones by a plain join, then what whole bands find (three bits), then one and more flips a band.
+    A stage asks only for those that found nothing so far, and finds everything within its radius, so its best is certain:
+    an upload with an exact copy never pays for the wide search.
+    """
+    equal = queries.join(known, F.col("q_hash") == F.col("k_hash")).select("q_hash", "k_hash", F.lit(0).cast("bigint").alias("distance"))
+    found, flips, reach = cut_lineage(equal), 0, 0
+    every = Window.partitionBy("q_hash")
+    while reach < distance:
+        reach = min(PROBE_BANDS * (flips + 1) - 1, distance)
+        pairs = probe_pairs(queries.join(found, "q_hash", "left_anti"), known, flips, reach)
+        best = pairs.withColumn("least", F.min("distance").over(every)).filter("distance = least").drop("least")
+        found = found.unionByName(cut_lineage(best))
+        flips += 1
+    return found
+
+
 def known_pool(photos: DataFrame, uploads: DataFrame) -> DataFrame:
     """(entity_id, hash, ord): what is known of every entity, its profile photos and accepted uploads, each print once.
 
@@ -276,13 +348,11 @@ def nearest_known(uploads: DataFrame, known: DataFrame, distance: int = config.U
     """
     by_entity = known.groupBy("hash", "entity_id").agg(F.min("ord").alias("ord"))
     by_hash = by_entity.groupBy("hash").agg(F.min(F.struct("ord", "entity_id")).alias("first"))
-    pairs = probe_pairs(
-        uploads.select(F.col("hash").alias("q_hash")).distinct(), by_hash.select(F.col("hash").alias("k_hash")), distance
-    )
-    closest = pairs.groupBy("q_hash").agg(F.min("distance").alias("distance"))
-    ties = pairs.join(closest, ["q_hash", "distance"]).join(
-        by_hash.select(F.col("hash").alias("k_hash"), "first"), "k_hash"
+    pairs = nearest_pairs(
+        uploads.select(F.col("hash").alias("q_hash")).filter("q_hash is not null").distinct(),
+        by_hash.select(F.col("hash").alias("k_hash")), distance
     )
+    ties = pairs.join(by_hash.select(F.col("hash").alias("k_hash"), "first"), "k_hash")
     # Per asking fingerprint: the first known one overall, and the entities that own one of the ties.
     overall = ties.groupBy("q_hash", "distance").agg(F.min("first").alias("first"))
     owners = ties.join(by_entity.select(F.col("hash").alias("k_hash"), "entity_id"), "k_hash").select(
