@@ -10,6 +10,9 @@ from veriframe.functions.geo import valid_point
 from veriframe.operators.ranking import positions, top_k
 from veriframe.operators.scoring import center_distance
 
+# --- fixed values ---------------------------------------------------------------
+KNOWLEDGE_PAGE = "https://www.wikidata.org/wiki/Q"
+
 
 def list_rank(col: Column, values: list[str]) -> Column:
     """1-based place in a fixed list; unknown values go last."""
@@ -160,16 +163,25 @@ def geo_bounds(entities: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def fact_rows(entities: DataFrame) -> DataFrame:
-    """Facts that are present, in fixed order, each with the property it comes from."""
-    def row(ord_: int, fact: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(
-            F.lit(ord_).cast("bigint").alias("ord"), F.lit(fact).alias("fact"), value.cast("string").alias("value")))
+    """Facts that are present, in fixed order, each with a link to the property it comes from.
+
+    Students carry the year of the count if it is known; the city is a fact only with the property that names it.
+    """
+    page = F.concat(F.lit(KNOWLEDGE_PAGE), F.col("entity_id").cast("string"), F.lit("#"))
 
+    def row(ord_: int, fact: str, value: Column, source: Column) -> Column:
+        return F.when(value.isNotNull() & source.isNotNull(), F.struct(
+            F.lit(ord_).cast("bigint").alias("ord"), F.lit(fact).alias("fact"), value.alias("value"),
+            F.concat(page, source).alias("source")))
+
+    amount = F.col("students").cast("string")
+    students = F.when(F.col("students_year").isNotNull(), F.concat(amount, F.lit(" ("), "students_year", F.lit(")"))).otherwise(amount)
     website = F.when(F.col("domain").isNotNull(), F.concat(F.lit("https://"), "domain"))
     return entities.select("entity_id", F.inline(F.array_compact(F.array(
-        row(1, "founded", F.col("inception")), row(2, "students", F.col("students")),
-        row(3, "city", F.col("city_name")), row(4, "country", F.col("country")), row(5, "website", website),
-    )))).withColumn("source", F.lit("knowledge_base"))
+        row(1, "founded", F.col("inception"), F.lit("P571")), row(2, "students", students, F.lit("P2196")),
+        row(3, "city", F.col("city_name"), F.col("city_property")), row(4, "country", F.col("country"), F.lit("P17")),
+        row(5, "website", website, F.lit("P856")),
+    ))))
 
 
 def collect_facts(entities: DataFrame, photos: DataFrame, rejected: DataFrame) -> DataFrame:

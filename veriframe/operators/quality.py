@@ -121,9 +121,32 @@ def run_summary(runs: DataFrame) -> DataFrame:
         n(fresh).alias("fresh"), (n(done) - n(fresh)).alias("stored"), n(regular).alias("regular"),
         tier_sum("verified").alias("verified"), tier_sum("likely").alias("likely"), tier_sum("unconfirmed").alias("unconfirmed"),
         n(regular & (F.col("verified") == 0)).alias("without_verified"),
+        F.count_distinct(F.when(regular, F.col("entity_id"))).alias("entities"),
+        F.coalesce(F.sum(F.when(done, F.col("photos"))), F.lit(0)).cast("bigint").alias("checked_photos"),
+        n(F.coalesce("n_fails", F.lit(0)) > 0).alias("fails"),
     )
 
 
+def vision_histogram(runs: DataFrame) -> DataFrame:
+    """Profiles by the status of the visual check; a profile without one counts as ``no_data``."""
+    done = runs.filter("terminal = 'done'")
+    return done.groupBy(F.coalesce("vision_status", F.lit("no_data")).alias("vision_status")).agg(F.count(F.lit(1)).alias("profiles"))
+
+
+def run_figures(runs: DataFrame) -> DataFrame:
+    """Median, least, most and number of each figure: three timings of fresh profiles, photos of regular ones.
+
+    Stored profiles answer at once and would flatter the timings; simulated outages would lower the photos.
+    """
+    fresh, regular = ~F.coalesce("cached", F.lit(False)), ~F.col("simulated")
+    value = lambda name, cond, c: F.struct(F.lit(name).alias("figure"), F.when(cond, c).cast("bigint").alias("value"))
+    photos = F.col("verified") + F.col("likely") + F.col("unconfirmed")
+    rows = runs.filter("terminal = 'done'").select(F.explode(F.array(
+        value("resolved_ms", fresh, F.col("resolved_ms")), value("first_photos_ms", fresh, F.col("first_photos_ms")),
+        value("done_ms", fresh, F.col("done_ms")), value("photos_per_profile", regular, photos))).alias("f")).select("f.*")
+    return histogram_percentiles(rows, ["figure"], "value", {"median": 0.5})
+
+
 def latency(rows: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
     """Median and 90th percentile per key: of fresh runs (``keys`` empty) or of a model's batches."""
     everything = rows.withColumn("_all", F.lit(0))

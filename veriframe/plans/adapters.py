@@ -51,6 +51,8 @@ ADAPTERS["entities"] = """
       CASE WHEN s_suppkey % 25 = 5 THEN 'www.tengrinews.kz' END), ';') AS domains,
     CASE WHEN s_suppkey % 6 <> 0 THEN CAST(1900 + s_suppkey % 120 AS STRING) END AS inception,
     CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 37 % 30000 END AS students,
+    CASE WHEN s_suppkey % 5 <> 2 THEN CAST(2000 + s_suppkey % 24 AS STRING) END AS students_year,
+    CASE s_suppkey % 4 WHEN 0 THEN 'P159' WHEN 1 THEN 'P131' WHEN 2 THEN 'P276' END AS city_property,
     s_suppkey * 7 % 160 AS sitelinks
   FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
@@ -251,7 +253,7 @@ ADAPTERS["web_rows"] = """
 ADAPTERS["open_rows"] = """
   SELECT p_partkey, p_partkey % 10 AS entity_id, concat('{"title":"', CASE p_partkey % 4 WHEN 0 THEN concat('View of Supplier 00000000', CAST(p_partkey % 10 AS STRING)) ELSE p_name END,
       '","url":"https://live.example.org/', CAST(p_partkey AS STRING), '.jpg","foreign_landing_url":"https://', CASE p_partkey % 5 WHEN 0 THEN 'www.alamy.com' WHEN 1 THEN 'pinterest.com' WHEN 2 THEN concat('u', CAST(p_partkey % 10 AS STRING), '.kz') ELSE 'photos.example.org' END,
-      '/x","license":"', CASE WHEN p_partkey % 3 = 0 THEN 'by-sa' ELSE 'cc0' END, '"', CASE WHEN p_partkey % 2 = 0 THEN ',"license_version":"4.0"' ELSE '' END,
+      '/x","license":"', CASE WHEN p_partkey % 3 = 0 THEN 'by-sa' WHEN p_partkey % 23 = 1 THEN '' ELSE 'cc0' END, '"', CASE WHEN p_partkey % 2 = 1 THEN ',"license_url":"https://licenses.example.org/x","creator":" Ann "' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN ',"license_version":"4.0"' ELSE '' END,
       ',"filetype":"', CASE WHEN p_partkey % 7 = 0 THEN 'SVG' ELSE 'JPG' END, '","width":', CAST(p_size * 40 AS STRING), ',"height":', CAST(p_size * 30 AS STRING),
       ',"mature":', CASE WHEN p_partkey % 19 = 0 THEN 'true' ELSE 'false' END, ',"tags":[{"name":"campus"},{"name":"', CASE WHEN p_partkey % 3 = 1 THEN concat('supplier-00000000', CAST(p_partkey % 10 AS STRING)) ELSE 'x' END, '"}]}') AS body
   FROM part"""
@@ -265,7 +267,10 @@ ADAPTERS["media_rows"] = """
     concat('https://', CASE WHEN c_custkey % 15 = 0 THEN 'en.wikipedia.org' ELSE 'commons.wikimedia.org' END, '/wiki/File:', CAST(c_custkey AS STRING)) AS description_url,
     c_custkey % 40 * 50 AS width, c_custkey % 37 * 50 AS height,
     concat('<b>View</b> &amp; ', CASE WHEN c_custkey % 6 = 0 THEN 'dormitory' ELSE 'place' END) AS description_html,
-    CASE WHEN c_custkey % 8 = 0 THEN 'Maps of cities|Other' ELSE 'Buildings|Places' END AS categories,
+    CASE WHEN c_custkey % 8 = 0 THEN 'Maps of cities|Other' WHEN c_custkey % 7 = 3 THEN 'Buildings| Sports clubs|Old hostels' ELSE 'Buildings|Places' END AS categories,
+    CASE c_custkey % 11 WHEN 0 THEN concat('<i>Court</i> of Supplier 00000000', CAST(c_custkey % 10 AS STRING)) WHEN 1 THEN ' ' END AS object_name,
+    CASE c_custkey % 4 WHEN 1 THEN '2017-03-01 10:00:00' WHEN 2 THEN '2016:05:04' END AS date_time,
+    concat('https://licenses.example.org/', CAST(c_custkey % 3 AS STRING)) AS license_url,
     CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 80 + 1 / 2e0 END AS lat, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 170 + 1 / 4e0 END AS lon,
     CASE c_custkey % 4 WHEN 1 THEN '12.5' WHEN 2 THEN '0' ELSE 'x' END AS gps_lat, CASE c_custkey % 4 WHEN 1 THEN '70.25' WHEN 2 THEN '0' ELSE 'y' END AS gps_lon,
     CASE WHEN c_custkey % 3 = 0 THEN '2014-06-09 09:59' END AS date_original, '2019-11-02T10:00:00Z' AS uploaded_at,

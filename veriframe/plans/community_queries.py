@@ -9,6 +9,7 @@ from veriframe.functions import text as tx
 from veriframe.operators import community, dedup, grounding, profile, quality
 from veriframe.operators.ranking import histogram_percentiles
 from veriframe.plans.adapters import adapter, ctes
+from veriframe.plans.dedup_queries import BASE_CTE, fingerprints
 from veriframe.plans.registry import query
 from veriframe.plans.scoring_queries import COVERAGE_CTES, SCORED_CTES, photos, scored
 from veriframe.sources.tables import read_table
@@ -32,7 +33,11 @@ def reviews_public(spark, sf_dir):
     return community.published_only(community.moderate(adapter(spark, sf_dir, "reviews")))
 
 
-UPLOAD_CTES = ctes("entities") + """,
+UPLOAD_CTES = ctes("entities") + f""",
+{BASE_CTE},
+copies AS (
+  SELECT DISTINCT CAST(o_orderkey AS STRING) AS upload_id FROM orders JOIN base u ON u.vec_id = o_orderkey % 400
+  JOIN base k ON k.vec_id % 2 = 0 AND bit_count(xor(xor(u.hash, (1::BIGINT << CAST(o_orderkey % 23 AS INT)) - 1), k.hash)) <= 10)""" + """,
 up AS (SELECT CAST(o_orderkey AS STRING) AS upload_id, o_orderkey AS k, o_custkey % 10 AS entity_id,
     CASE o_orderkey % 3 WHEN 0 THEN 'campus' WHEN 1 THEN 'library' ELSE 'lab' END AS category,
     CASE WHEN o_orderkey % 4 <> 0 THEN 40 + (o_custkey % 10) / 2e1 + (o_orderkey % 9) * (o_orderkey % 9) / 1e2 END AS lat,
@@ -46,7 +51,7 @@ j AS (SELECT up.*, ob.* EXCLUDE (upload_id), ob.upload_id IS NOT NULL AS seen, 2
   FROM up LEFT JOIN entities e USING (entity_id) LEFT JOIN ob USING (upload_id)),
 checks AS (
   SELECT upload_id, 'geo' AS check_id, CASE WHEN d IS NULL THEN 'unknown' WHEN d <= 1500 THEN 'pass' WHEN d <= 30000 THEN 'unknown' ELSE 'fail' END AS result FROM j
-  UNION ALL SELECT upload_id, 'duplicate', CASE WHEN k % 7 = 0 THEN 'fail' ELSE 'pass' END FROM j
+  UNION ALL SELECT upload_id, 'duplicate', CASE WHEN upload_id IN (SELECT upload_id FROM copies) THEN 'fail' ELSE 'pass' END FROM j
   UNION ALL SELECT upload_id, 'vision_unavailable', 'unknown' FROM j WHERE NOT seen
   UNION ALL SELECT upload_id, 'vision_portrait', 'fail' FROM j WHERE seen AND close_up_portrait
   UNION ALL SELECT upload_id, 'vision_type', CASE WHEN image_type = 'photo' THEN 'pass' ELSE 'fail' END FROM j WHERE seen AND NOT close_up_portrait
@@ -57,6 +62,20 @@ checks AS (
 """
 
 
+def upload_prints(orders, spark, sf_dir):
+    """Uploads are known or unknown pictures with up to 22 bits changed."""
+    changed = F.expr("shiftleft(1L, cast(o_orderkey % 23 as int)) - 1")
+    prints = fingerprints(spark, sf_dir).select("vec_id", "hash")
+    return orders.withColumn("vec_id", F.col("o_orderkey") % 400).join(prints, "vec_id").select(
+        F.col("o_orderkey").cast("string").alias("upload_id"), (F.col("o_custkey") % 10).alias("entity_id"),
+        F.col("hash").bitwiseXOR(changed).alias("hash"))
+
+
+def known_prints(spark, sf_dir):
+    return fingerprints(spark, sf_dir).filter("vec_id % 2 = 0").select(
+        (F.col("vec_id") % 10).alias("entity_id"), "hash", F.col("vec_id").alias("ord"))
+
+
 def checks(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders")
     k, e = F.col("o_orderkey"), F.col("o_custkey") % 10
@@ -71,7 +90,7 @@ def checks(spark, sf_dir):
         (k % 13 == 0).alias("stock_like"), (k % 17 == 0).alias("close_up_portrait"),
         F.when(k % 19 == 0, "other").otherwise("none").alias("names_institution"),
         F.when(k % 5 == 0, "other").when(k % 5 == 1, "sports").otherwise(own).alias("primary_category"))
-    matches = orders.filter(k % 7 == 0).select(k.cast("string").alias("upload_id"), F.lit("own").alias("match"))
+    matches = dedup.nearest_known(upload_prints(orders, spark, sf_dir), known_prints(spark, sf_dir))
     return community.upload_checks(uploads, adapter(spark, sf_dir, "entities"), matches, observations)
 
 
@@ -149,7 +168,9 @@ RUN_CTES = """WITH runs AS (
   SELECT o_orderkey AS run_id, CASE o_orderkey % 12 WHEN 0 THEN 'error' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not_found' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'done' END AS terminal,
     CASE WHEN o_orderkey % 24 = 0 THEN 'rate_limited' END AS error_code, o_orderkey % 9 = 0 AS simulated, o_orderkey % 4 = 0 AS cached,
     o_orderkey % 5 AS verified, o_orderkey % 7 AS likely, o_orderkey % 3 AS unconfirmed, CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS n_fails,
-    CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS n_warns, CASE WHEN o_orderkey % 2 = 0 THEN 'profile' ELSE 'ambiguous' END AS expect1
+    CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS n_warns, CASE WHEN o_orderkey % 2 = 0 THEN 'profile' ELSE 'ambiguous' END AS expect1,
+    o_custkey % 40 AS entity_id, o_orderkey % 37 AS photos, CASE o_orderkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' WHEN 2 THEN 'timeout' END AS vision_status,
+    CASE WHEN o_orderkey % 10 <> 4 THEN o_orderkey * 7 % 900 END AS resolved_ms, o_orderkey * 13 % 5000 AS first_photos_ms, CAST(round(o_totalprice) AS BIGINT) AS done_ms
   FROM orders)
 """
 
@@ -164,7 +185,11 @@ def runs(spark, sf_dir):
         F.when(k % 24 == 0, "rate_limited").alias("error_code"), (k % 9 == 0).alias("simulated"), (k % 4 == 0).alias("cached"),
         (k % 5).alias("verified"), (k % 7).alias("likely"), (k % 3).alias("unconfirmed"),
         flag(31).alias("n_fails"), flag(29).alias("n_warns"),
-        F.array(F.when(k % 2 == 0, "profile").otherwise("ambiguous"), F.lit("not_found")).alias("expected"))
+        F.array(F.when(k % 2 == 0, "profile").otherwise("ambiguous"), F.lit("not_found")).alias("expected"),
+        (F.col("o_custkey") % 40).alias("entity_id"), (k % 37).alias("photos"),
+        F.when(k % 5 == 0, "ok").when(k % 5 == 1, "partial").when(k % 5 == 2, "timeout").alias("vision_status"),
+        F.when(k % 10 != 4, k * 7 % 900).alias("resolved_ms"), (k * 13 % 5000).alias("first_photos_ms"),
+        F.round("o_totalprice").cast("bigint").alias("done_ms"))
 
 
 @query("run_summary", RUN_CTES + """
@@ -173,11 +198,32 @@ SELECT count(*) FILTER (terminal = 'done') AS profiles, count(*) FILTER (termina
   count(*) FILTER (terminal = 'done' AND cached) AS stored, count(*) FILTER (terminal = 'done' AND NOT simulated) AS regular,
   CAST(sum(verified) FILTER (terminal = 'done' AND NOT simulated) AS BIGINT) AS verified, CAST(sum(likely) FILTER (terminal = 'done' AND NOT simulated) AS BIGINT) AS likely,
   CAST(sum(unconfirmed) FILTER (terminal = 'done' AND NOT simulated) AS BIGINT) AS unconfirmed,
-  count(*) FILTER (terminal = 'done' AND NOT simulated AND verified = 0) AS without_verified FROM runs""")
+  count(*) FILTER (terminal = 'done' AND NOT simulated AND verified = 0) AS without_verified,
+  count(DISTINCT entity_id) FILTER (terminal = 'done' AND NOT simulated) AS entities, CAST(sum(photos) FILTER (terminal = 'done') AS BIGINT) AS checked_photos,
+  count(*) FILTER (n_fails > 0) AS fails FROM runs""")
 def run_summary(spark, sf_dir):
     return quality.run_summary(runs(spark, sf_dir))
 
 
+@query("run_vision", RUN_CTES + """
+SELECT coalesce(vision_status, 'no_data') AS vision_status, count(*) AS profiles FROM runs WHERE terminal = 'done' GROUP BY 1""")
+def run_vision(spark, sf_dir):
+    return quality.vision_histogram(runs(spark, sf_dir))
+
+
+@query("run_figures", RUN_CTES + """
+, f AS (
+  SELECT 'resolved_ms' AS figure, resolved_ms AS value FROM runs WHERE terminal = 'done' AND NOT cached AND resolved_ms IS NOT NULL
+  UNION ALL SELECT 'first_photos_ms', first_photos_ms FROM runs WHERE terminal = 'done' AND NOT cached
+  UNION ALL SELECT 'done_ms', done_ms FROM runs WHERE terminal = 'done' AND NOT cached
+  UNION ALL SELECT 'photos_per_profile', verified + likely + unconfirmed FROM runs WHERE terminal = 'done' AND NOT simulated)
+SELECT figure, count(*) AS n, min(value) AS min, max(value) AS max, CAST(round(quantile_cont(value, 0.5) * 1000) AS BIGINT) AS median_milli
+FROM f GROUP BY figure""")
+def run_figures(spark, sf_dir):
+    figures = quality.run_figures(runs(spark, sf_dir))
+    return figures.select("figure", "n", "min", "max", F.round(F.col("median") * 1000).cast("bigint").alias("median_milli"))
+
+
 def _milli(stats):
     return [F.round(F.col(c) * 1000).cast("bigint").alias(f"{c}_milli") for c in ("p50", "p90")]
 

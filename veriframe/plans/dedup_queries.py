@@ -11,10 +11,11 @@ from veriframe.operators import dedup
 from veriframe.plans.registry import query
 from veriframe.sources.tables import read_table
 
-HASH_CTES = """WITH RECURSIVE base AS (
+BASE_CTE = """base AS (
   SELECT vec_id, CAST(CAST(array_to_string(list_transform(range(64), lambda i:
       CASE WHEN embedding[i + 1] < embedding[(i + 1) % 64 + 1] THEN '1' ELSE '0' END), '') AS BIT) AS BIGINT) AS hash
-  FROM embeddings),
+  FROM embeddings)"""
+HASH_CTES = f"WITH RECURSIVE {BASE_CTE}," + """
 items AS (
   SELECT vec_id * 4 + copy AS ord, CAST(vec_id * 4 + copy AS STRING) AS item_id, vec_id % 20 AS entity_id,
     CASE copy WHEN 1 THEN xor(hash, (1::BIGINT << CAST(vec_id % 13 AS INT)) - 1)

@@ -391,12 +391,13 @@ coverage AS (
 center AS (
   SELECT entity_id, floor(2 * 6371000 * asin(sqrt(power(sin(radians(city_lat - lat) / 2), 2)
   + cos(radians(lat)) * cos(radians(city_lat)) * power(sin(radians(city_lon - lon) / 2), 2))) + 0.5) AS m FROM entities),
+linked AS (SELECT *, '{profile.KNOWLEDGE_PAGE}' || entity_id || '#' AS kb FROM entities),
 facts AS (
-  SELECT entity_id, 1 AS branch, 1 AS item, 'founded' AS fact, inception AS value, 'knowledge_base' AS source FROM entities WHERE inception IS NOT NULL
-  UNION ALL SELECT entity_id, 1, 2, 'students', CAST(students AS STRING), 'knowledge_base' FROM entities WHERE students IS NOT NULL
-  UNION ALL SELECT entity_id, 1, 3, 'city', city_name, 'knowledge_base' FROM entities WHERE city_name IS NOT NULL
-  UNION ALL SELECT entity_id, 1, 4, 'country', country, 'knowledge_base' FROM entities WHERE country IS NOT NULL
-  UNION ALL SELECT entity_id, 1, 5, 'website', 'https://' || domain, 'knowledge_base' FROM entities WHERE domain IS NOT NULL
+  SELECT entity_id, 1 AS branch, 1 AS item, 'founded' AS fact, inception AS value, kb || 'P571' AS source FROM linked WHERE inception IS NOT NULL
+  UNION ALL SELECT entity_id, 1, 2, 'students', students || coalesce(' (' || students_year || ')', ''), kb || 'P2196' FROM linked WHERE students IS NOT NULL
+  UNION ALL SELECT entity_id, 1, 3, 'city', city_name, kb || city_property FROM linked WHERE city_name IS NOT NULL AND city_property IS NOT NULL
+  UNION ALL SELECT entity_id, 1, 4, 'country', country, kb || 'P17' FROM linked WHERE country IS NOT NULL
+  UNION ALL SELECT entity_id, 1, 5, 'website', 'https://' || domain, kb || 'P856' FROM linked WHERE domain IS NOT NULL
   UNION ALL SELECT entity_id, 2, 1, 'empty_sections', string_agg(category, ', ' ORDER BY ord), 'pipeline' FROM coverage WHERE shown = 0 GROUP BY entity_id
   UNION ALL SELECT entity_id, 3, 1, 'official_only', string_agg(category, ', ' ORDER BY ord), 'pipeline' FROM coverage WHERE total > 0 AND official GROUP BY entity_id
   UNION ALL SELECT entity_id, 4, 1, 'center_distance_m', CAST(CAST(m AS BIGINT) AS STRING), 'coordinates' FROM center WHERE m IS NOT NULL
@@ -413,9 +414,9 @@ def facts(spark, sf_dir):
     return profile.collect_facts(entities, shown, dropped)
 
 
-@query("entity_facts", _FACT_CTES + "SELECT entity_id, CAST(item AS BIGINT) AS ord, fact, value FROM facts WHERE branch = 1")
+@query("entity_facts", _FACT_CTES + "SELECT entity_id, CAST(item AS BIGINT) AS ord, fact, value, source FROM facts WHERE branch = 1")
 def entity_facts(spark, sf_dir):
-    return profile.fact_rows(adapter(spark, sf_dir, "entities")).select("entity_id", "ord", "fact", "value")
+    return profile.fact_rows(adapter(spark, sf_dir, "entities"))
 
 
 # --- audits ---------------------------------------------------------------------

@@ -238,37 +238,46 @@ def cand_web(spark, sf_dir):
 , r AS (SELECT p_partkey, entity_id, json_extract_string(body, '$.title') AS title, json_extract_string(body, '$.tags[1].name') AS tag,
     CAST(json_extract_string(body, '$.width') AS BIGINT) AS width, CAST(json_extract_string(body, '$.height') AS BIGINT) AS height,
     regexp_extract(json_extract_string(body, '$.foreign_landing_url'), '//(?:www[.])?([^/]+)', 1) AS host,
-    'CC ' || upper(json_extract_string(body, '$.license')) || coalesce(' ' || json_extract_string(body, '$.license_version'), '') AS license,
+    CASE WHEN json_extract_string(body, '$.license') <> '' THEN
+      'CC ' || upper(json_extract_string(body, '$.license')) || coalesce(' ' || json_extract_string(body, '$.license_version'), '') END AS license,
+    json_extract_string(body, '$.license_url') AS license_url, trim(json_extract_string(body, '$.creator')) AS author,
     json_extract_string(body, '$.mature') AS mature, lower(json_extract_string(body, '$.filetype')) AS ft FROM open_rows)
-SELECT p_partkey, entity_id, license, host AS source_domain, width,
+SELECT p_partkey, entity_id, license, CASE WHEN license IS NOT NULL THEN license_url END AS license_url,
+  CASE WHEN license IS NOT NULL THEN author END AS author, host AS source_domain, width,
   CASE WHEN host = 'u' || entity_id || '.kz' AND entity_id % 9 <> 0 THEN 'official' ELSE 'independent' END AS source_type
 FROM r WHERE mature = 'false' AND ft = 'jpg' AND least(width, height) >= 300 AND host NOT IN ('alamy.com', 'pinterest.com')
   AND (title LIKE 'View of Supplier%' OR tag LIKE 'supplier-%')""")
 def cand_open(spark, sf_dir):
     rows = providers.normalize_open_rows(adapter(spark, sf_dir, "open_rows"), adapter(spark, sf_dir, "entities"))
-    return rows.select("p_partkey", "entity_id", "license", "source_domain", "width", "source_type")
+    return rows.select("p_partkey", "entity_id", "license", "license_url", "author", "source_domain", "width", "source_type")
 
 
 @query("cand_commons", ctes("media_rows") + rf"""
 , r AS (SELECT *, regexp_replace(regexp_replace(title, '^File:', ''), '\.[A-Za-z0-9]+$', '') AS name,
     'View & ' || CASE WHEN c_custkey % 6 = 0 THEN 'dormitory' ELSE 'place' END AS caption FROM media_rows),
-k AS (SELECT *, lower(concat_ws(' ', name, CASE WHEN c_custkey % 8 = 0 THEN 'Maps of cities Other' ELSE 'Buildings Places' END, caption)) AS t FROM r
+k AS (SELECT *, lower(concat_ws(' ', name, replace(replace(categories, '| ', ' '), '|', ' '), caption)) AS t,
+    CASE WHEN c_custkey % 11 = 0 THEN 'Court of Supplier 00000000' || entity_id ELSE name END AS shown FROM r
   WHERE mime = 'image/jpeg' AND c_custkey % 15 <> 0 AND least(width, height) >= 300 AND c_custkey % 9 <> 0 AND c_custkey % 8 <> 0)
-SELECT entity_id, title, CASE WHEN width > 960 AND thumb_url IS NOT NULL THEN thumb_url ELSE replace(url, '?utm_source=z', '') END AS image_url,
-  CASE WHEN origin = 'city' THEN 'city' WHEN contains(t, 'dormitor') THEN 'dormitory' WHEN contains(t, 'librar') THEN 'library'
+SELECT entity_id, title AS file_title, shown AS title, CASE WHEN width > 960 AND thumb_url IS NOT NULL THEN thumb_url ELSE replace(url, '?utm_source=z', '') END AS image_url,
+  CASE WHEN origin = 'city' THEN 'city' WHEN c_custkey % 7 = 3 AND entity_id % 3 = 1 THEN 'sports' WHEN c_custkey % 7 = 3 AND entity_id % 3 = 2 THEN 'dormitory'
+    WHEN contains(t, 'dormitor') OR contains(t, 'hostel') THEN 'dormitory' WHEN contains(t, 'librar') THEN 'library' WHEN contains(t, 'sport') THEN 'sports'
     WHEN contains(t, 'student') THEN 'student_life' ELSE 'campus' END AS category_hint,
   origin = 'category' AS commons_category, origin = 'depicts' AS depicts, origin = 'article' OR c_custkey % 7 = 0 AS used_on_wikipedia,
-  origin <> 'city' AND ' ' || lower(name) || ' ' LIKE '% supplier 00000000' || entity_id || ' %' AS page_mentions_name,
+  origin <> 'city' AND (' ' || lower(name) || ' ' || lower(shown) || ' ') LIKE '% supplier 00000000' || entity_id || ' %' AS page_mentions_name,
   CASE WHEN lat IS NOT NULL THEN lat WHEN c_custkey % 4 = 1 THEN 12.5 END::DOUBLE AS lat,
-  CASE WHEN c_custkey % 3 = 0 THEN '2014-06-09' ELSE '2019-11-02' END AS date_value, CASE WHEN c_custkey % 3 = 0 THEN 'taken' ELSE 'uploaded' END AS date_kind,
-  'Someone' AS author
+  CASE WHEN c_custkey % 3 = 0 THEN '2014-06-09' WHEN c_custkey % 4 = 1 THEN '2017-03-01' ELSE '2019-11-02' END AS date_value,
+  CASE WHEN c_custkey % 3 = 0 THEN 'taken' ELSE 'uploaded' END AS date_kind, license_name,
+  CASE WHEN license_name IS NOT NULL THEN license_url END AS license_url, CASE WHEN license_name IS NOT NULL THEN 'Someone' END AS author
 FROM k""")
 def cand_commons(spark, sf_dir):
-    files = adapter(spark, sf_dir, "media_rows")
+    files, entities = adapter(spark, sf_dir, "media_rows"), adapter(spark, sf_dir, "entities")
     article = files.filter("c_custkey % 7 = 0").select("entity_id", F.upper(F.replace("title", F.lit(" "), F.lit("_"))).alias("title"))
-    rows = providers.normalize_media_rows(files, adapter(spark, sf_dir, "entities"), article)
-    return rows.select("entity_id", "title", "image_url", "category_hint", "commons_category", "depicts", "used_on_wikipedia",
-                       "page_mentions_name", "lat", "date_value", "date_kind", "author")
+    # Two thirds of the entities have a chosen subcategory that names a section, all have one that names none.
+    named = F.when(F.col("entity_id") % 3 == 1, "Sports clubs").when(F.col("entity_id") % 3 == 2, "Old hostels")
+    relevant = files.select("entity_id").distinct().select("entity_id", F.explode(F.array_compact(F.array(named, F.lit("Places")))).alias("category"))
+    rows = providers.normalize_media_rows(files, entities, article, relevant)
+    return rows.select("entity_id", "file_title", "title", "image_url", "category_hint", "commons_category", "depicts", "used_on_wikipedia",
+                       "page_mentions_name", "lat", "date_value", "date_kind", "license_name", "license_url", "author")
 
 
 @query("obs_parse", ctes("observation_bodies") + r"""

@@ -77,7 +77,9 @@ def normalize_open_rows(rows: DataFrame, entities: DataFrame, body: str = "body"
         F.trim("r.foreign_landing_url").alias("source_page_url"), F.col("host").alias("source_domain"),
         F.lit("openverse").alias("provider"), F.nullif("r.title", F.lit("")).alias("title"), "source_type",
         (F.col("source_type") == "official").alias("official_domain"), F.lit(True).alias("page_mentions_name"),
-        license_name.alias("license"), F.col("r.width").alias("width"), F.col("r.height").alias("height"),
+        license_name.alias("license"), F.when(license_name.isNotNull(), _text(F.col("r.license_url"))).alias("license_url"),
+        F.when(license_name.isNotNull(), _text(F.col("r.creator"))).alias("author"),
+        F.col("r.width").alias("width"), F.col("r.height").alias("height"),
     )
 
 
@@ -90,10 +92,12 @@ def _without_tracking(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"(?<=[?&])utm_[^&#]*(?:&|(?=#|$))", ""), r"[?&](?=#|$)", "")
 
 
-def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: DataFrame) -> DataFrame:
+def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: DataFrame, relevant: DataFrame) -> DataFrame:
     """Encyclopedic media files: photos on the media host, large enough, not a logo, map or document.
 
-    ``article_files`` (entity_id, title) are files used in the entity's article, whatever the origin of the row.
+    ``article_files`` (entity_id, title) are files used in the entity's article, whatever the origin of the row;
+    ``relevant`` (entity_id, category) the few subcategories chosen for it: the first of a file's categories that is one
+    of them and names a section gives the hint before the text does. The title is the object's name, else the file's.
     """
     host = url_host(F.col("description_url"))
     side = F.least(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)))
@@ -102,21 +106,29 @@ def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: D
     rows = rows.withColumns({
         "name": F.regexp_replace(F.regexp_replace("title", "^File:", ""), r"(?i)\.[a-z0-9]+$", ""),
         "caption": F.substring(strip_html(F.col("description_html")), 1, 300),
-        "filed": F.array_join(F.transform(F.split(F.coalesce("categories", F.lit("")), r"\|"), F.trim), " "),
-    }).filter(~is_non_photo(F.concat_ws(" ", "name", "filed")))
+        "filed_in": F.transform(F.split(F.coalesce(strip_html(F.col("categories")), F.lit("")), r"\|"), lambda c: F.trim(c)),
+    }).withColumn("filed", F.array_join("filed_in", " ")).filter(~is_non_photo(F.concat_ws(" ", "name", "filed")))
     used = article_files.select("entity_id", file_key(F.col("title")).alias("_key")).distinct().withColumn("_used", F.lit(True))
     rows = rows.withColumn("_key", file_key(F.col("title"))).join(used, ["entity_id", "_key"], "left")
-    rows = rows.join(entity_needles(entities), "entity_id")
-    hint = category_hint(F.concat_ws(" ", "name", "filed", "caption"), config.CATEGORY_KEYWORDS, config.HINT_ORDER)
+    chosen = relevant.groupBy("entity_id").agg(F.collect_set("category").alias("_chosen"))
+    rows = rows.join(entity_needles(entities), "entity_id").join(chosen, "entity_id", "left")
+    hinted = lambda text: category_hint(text, config.CATEGORY_KEYWORDS, config.HINT_ORDER)
+    from_category = F.get(F.filter(F.transform("filed_in", lambda c: F.when(
+        F.coalesce(F.array_contains("_chosen", c), F.lit(False)), hinted(c))), lambda h: h.isNotNull()), F.lit(0))
+    hint = F.coalesce(from_category, hinted(F.concat_ws(" ", "name", "filed", "caption")))
     original, thumb = _without_tracking(F.col("url")), _without_tracking(F.col("thumb_url"))
     large = (F.col("width") > IMAGE_WIDTH) & F.col("thumb_url").isNotNull()
     gps_lat, gps_lon = F.col("gps_lat").try_cast("double"), F.col("gps_lon").try_cast("double")
     gps = F.when(valid_gps(gps_lat, gps_lon), F.struct(gps_lat.alias("lat"), gps_lon.alias("lon")))
     point = F.when(F.col("lat").isNotNull(), F.struct("lat", "lon")).otherwise(gps)
-    taken, uploaded = iso_date(F.col("date_original")), iso_date(F.col("uploaded_at"))
-    named = mentions_entity(F.concat_ws(" ", "name", "caption"), F.col("needle_names"), F.col("needle_aliases"))
+    taken = iso_date(F.col("date_original"))
+    uploaded = F.coalesce(iso_date(F.col("date_time")), iso_date(F.col("uploaded_at")))
+    shown = F.coalesce(_text(strip_html(F.col("object_name"))), F.col("name"))
+    named = mentions_entity(F.concat_ws(" ", shown, "name", "caption"), F.col("needle_names"), F.col("needle_aliases"))
+    licensed = _text(strip_html(F.col("license_name")))
     return rows.select(
-        "entity_id", "title", "origin", F.when(large, thumb).otherwise(original).alias("image_url"),
+        "entity_id", F.col("title").alias("file_title"), shown.alias("title"), "origin",
+        F.when(large, thumb).otherwise(original).alias("image_url"),
         F.when(large, F.replace(thumb, F.lit(f"/{IMAGE_WIDTH}px-"), F.lit(f"/{THUMB_WIDTH}px-"))).otherwise(original).alias("thumb_url"),
         F.col("description_url").alias("source_page_url"), F.lit(MEDIA_HOST).alias("source_domain"), "caption",
         F.when(F.col("origin") == "city", "city").otherwise(hint).alias("category_hint"),
@@ -125,7 +137,8 @@ def normalize_media_rows(files: DataFrame, entities: DataFrame, article_files: D
         ((F.col("origin") != "city") & named).alias("page_mentions_name"), F.lit("encyclopedic").alias("source_type"),
         point["lat"].alias("lat"), point["lon"].alias("lon"), F.coalesce(taken, uploaded).alias("date_value"),
         F.when(taken.isNotNull(), "taken").when(uploaded.isNotNull(), "uploaded").alias("date_kind"),
-        "license_name", F.substring(strip_html(F.col("artist")), 1, 120).alias("author"), "width", "height",
+        licensed.alias("license_name"), F.when(licensed.isNotNull(), F.col("license_url")).alias("license_url"),
+        F.when(licensed.isNotNull(), F.substring(strip_html(F.col("artist")), 1, 120)).alias("author"), "width", "height",
     )
 
 
