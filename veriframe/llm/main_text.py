@@ -19,7 +19,7 @@ FIT_PAGES = 2_000
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,8000}\"|'[^']{0,8000}')*+)>"
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
@@ -108,6 +108,7 @@ def parse(page: str, learning: bool = False) -> tuple[list[Run], bool]:
 
 def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool, set[int], Counter[int]]:
     stack: list[tuple[str, int]] = []  # name, where a left-out element begins or -1
+    blocks: list[str] = []  # the block elements of the stack
     depth: Counter[str] = Counter()
     out: list[tuple[str, int, str]] = []  # left-out elements open now
     runs, run, at, has_scope, wrong = [], Run("body", False), 0, False, set()
@@ -116,6 +117,8 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
     def pop() -> None:
         name, begin = stack.pop()
         depth[name] -= 1
+        if name in BLOCK:
+            blocks.pop()
         if begin >= 0:
             out.pop()
 
@@ -124,8 +127,7 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
         scoped = depth["article"] + depth["main"] > 0
         if run.parts or run.tags or run.zones:
             runs.append(run)
-        inner = next((n for n, _ in reversed(stack) if n in BLOCK), "body")
-        run = Run(inner, scoped)
+        run = Run(blocks[-1] if blocks else "body", scoped)
 
     size, find = len(page), TAG.search
     while at < size:
@@ -195,6 +197,7 @@ def _pass(page: str, learning: bool, around: set[int]) -> tuple[list[Run], bool,
         stack.append((name, m.start() if kind else -1))
         depth[name] += 1
         if name in BLOCK:
+            blocks.append(name)
             border()
     border()
     return runs, has_scope, wrong, forms
