@@ -25,7 +25,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-_HEX, _ALNUM = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9A-Za-z]+")
+_HEX_DIGITS, _SIGNS = frozenset("0123456789abcdefABCDEF"), frozenset("+/_=-")
 
 #: Strings that look random and are not secret: UUIDs and runs of words joined by signs.
 ALLOWED = (
@@ -39,25 +39,24 @@ EXAMPLE, PART = re.compile(r"example|sample|placeholder|changeme|dummy", re.I),
 _GAIN = [0.0, *(n * log2(n) for n in range(1, WINDOW + 1))]
 
 
-def char_class(text: str) -> str:
-    return "hex" if _HEX.fullmatch(text) else "alnum" if _ALNUM.fullmatch(text) else "base64"
-
-
 def entropy_ranges(text: str) -> Iterator[tuple[int, int]]:
-    """Unions of the windows of one candidate string whose entropy reaches its class's threshold.
+    """Unions of the windows of one candidate string whose entropy reaches the threshold of the window's own class.
 
-    The sum of n log n over character counts changes by two characters as the window moves on by one.
+    As the window moves on by one, the sum of n log n over character counts changes by two characters, and so do the
+    counts of signs and of letters that no hex number has, which tell the class: a key is found beside a prefix as well.
     """
     # Entropy H = log2(W) - total / W, so H >= t means total <= W (log2(W) - t).
-    most = WINDOW * (log2(WINDOW) - THRESHOLDS[char_class(text)]) + 1e-9
+    hex_most, alnum_most, base64_most = (WINDOW * (log2(WINDOW) - THRESHOLDS[c]) + 1e-9 for c in ("hex", "alnum", "base64"))
     counts: dict[str, int] = {}
-    total, begin, end = 0.0, -1, -1
+    total, begin, end, signs, letters = 0.0, -1, -1, 0, 0
     for at, new in enumerate(text):
         n = counts.get(new, 0)
         total += _GAIN[n + 1] - _GAIN[n]
         counts[new] = n + 1
+        signs += new in _SIGNS
+        letters += new not in _HEX_DIGITS
         if at >= WINDOW - 1:
-            if total <= most:
+            if total <= (base64_most if signs else alnum_most if letters else hex_most):
                 first = at - WINDOW + 1
                 if first > end:
                     if begin >= 0:
@@ -68,6 +67,8 @@ def entropy_ranges(text: str) -> Iterator[tuple[int, int]]:
             n = counts[old]
             total += _GAIN[n - 1] - _GAIN[n]
             counts[old] = n - 1
+            signs -= old in _SIGNS
+            letters -= old not in _HEX_DIGITS
     if begin >= 0:
         yield begin, end
 
