@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from math import log2
 
 import numpy as np
@@ -41,7 +42,8 @@ def slow_entropy(text):
     for a in range(len(text) - secret_scan.WINDOW + 1):
         w = text[a : a + secret_scan.WINDOW]
         h = -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
-        if h >= secret_scan.THRESHOLDS[secret_scan.char_class(text)] - 1e-9:
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "alnum" if re.fullmatch("[0-9A-Za-z]+", w) else "base64"
+        if h >= secret_scan.THRESHOLDS[kind] - 1e-9:
             flags[a : a + len(w)] = [True] * len(w)
     return [m.span() for m in re.finditer("1+", "".join("01"[f] for f in flags))]
 
@@ -71,6 +73,85 @@ def test_window_entropy_by_counts_equals_entropy_from_scratch():
             assert merged == slow_entropy(text)
 
 
+def test_a_key_is_found_beside_a_prefix():
+    key = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822C"
+    for text in (key, "id_" + key, "AB-CD-" + key.lower() + "-" + key):
+        spans = secret_scan.entropy_spans(text, [])
+        assert any(text[a:b] in (key, key.lower()) or key in text[a:b] for a, _, b in spans), text
+
+
+def slow_query_spans(text):
+    """All spans of the query by plain loops: base patterns, then windows between marked examples of what isn't allowed."""
+    base, found = slow_base(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        at = 0
+        for part in re.split(r"([+/_=-])", m[0]):  # a marked part cuts the candidate
+            if re.search("example|sample|placeholder|changeme|dummy", part, re.I):
+                found.append((m.start() + at, m.start() + at + len(part), True))
+            at += len(part)
+        cuts = [m.start(), *(x for a, b, mark in found if mark and m.start() <= a < m.end() for x in (a, b)), m.end()]
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            string = text[a:b]
+            if len(string) >= 20 and not any(rule.fullmatch(string) for rule in secret_scan.ALLOWED):
+                found += [(a + x, a + y, False) for x, y in slow_entropy(string)]
+    spans = base + [(a, 3, b) for a, b, mark in found if not mark and not any(s <= a and b <= e for s, _, e in base)]
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_all_spans_equal_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    signs = "abcdefXYZ0123456789-_/+= "
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), n)) for n in (60, 200, 900) for _ in range(12)]
+    texts += [t[:30] + "-example-" + t[30:80].replace(" ", "k") + "/sample_" + t[80:] for t in texts if len(t) > 150]
+    texts += ["123e4567-e89b-12d3-a456-426614174000", "id_9F86D081884C7D659A2FEAA0C55AD015", "the_quick_brown_fox_jumps_over"]
+    rows = secret_scan.find_secrets(docs_frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.spans for r in rows} == {i: slow_query_spans(t) for i, t in enumerate(texts)}
+
+
+def test_many_languages(spark):
+    """More languages than any fixed number of classes; each is told apart by its own letters."""
+    docs = [(10 * i + k, chr(0x4E00 + 7 * i) * 3 + " " + chr(0x4E01 + 7 * i) * 2, f"l{i}") for i in range(700) for k in range(2)]
+    out = language_id.identify(docs_frame(spark, docs)).collect()
+    learned = {r.doc_id // 10 for r in out if not r.held_out}
+    assert all(r.lang_pred == f"l{r.doc_id // 10}" for r in out if r.doc_id // 10 in learned) and len(learned) > 600
+
+
+def test_out_of_place_distance_equals_plain_loops(spark):
+    """Profiles, ranks, distance and ties by dictionaries."""
+    rng = np.random.default_rng(4)
+    text = lambda pool: " ".join("".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 7))) for _ in range(30))
+    docs = [(i, text(pool), lang) for i, (pool, lang) in enumerate([("abcde", "x"), ("cdefg", "y"), ("ABCÉé", "z")] * 8)]
+    docs += [(100, "abc", None), (101, "", "x"), (102, None, "y"), (103, "123", "z"), (104, "a b", "x")]
+
+    def grams(t):
+        words = "".join(c.lower() if c.isalpha() else " " for c in t or "").split()
+        out = {}
+        for w in words:
+            padded = f"_{w}_"
+            for g in [*w, *(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))]:
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    code = lambda g: sum((1 if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranked = lambda c: [g for g in sorted(c, key=lambda g: (-c[g], code(g)))][: language_id.PROFILE]
+    held = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    profiles = {}
+    for i, t, lang in docs:
+        if i not in held and lang and t is not None:
+            for g, n in grams(t).items():
+                profiles.setdefault(lang, {})[g] = profiles.setdefault(lang, {}).get(g, 0) + n
+    places = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in profiles.items()}
+    wanted = {}
+    for i, t, _ in docs:
+        top = ranked(grams(t))
+        away = {lang: sum(abs(p[g] - k) if g in p else language_id.PROFILE for k, g in enumerate(top)) for lang, p in places.items()}
+        best = min(sorted(away), key=lambda lang: away[lang])
+        wanted[i] = (best, 1 - away[best] / (language_id.PROFILE * len(top))) if top else ("und", 0.0)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs_frame(spark, docs)).collect()}
+    assert {i: x[0] for i, x in out.items()} == {i: x[0] for i, x in wanted.items()}
+    assert all(abs(out[i][1] - wanted[i][1]) < 1e-9 for i in out)
+
+
 def test_redaction_touches_secrets_only(spark):
     docs = docs_frame(spark, [(0, 'a token = "abcdef123" b', "en"), (1, "clean", "en"), (2, None, None)])
     out = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
@@ -174,6 +255,17 @@ def test_page_fixtures(name):
     assert main_text.main_text(page, {}) == text
 
 
+def test_attributes_of_any_size_and_deep_nesting():
+    import time
+
+    for quote in ('"', "'"):
+        page = f"<html><body><article><p title={quote}{'x>y ' * 300_000}{quote}>Text here</p></article></body></html>"
+        assert main_text.main_text(page, {}) == "Text here"
+    start = time.time()
+    deep = "<article>" + "<b><p>" * 30_000 + "deep words" + "</p></b>" * 30_000 + "</article>"
+    assert main_text.main_text(deep, {}) == "deep words" and time.time() - start < 20
+
+
 def test_pages_of_the_table(spark):
     import html
 

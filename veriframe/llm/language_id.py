@@ -14,9 +14,8 @@ from veriframe.llm.shared import hash_sample, limit_arrow_batches
 
 ORDERS = (1, 2, 3)
 PROFILE = 400
-#: Documents that each language's profile is learned from, at most about; the languages are the most frequent ones.
+#: Documents that each language's profile is learned from, at most about.
 DOCS_PER_LANGUAGE = 2_000
-LANGUAGES = 500
 UNKNOWN = "und"
 _BITS = 21  # a code point
 _EDGE = 1  # stands for what separates words
@@ -75,15 +74,12 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, size: int = PR
     """Profiles {language: n-grams in order of rank} from rows that aren't held out and have a language.
 
     Each language's documents are sampled by hash of doc_id down to about ``per_language``; counting is done by
-    Spark, and only ``size`` n-grams of at most LANGUAGES languages reach the driver.
+    Spark, and only ``size`` n-grams per language, a number each, reach the driver and the tasks.
     """
     limit_arrow_batches(docs.sparkSession)
     labelled = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not totals:
-        return {}
-    total = F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], r["count"])]), F.col("lang"))
-    sample = hash_sample(labelled.where(F.col("lang").isin([r["lang"] for r in totals])), "doc_id", total, per_language)
+    totals = labelled.groupBy("lang").agg(F.count("*").alias("_total"))
+    sample = hash_sample(labelled.join(totals, "lang"), "doc_id", F.col("_total"), per_language).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, Counter] = {}
