@@ -144,6 +144,12 @@ def test_incremental_scoring_equals_batch(spark, tmp_path):
     path = scoring_stream.score_stream(stream, candidates, entities, spark, AS_OF_YEAR, path=str(tmp_path / "out"))
     done = scoring_stream.finish(candidates, entities, spark, path, AS_OF_YEAR)
     assert rows(done) == rows(scored(spark, SF).select(*done.columns))
+    early = scoring_stream.earlier_ids(spark, path, 2, [3])
+    plan = early._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0] and "ReadSchema: struct<cand_id:string>" in plan
+    assert 0 < early.count() < spark.read.parquet(path).where("part < 2").count() / 8
+    nothing = scoring_stream.finish(candidates, entities, spark, str(tmp_path / "nowhere"), AS_OF_YEAR)
+    assert nothing.count() == candidates.select("cand_id").distinct().count()
 
 
 def test_sliding_limit_equals_loop(spark):

@@ -23,6 +23,7 @@ BLOCK = 2048  # members of one bucket that share a join key
 ROUNDS = 6  # of the greedy dedup, before what is still open is settled by component
 COMPONENT = 200_000  # rows (items and links) of a component that one task settles in order
 SPARE_BANDS = 3  # untouched bands in a key: about 21 bits for distance 6
+SPARE_BANDS_KEYED = 2  # beside a key such as the entity: 16 bits, and a third of the copies
 
 
 def near_pairs(classes: DataFrame, keys: list[str], distance: int) -> DataFrame:
@@ -31,7 +32,7 @@ def near_pairs(classes: DataFrame, keys: list[str], distance: int) -> DataFrame:
     ``classes`` holds distinct (keys, hash) rows. Exact: no bucket is capped or sampled. The layout is the same at every
     size; buckets that grow are cut in blocks.
     """
-    masks = clean_band_masks(distance, distance + SPARE_BANDS)
+    masks = clean_band_masks(distance, distance + (SPARE_BANDS_KEYED if keys else SPARE_BANDS))
     slots = classes.select(*keys, "hash", F.explode(masked_keys(F.col("hash"), masks)).alias("k")).select(
         *keys, "hash", "k.slot", "k.bits"
     )
