@@ -85,26 +85,34 @@ def search(variants: DataFrame, terms: DataFrame, index: DataFrame, k: int = con
     the best variant counts. Entries with all words are looked for through the variant's rarest word. For any word, the
     most common one gives its k best entries only: an entry below these can come in by another word alone.
     """
-    asked = variants.select("variant").distinct().select("variant", F.array_distinct(F.split("variant", " ")).alias("words"))
-    asked = cut_lineage(asked.select("variant", F.size("words").alias("total"), F.explode("words").alias("word")))
-    values = rated_entries(terms, index)
+    texts = variants.select("variant").distinct().select(
+        F.monotonically_increasing_id().alias("v"), "variant", F.array_distinct(F.split("variant", " ")).alias("words"))
+    texts = cut_lineage(texts)  # fixes the numbers
+    asked = texts.select("v", F.size("words").alias("total"), F.explode("words").alias("word"))
+    values = cut_lineage(rated_entries(terms, index))
     weights = word_weights(asked, values.select(F.col("found").alias("word")))
     scored = cut_lineage(weights.join(values, "found").groupBy("word", "qid").agg(F.sum(F.col("weight") * F.col("value")).alias("s")))
     cost = scored.groupBy("word").agg(F.count(F.lit(1)).alias("cost"))
     costs = cut_lineage(asked.join(cost, "word", "left").na.fill(0, ["cost"]))
 
-    def summed(pairs: DataFrame) -> DataFrame:
-        every = pairs.join(asked, "variant").join(scored, ["word", "qid"])
-        return every.groupBy("variant", "total", "qid").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
-
-    rarest = costs.groupBy("variant").agg(F.min(F.struct("cost", "word")).alias("r")).select("variant", F.col("r.word").alias("word"))
-    whole = cut_lineage(summed(rarest.join(scored, "word").select("variant", "qid")).where("n = total"))
-    rest = costs.join(whole.select("variant").distinct(), "variant", "left_anti").where("cost > 0 AND total > 1")
-    common = rest.groupBy("variant").agg(F.max(F.struct("cost", "word")).alias("r")).select("variant", F.col("r.word").alias("word"))
-    others = rest.join(common, ["variant", "word"], "left_anti").join(scored, "word").select("variant", "qid")
+    first = costs.groupBy("v", "total").agg(F.min(F.struct("cost", "word")).alias("r")).select("v", "total", F.col("r.word").alias("word"))
+    started = first.join(scored, "word").withColumnRenamed("word", "seen")
+    others = costs.select("v", "word").join(first.select("v", "word"), ["v", "word"], "left_anti")
+    more = started.where("total > 1").drop("seen").withColumnRenamed("s", "s0").join(others, "v").join(scored, ["word", "qid"])
+    several = more.groupBy("v", "total", "qid").agg((F.sum("s") + F.first("s0")).alias("s"), (F.count(F.lit(1)) + 1).alias("n"))
+    whole = cut_lineage(started.where("total = 1").select("v", "total", "qid", "s", F.lit(1).cast("bigint").alias("n")).unionByName(
+        several.where("n = total")))
+    rest = costs.join(whole.select("v").distinct(), "v", "left_anti").where("cost > 0 AND total > 1")
+    common = rest.groupBy("v").agg(F.max(F.struct("cost", "word")).alias("r")).select("v", F.col("r.word").alias("word"))
+    essential = rest.join(common, ["v", "word"], "left_anti").join(scored, "word").select("v", "total", "word", "qid", "s")
     best = top_k(scored.join(common.select("word").distinct(), "word", "left_semi"), ["word"], [F.desc(F.round("s", 6)), F.col("qid")], k, "_r")
-    leading = common.join(best, "word").select("variant", "qid")
-    either = summed(others.unionByName(leading).distinct())
-    hits = whole.unionByName(either).select("variant", "qid", F.round(F.col("s") * F.col("n"), 6).alias("score"))
-    per_norm = variants.join(hits, "variant").groupBy("norm", "qid").agg(F.max("score").alias("score"))
+    # What the other words find, with the most common one's share where it holds the entry as well, and its own best entries.
+    found = essential.groupBy("v", "qid").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
+    shared = found.join(common, "v").join(scored.withColumnRenamed("s", "more"), ["word", "qid"], "left").select(
+        "v", "qid", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"), (F.col("n") + F.col("more").isNotNull().cast("int")).alias("n"))
+    leading = common.join(best, "word").select("v", "qid", "s", F.lit(1).cast("bigint").alias("n"))
+    alone = leading.join(found, ["v", "qid"], "left_anti")
+    hits = whole.select("v", "qid", "s", "n").unionByName(shared).unionByName(alone).select(
+        "v", "qid", F.round(F.col("s") * F.col("n"), 6).alias("score"))
+    per_norm = variants.join(texts.select("v", "variant"), "variant").join(hits, "v").groupBy("norm", "qid").agg(F.max("score").alias("score"))
     return top_k(per_norm, ["norm"], [F.desc("score"), F.col("qid")], k)
