@@ -91,6 +91,14 @@ def test_repeats_of_empty_tables(spark):
     assert {(r.doc_id, bytes(r.kept), len(r.spans)) for r in suffix_dedup.remove_repeats(one).collect()} == {(1, b"x" * 10, 0), (2, b"", 0)}
 
 
+def test_long_runs_stay_small(spark):
+    texts = {1: "a" * 1_000_000, 2: " " * 399, 3: "ab" * 200_000 + "tail", 4: "\n" * 400}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: ([(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert out[1] == ([(0, 1_000_000)], b"") and out[2] == ([], b" " * 399)
+    assert out[3] == ([(0, 400_000)], b"tail") and out[4] == ([], b"\n" * 400)
+
+
 # --- op12 ------------------------------------------------------------------------------------------
 
 

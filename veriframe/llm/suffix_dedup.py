@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,12 +200,19 @@ def _places(bodies: DataFrame, size: int, level: int) -> DataFrame:
             for owner, body, mark, key in zip(*(batch[c] for c in ("owner", "body", "mark", "key"))):
                 owner, body = owner.as_py(), body.as_py()
                 found = anchored_pieces(body, size) if not level else block_pieces(body, mark.as_py(), key.as_py(), size, BLOCKS[level - 1])
-                rows = [(at, n, place, own, hashlib.md5(body[at : at + n + size - 1]).digest()) for at, n, place, own in found]
-                copies, seen = Counter(r[4] for r in rows), set()
-                for at, n, place, own, piece in rows:
-                    again = piece in seen
-                    seen.add(piece)
-                    row = (owner, at, n, place - at, None if again else own, piece, 0 if again else copies[piece])
+                rows: dict[bytes, list] = {}
+                again: list[list[int]] = []
+                for at, n, place, own in found:
+                    piece = hashlib.md5(body[at : at + n + size - 1]).digest()
+                    if piece not in rows:
+                        rows[piece] = [owner, at, n, place - at, own, piece, 1]
+                        continue
+                    rows[piece][-1] += 1
+                    if again and again[-1][1] == at:  # one row for a whole stretch: a long run of one letter is two rows
+                        again[-1][1] = at + n
+                    else:
+                        again.append([at, at + n])
+                for row in [*rows.values(), *([owner, at, end - at, 0, None, b"", 0] for at, end in again)]:
                     for column, value in zip(columns, row):
                         column.append(value)
             types = [arrow, *[pa.int64()] * 4, pa.binary(), pa.int64()]
