@@ -2,7 +2,7 @@
 
 import json
 
-from veriframe.operators import dedup
+from veriframe.operators import dedup, mentions
 from veriframe.sources import providers
 
 
@@ -74,3 +74,27 @@ def test_percentiles_of_a_hot_key_come_from_many_cells(spark):
     known = [v for v in values if v is not None]
     assert got[1].n == 3500 and abs(got[1].p50 - np.quantile(known, 0.5)) < 1e-9 and abs(got[1].p90 - np.quantile(known, 0.9)) < 1e-9
     assert (got[2].n, got[2].p50, got[2].p90) == (1, 7.0, 7.0)
+
+
+def test_provenance_keeps_rows_without_domain_or_entity(spark):
+    entities = spark.createDataFrame(
+        [(1, "Test University", ["tu"], ["t.edu"])], "entity_id long, name_en string, aliases array<string>, domains array<string>"
+    ).selectExpr("*", "name_en AS name", "name_en AS name_ru", "name_en AS name_kk", "'tu' AS alias", "'t.edu' AS domain")
+    rows = [(1, "www.t.edu", "At Test University"), (1, None, "At Test University"), (7, "x.org", "Elsewhere")]
+    web = spark.createDataFrame(rows, "entity_id long, source_domain string, title string").selectExpr(
+        "*", "'' AS caption", "'https://x/y' AS source_page_url", "'q' AS query", "'web' AS source_type")
+    got = sorted((r.entity_id, r.source_domain or "", r.source_type, r.official_domain, r.page_mentions_name)
+                 for r in mentions.apply_provenance(web, entities).collect())
+    assert got == [(1, "", "unknown", False, True), (1, "www.t.edu", "official", True, True), (7, "x.org", "independent", False, False)]
+
+
+def test_copies_never_pay_for_the_wide_search(spark, monkeypatch):
+    asked = []
+    probe = dedup.probe_pairs
+    monkeypatch.setattr(dedup, "probe_pairs", lambda q, k, flips, d: asked.append((flips, q.count())) or probe(q, k, flips, d))
+    prints = [(i * 0x9E3779B97F4A7C15 + 12345) % (1 << 63) for i in range(40)]
+    known = spark.createDataFrame([(2, h, i) for i, h in enumerate(prints)], "entity_id int, hash long, ord long")
+    uploads = [(str(i), 1, h) for i, h in enumerate(prints)] + [("two", 1, prints[3] ^ 0b11), ("six", 1, prints[4] ^ 0b111111 << 20)]
+    found = dedup.nearest_known(spark.createDataFrame(uploads, "upload_id string, entity_id int, hash long"), known)
+    assert {r.upload_id: r.distance for r in found.collect()} == {**{str(i): 0 for i in range(40)}, "two": 2, "six": 6}
+    assert asked == [(0, 2), (1, 1), (2, 0)]

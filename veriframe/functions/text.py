@@ -51,6 +51,9 @@ EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 PHONE = r"\+?\d[\d\s().-]{7,}\d"
 HANDLE = r"(?<=^|[\s(])@[\w.]{2,}"
 
+WRITTEN_DATE = r"\b(1[89]\d{2}|20\d{2})-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?"
+EMPTIED_BRACKETS, SPACES, SPACE_BEFORE_SIGN = r"\(\s*[,;]?\s*\)", r"\s+", r"\s+([,.;:])"
+
 
 def _fold_char(char: str) -> str:
     """What one character becomes: compatibility form, lower case, Kazakh letters, then no marks."""
@@ -211,15 +214,13 @@ def is_people(col: Column) -> Column:
 
 def iso_date(col: Column) -> Column:
     """First date found, with the precision it was written in ("2014-06" stays a month)."""
-    pattern = r"\b(1[89]\d{2}|20\d{2})-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?"
-    return F.nullif(F.regexp_extract(col, pattern, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(col, WRITTEN_DATE, 0), F.lit(""))
 
 
 def clip_extract(col: Column, limit: int = 1500) -> Column:
     """Tidy text cut at the last sentence end within the limit, else with an ellipsis."""
-    clean = F.regexp_replace(col, r"\(\s*[,;]?\s*\)", "")
-    clean = F.regexp_replace(clean, r"\s+", " ")
-    clean = F.trim(F.regexp_replace(clean, r"\s+([,.;:])", "$1"))
+    clean = F.regexp_replace(F.regexp_replace(col, EMPTIED_BRACKETS, ""), SPACES, " ")
+    clean = F.trim(F.regexp_replace(clean, SPACE_BEFORE_SIGN, "$1"))
 
     def shorten(cut: Column) -> Column:
         # The text up to the last ". ", "! " or "? "; greedy, so the last one wins.

@@ -79,15 +79,18 @@ def classify_domains(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def apply_provenance(candidates: DataFrame, entities: DataFrame) -> DataFrame:
-    """Official flag and mention flag of web rows (title, caption, page URL, the query that found them)."""
+    """Official flag and mention flag of web rows (title, caption, page URL, the query that found them).
+
+    Every row stays: without a domain its source is unknown, without a known entity it names none.
+    """
     rows = candidates.withColumn("_host", strip_www(F.col("source_domain")))
     classes = classify_domains(rows.select("entity_id", F.col("_host").alias("host")), entities)
     joined = rows.drop("source_type").join(
-        classes.withColumnRenamed("host", "_host"), ["entity_id", "_host"]
-    ).join(entity_needles(entities), "entity_id")
+        classes.withColumnRenamed("host", "_host"), ["entity_id", "_host"], "left"
+    ).join(entity_needles(entities), "entity_id", "left").withColumn("source_type", F.coalesce("source_type", F.lit("unknown")))
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("caption", F.lit("")), "source_page_url")
     official = F.col("source_type") == "official"
-    named = mentions_entity(text, F.col("needle_names"), F.col("needle_aliases"), page=True)
+    named = F.coalesce(mentions_entity(text, F.col("needle_names"), F.col("needle_aliases"), page=True), F.lit(False))
     return joined.withColumns({
         "official_domain": official,
         "page_mentions_name": named | (official & F.coalesce(F.col("query").contains("site:"), F.lit(False))),

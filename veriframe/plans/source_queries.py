@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriframe import config
 from veriframe.plans.adapters import ADAPTERS, adapter, ctes
 from veriframe.plans.registry import query
 from veriframe.sources import knowledge, providers
@@ -145,7 +146,7 @@ firsts AS (
 classes AS (SELECT qid, list(json_extract_string(value, '$.id')) AS ids FROM claims WHERE property = 'P31' GROUP BY qid),
 member AS (
   SELECT r.qid, CASE WHEN list_contains(ids, 'Q3918') THEN true WHEN len(ids) > 0 AND NOT list_contains(ids, 'Q5341295') THEN false
-    ELSE regexp_matches(concat_ws('|', label_en, label_ru, description), '(?i)universit|университет|higher education|высшее учебное|вуз\\b') END AS qualifies
+    ELSE regexp_matches(concat_ws('|', label_en, label_ru, description), '""" + config.HIGHER_EDUCATION_TEXT.replace("(?iu)", "(?i)") + """') END AS qualifies
   FROM raw_entities r LEFT JOIN classes USING (qid))
 """
 

@@ -9,6 +9,7 @@ from veriframe import config
 from veriframe.functions.text import let, match_key
 from veriframe.functions.urls import url_host
 
+# --- fixed values: names of the result fields --------------------------------------
 BINDING_FIELDS = [
     "item", "nameEn", "nameRu", "nameKk", "altsEn", "altsRu", "altsKk", "shortName", "countryLabel", "countryCode",
     "city", "coord", "website", "commons", "logo", "inception", "students", "sitelinks", "wpEn", "wpRu", "wpKk",
