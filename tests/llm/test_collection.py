@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-import __spark_entry__ as entry
 from veriframe.llm import conversation_trie, reversed_search, suffix_dedup
 
 
@@ -221,16 +220,3 @@ def test_words_of_long_texts(monkeypatch):
     monkeypatch.setattr(reversed_search, "SLICE", 7)
     text = "Ab, cd efghijklmnop  Q é" * 20 + " " * 50
     assert [w for s in reversed_search.word_slices(text.encode()) for w in s] == [t.encode() for t in terms(text)]
-
-
-def test_queries_equal_their_sql(spark):
-    import duckdb
-    from tools.check_oracles import normal
-
-    con = duckdb.connect()
-    for table in ("documents", "conversations", "benchmark"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
-    for name in ("op11_suffix_dedup", "op12_conversation_trie", "op13_reversed_search"):
-        frame = entry.queries()[name](spark, "/root/testdata/sf0.001")
-        result = con.execute(entry.oracle_sql()[name])
-        assert normal(frame.columns, [tuple(r) for r in frame.collect()]) == normal([d[0] for d in result.description], result.fetchall())
