@@ -1,12 +1,14 @@
 """Fuzzy names against plain loops."""
 
 import random
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from veriframe.operators import fuzzy
 
 
+@lru_cache(maxsize=None)
 def osa(a, b):
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -56,8 +58,8 @@ def test_distance_equals_the_recurrence(spark):
 
 def test_near_texts_are_complete(spark):
     rng = random.Random(6)
-    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 24))) for _ in range(500)})
-    typed = sorted({edited(rng, w) for w in words for _ in range(3)} - {""})
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 24))) for _ in range(300)})
+    typed = sorted({edited(rng, w) for w in words for _ in range(2)} - {""})
     found = fuzzy.near_texts(spark.createDataFrame([(t,) for t in [*typed, "", None]], "a string"),
                              spark.createDataFrame([(w,) for w in [*words, words[0], ""]], "b string"))
     got = {(r.a, r.b): r.distance for r in found.collect()}
@@ -80,7 +82,7 @@ def test_matches_equal_all_pairs(spark):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 11))) for _ in range(120)] + ["university", "state"]
     names = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4))) for _ in range(2000)})
-    asked = sorted({" ".join(edited(rng, w, "abcde") for w in rng.choice(names).split()) for _ in range(60)}
+    asked = sorted({" ".join(edited(rng, w, "abcde") for w in rng.choice(names).split()) for _ in range(30)}
                    | {"newyork state", "new york state", "harvrad univrsity", "zzzzz"})
     asked = [" ".join(a.split()) for a in asked if a.split()]
     names += ["new york state", "newyork", "harvard", "kazakh british technical"]

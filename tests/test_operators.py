@@ -77,7 +77,7 @@ def test_long_chains_take_no_more_rounds(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_round", lambda *a: rounds.append(1) or whole(*a))
     for size, most in ((200_000, dedup.ROUNDS), (5, 10_000)):  # with small components, rounds have to settle the chain
         if size == 5:
-            items = items.where("ord < 60")
+            items = items.where("ord < 15")
         monkeypatch.setattr(dedup, "COMPONENT", size)
         rounds.clear()
         got = {(r.entity_id, r.item_id): r.twin_id for r in dedup.dedup_near(items).collect()}
