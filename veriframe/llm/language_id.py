@@ -79,7 +79,8 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, size: int = PR
     limit_arrow_batches(docs.sparkSession)
     labelled = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     totals = labelled.groupBy("lang").agg(F.count("*").alias("_total"))
-    sample = hash_sample(labelled.join(totals, "lang"), "doc_id", F.col("_total"), per_language).select("lang", "text")
+    # One row per language: far less than its profile, which every task holds anyway. So texts are not shuffled by language.
+    sample = hash_sample(labelled.join(F.broadcast(totals), "lang"), "doc_id", F.col("_total"), per_language).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, Counter] = {}
