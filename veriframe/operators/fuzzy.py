@@ -157,16 +157,22 @@ def _probes(texts: DataFrame, name: str, longer: int) -> DataFrame:
     return rows.select(name, "length", "i", F.explode(F.array_distinct(F.array_compact(parts))).alias("part")).distinct()
 
 
+def near_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): all pairs of ``near_texts`` and some that are further apart, for callers with a test of their own."""
+    a, b = left.where("a <> ''").select("a").distinct(), right.where("b <> ''").select("b").distinct()
+    on = ["length", "i", "part"]
+    pairs = _probes(a, "a", 0).join(_segments(b, "b"), on).select("a", "b").unionByName(
+        _probes(b, "b", 1).join(_segments(a, "a"), on).select("a", "b"))
+    return pairs.distinct()
+
+
 def near_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, distance) of all pairs of a text of ``left`` (a) and of ``right`` (b) within a quarter of the longer length.
 
     Complete: the longer text of a pair is cut in segments, the shorter one is looked up by where they may stand. Empty
     texts are close to nothing.
     """
-    a, b = left.where("a <> ''").select("a").distinct(), right.where("b <> ''").select("b").distinct()
-    on = ["length", "i", "part"]
-    pairs = _probes(a, "a", 0).join(_segments(b, "b"), on).select("a", "b").unionByName(
-        _probes(b, "b", 1).join(_segments(a, "a"), on).select("a", "b")).distinct()
+    pairs = near_candidates(left, right)
     reached = F.floor(F.greatest(F.length("a"), F.length("b")) / LETTERS_PER_EDIT)
     return pairs.withColumn("distance", osa_distance(F.col("a"), F.col("b"))).where(F.col("distance") <= reached)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veriframe import config
 from veriframe.functions.text import fold_text
-from veriframe.operators.fuzzy import near_texts
+from veriframe.operators.fuzzy import near_candidates
 from veriframe.operators.ranking import top_k
 from veriframe.session import cut_lineage
 
@@ -48,8 +48,8 @@ def word_weights(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     longer = F.length("found") / (F.length("found") + PREFIX_FADE * (F.length("found") - F.length("word")))
     begun = asked.join(starts, "word").select("word", "found", (PREFIX_WEIGHT * longer).alias("weight"))
     edits = F.least(F.floor(F.length("word") * FUZZY_SHARE + 0.5), F.lit(MAX_EDITS))
-    near = near_texts(asked.where(F.length("word") >= MIN_FUZZY_WORD).select(F.col("word").alias("a")),
-                      vocabulary.select(F.col("found").alias("b"))).select(F.col("a").alias("word"), F.col("b").alias("found"))
+    near = near_candidates(asked.where(F.length("word") >= MIN_FUZZY_WORD).select(F.col("word").alias("a")),
+                           vocabulary.select(F.col("found").alias("b"))).select(F.col("a").alias("word"), F.col("b").alias("found"))
     near = near.withColumn("d", F.levenshtein("word", "found")).where((F.col("d") > 0) & (F.col("d") <= edits) & ~n.startswith(w))
     typed = near.select("word", "found", (FUZZY_WEIGHT * F.length("found") / (F.length("found") + F.col("d"))).alias("weight"))
     return equal.unionByName(begun).unionByName(typed)
