@@ -68,13 +68,24 @@ def sliding_limit(calls: DataFrame, limit: int, window_s: int) -> DataFrame:
 
     Time is cut into slices as long as the window. A slice also receives the calls of the slice before it, so the
     preceding window of a call is always inside its own partition, and a very busy client is spread over its slices.
+    Counts are differences of running ones, of the calls up to this one and of those before its window, where it puts a
+    mark: a frame that slides would count every window anew.
     """
-    second = F.expr("unix_micros(cast(ts as timestamp))")
-    rows = calls.withColumn("_us", second).withColumn("_slice", F.floor(F.col("_us") / (window_s * 1_000_000)))
-    both = rows.withColumn("_part", F.explode(F.array(F.col("_slice"), F.col("_slice") + 1)))
-    window = Window.partitionBy("client", "_part").orderBy("_us").rangeBetween(-window_s * 1_000_000, 0)
-    counted = both.withColumn("in_window", F.count(F.lit(1)).over(window)).filter(F.col("_part") == F.col("_slice"))
-    return counted.withColumn("allowed", F.col("in_window") <= limit).drop("_us", "_slice", "_part")
+    width = window_s * 1_000_000
+    mark, own, later = 0, 1, 2
+    rows = calls.select("client", F.struct(*calls.columns).alias("_call"), F.expr("unix_micros(cast(ts as timestamp))").alias("_us"))
+    rows = rows.filter("_us is not null").withColumn("_role", F.explode(F.array(*[F.lit(r) for r in (mark, own, later)])))
+    role, us = F.col("_role"), F.col("_us")
+    placed = rows.select(
+        "client", "_role", "_us", F.when(role == mark, F.col("_call")).alias("_call"),
+        (F.floor(us / width) + F.when(role == later, 1).otherwise(0)).alias("_part"),
+        F.when(role == mark, us - width).otherwise(us).alias("_at"), F.when(role == mark, 0).otherwise(1).alias("_n"))
+    part = Window.partitionBy("client", "_part")
+    marked = placed.withColumn("_before", F.sum("_n").over(part.orderBy("_at", "_n").rowsBetween(Window.unboundedPreceding, 0)))
+    # From here on a mark stands for its call.
+    upto = F.count(F.lit(1)).over(part.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0))
+    counted = marked.filter(role != own).withColumn("in_window", upto - F.col("_before")).filter(role == mark)
+    return counted.select("_call.*", "in_window").withColumn("allowed", F.col("in_window") <= limit)
 
 
 def tumbling_budget(allowed: DataFrame, budget: int) -> DataFrame:
