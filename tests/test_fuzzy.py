@@ -97,3 +97,32 @@ def test_matches_equal_all_pairs(spark):
 def test_filler_words(spark):
     words = spark.createDataFrame([("harvard univrsity",), ("univrsity",), ("unievrsiyt x",), ("",)], "t string")
     assert [r[0] for r in words.select(fuzzy.significant_words(F.col("t"))).collect()] == [["harvard"], ["univrsity"], ["x"], []]
+
+
+def test_probes_stay_few_and_are_not_gathered(spark):
+    rng = random.Random(8)
+    texts = [("".join(rng.choice("abcdefgh") for _ in range(40)),) for _ in range(20)]
+    frame = spark.createDataFrame(texts, "b string")
+    probes = fuzzy._probes(frame, "b", 1)
+    assert "Aggregate" not in probes._jdf.queryExecution().executedPlan().toString()
+    assert probes.count() <= 20 * 1000
+    plan = fuzzy.near_candidates(frame.toDF("a"), frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2 and "RoundRobinPartitioning" in plan
+
+
+def test_long_near_texts_with_swaps_are_complete(spark):
+    rng = random.Random(9)
+    base = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(12, 44))) for _ in range(60)})
+
+    def swapped(text, n):
+        w = list(text)
+        for at in rng.sample(range(0, len(w) - 1, 2), n):
+            w[at], w[at + 1] = w[at + 1], w[at]
+        return "".join(w)
+
+    typed = sorted({swapped(t, len(t) // 4) for t in base for _ in range(4)} | {swapped(t, len(t) // 4)[1:] for t in base}
+                   | {edited(rng, t, "abc") for t in base for _ in range(3)} | {"c" + swapped(t, len(t) // 4 - 1) for t in base})
+    found = fuzzy.near_texts(spark.createDataFrame([(t,) for t in typed], "a string"), spark.createDataFrame([(t,) for t in base], "b string"))
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    every = {(a, b): osa(a, b) for a in typed for b in base if abs(len(a) - len(b)) <= max(len(a), len(b)) // 4}
+    assert got == {p: d for p, d in every.items() if d <= max(map(len, p)) // 4} and len(got) > 300

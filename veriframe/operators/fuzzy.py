@@ -133,8 +133,9 @@ def _segments(texts: DataFrame, name: str) -> DataFrame:
 def _probes(texts: DataFrame, name: str, longer: int) -> DataFrame:
     """(name, length, i, part): where a segment of a text of ``length`` letters may stand in this shorter one.
 
-    k edits leave a segment that is whole but for swaps across its two ends, since an edit touches one segment and only
-    such a swap two. So a probe is the text at a place that the edits can reach, with either end swapped back or not.
+    Every edit is counted for one segment: that of its letter, or that left of the gap it fills or of the end it swaps
+    across. Of k + 1 segments the first i with at most i edits counted up to it has none of its own, and i before it. So it
+    stands whole, or with its first letter swapped to the left, where i edits before it and k - i after it can reach.
     """
     size = F.length(name)
     most = F.floor(size * LETTERS_PER_EDIT / (LETTERS_PER_EDIT - 1)).cast("int")
@@ -143,26 +144,30 @@ def _probes(texts: DataFrame, name: str, longer: int) -> DataFrame:
     rows = rows.withColumn("k", F.floor(F.col("length") / LETTERS_PER_EDIT).cast("int")).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     cut = lambda i: F.floor(i * F.col("length") / (F.col("k") + 1)).cast("int")
-    rows = rows.select("*", cut(F.col("i")).alias("start"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("width"),
-                       F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift"))
-    reach = F.abs("shift") + F.abs(F.col("size") - F.col("length") - F.col("shift"))
-    rows = rows.where(reach <= F.col("k")).withColumn("at", F.col("start") + F.col("shift")).where(
+    grown, after = F.col("size") - F.col("length"), F.col("k") - F.col("i")
+    rows = rows.select("*", cut(F.col("i")).alias("start"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("width"), F.explode(
+        F.sequence(F.greatest(-F.col("i"), grown - after), F.least(F.col("i"), grown + after))).alias("shift"))
+    rows = rows.withColumn("at", F.col("start") + F.col("shift")).where(
         (F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("size")))
-    letter = lambda at: F.substring(F.col(name), at + 1, F.lit(1))
     own = F.substring(F.col(name), F.col("at") + 1, F.col("width"))
-    left = lambda t: F.concat(letter(F.col("at") - 1), F.substring(t, F.lit(2), F.col("width")))
-    right = lambda t: F.concat(F.substring(t, F.lit(1), F.col("width") - 1), letter(F.col("at") + F.col("width")))
-    has_left, has_right = F.col("at") > 0, F.col("at") + F.col("width") < F.col("size")
-    parts = F.array(own, F.when(has_left, left(own)), F.when(has_right, right(own)), F.when(has_left & has_right, left(right(own))))
-    return rows.select(name, "length", "i", F.explode(F.array_distinct(F.array_compact(parts))).alias("part")).distinct()
+    swapped = F.concat(F.substring(F.col(name), F.col("at"), F.lit(1)), F.substring(F.col(name), F.col("at") + 2, F.col("width") - 1))
+    # The swap is one of the i edits before and moves nothing.
+    parts = F.array(own, F.when((F.col("at") > 0) & (F.abs("shift") < F.col("i")), swapped))
+    return rows.select(name, "length", "i", F.explode(F.array_distinct(F.array_compact(parts))).alias("part"))
 
 
 def near_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): all pairs of ``near_texts`` and some that are further apart, for callers with a test of their own."""
-    a, b = left.where("a <> ''").select("a").distinct(), right.where("b <> ''").select("b").distinct()
+    """(a, b): all pairs of ``near_texts`` and some that are further apart, for callers with a test of their own.
+
+    A text makes some hundred rows that no size estimate knows of: the texts are dealt to a fixed number of tasks, which
+    adaptive execution leaves alone, and the keys meet in merge joins.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.where("a <> ''").select("a").distinct().repartition(tasks)
+    b = right.where("b <> ''").select("b").distinct().repartition(tasks)
     on = ["length", "i", "part"]
-    pairs = _probes(a, "a", 0).join(_segments(b, "b"), on).select("a", "b").unionByName(
-        _probes(b, "b", 1).join(_segments(a, "a"), on).select("a", "b"))
+    pairs = _probes(a, "a", 0).join(_segments(b, "b").hint("merge"), on).select("a", "b").unionByName(
+        _probes(b, "b", 1).join(_segments(a, "a").hint("merge"), on).select("a", "b"))
     return pairs.distinct()
 
 
