@@ -88,6 +88,12 @@ def test_groups_equal_brute_force(spark, block):
     assert len(set(groups.values())) < len(prints)
 
 
+def test_keys_of_prints_are_not_broadcast(spark):
+    classes = spark.range(50).selectExpr("id AS node", "id * 7919 AS fp")  # a table whose size Spark knows
+    plan = simhash_dedup.bucket_edges(classes, 4, 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_document_of_a_group_stays(spark):
     text = "the same words in every copy of this small text"
     docs = docs_frame(spark, [(5, text), (3, text), (3, text), (9, "something else that nobody wrote before"), (None, "x")])

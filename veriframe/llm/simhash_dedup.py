@@ -85,13 +85,14 @@ def bucket_edges(classes: DataFrame, radius: int, block: int) -> DataFrame:
     """Edges (u, v) that connect exactly those of (node, fp) that chains of prints within ``radius`` bits connect.
 
     A bucket of more than ``block`` prints is cut into blocks by hash and every pair of its blocks is searched on its
-    own, so no task holds more than about two blocks.
+    own, so no task holds more than about two blocks. A print's keys ask for a merge join: Spark takes them for about as
+    large as the prints and would send all of them to the driver.
     """
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)]))
     rows = classes.select("node", "fp", tables.alias("table", "key"))
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
-    shared = rows.join(sizes, ["table", "key"]).select(
+    shared = rows.join(sizes.hint("merge"), ["table", "key"]).select(
         "table", "key", "node", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"),
     )
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
