@@ -251,6 +251,14 @@ def test_far_prints_are_no_reason_to_miss_a_passage(spark):
     assert decontaminate.remove_contaminated(docs, bench).collect() == []
 
 
+def test_keys_of_items_are_not_broadcast(spark):
+    items = decontaminate._items(spark.range(1).selectExpr("id AS item_id", "'one two three four five six' AS text"))
+    places = spark.createDataFrame([(1, 0, 6, 0, [5, 6, 7, 8, 9, 10])], "key long, start int, length int, from int, hashes array<long>")
+    plan = decontaminate.close_prints(places, items)._jdf.queryExecution().executedPlan().toString()
+    below = [part.split("\n")[:6] for part in plan.split("BroadcastExchange")[1:]]
+    assert not any("Generate explode" in line for part in below for line in part) and "SortMergeJoin" in plan
+
+
 def test_long_items_take_time_in_proportion(spark):
     import time
 

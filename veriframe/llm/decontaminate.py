@@ -125,7 +125,8 @@ def close_prints(places: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id, hamming, start, from, hashes): places with a window whose print is within RADIUS of an item's.
 
     Windows of each of ``SIZES`` begin at the place. Blocks of the prints are looked up with up to FLIPS bits changed, so
-    no print within the radius is missed. Equal windows are looked up once.
+    no print within the radius is missed. Equal windows are looked up once. The items' 2,788 keys each ask for a merge join:
+    Spark takes them for as large as the items and would send all of them to the driver.
     """
     sizes = F.explode(F.array(*[F.ceil(F.col("length") * s).cast("int") for s in SIZES])).alias("size")
     windows = cut_lineage(places.select("*", sizes).withColumn("window", F.slice("hashes", F.col("start") - F.col("from") + 1, F.col("size"))))
@@ -135,7 +136,7 @@ def close_prints(places: DataFrame, items: DataFrame) -> DataFrame:
     flips = F.explode(F.array(*[F.lit(m) for m in flip_masks()]))
     probes = probes.withColumn("flip", flips).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
     differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    close = texts.select("length", "window", "fp", block).join(probes, ["length", "block", "value"]).where(
+    close = texts.select("length", "window", "fp", block).join(probes.hint("merge"), ["length", "block", "value"]).where(
         differing <= RADIUS).groupBy("length", "window", "item_id").agg(F.min(differing).alias("hamming"))
     found = windows.join(close, ["length", "window"])
     # Neighbouring places see the same words: the one with the closest print stands for those within an item's length.
